@@ -57,6 +57,7 @@ FOREST_QUANTILE_CAP = 0.99
 RECON_QUANTILE = 0.95
 WINDOW_ROWS = 8
 SEQUENCE_HIDDEN = 24
+SEQUENCE_ITERATIONS = 30
 
 MODELS = {
     "rule_based": "Rule-Based",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,11 +32,6 @@ class RuleModel:
         ]
         return row_maximum(beyond)
 
-    def batch_maximum(self, df: DataFrame) -> float:
-        """Largest excess of the batch, at least 1; the score's unit."""
-        largest = df.agg(F.max(self.excess())).first()[0]
-        return max(float(largest or 0.0), 1.0)
-
     def score(self, maximum: float) -> Column:
         return min_max(self.excess(), 0.0, maximum)
 
@@ -48,18 +44,24 @@ def fit_rule(stats: TrainStats, sigma: float = fixed.SIGMA) -> RuleModel:
     return RuleModel(stats.features, stats.reference_means, stats.reference_stds, sigma)
 
 
-def score_rule(
+def batch_maxima(df: DataFrame, models: Mapping[str, RuleModel]) -> dict[str, float]:
+    """Largest excess of the batch per rule, at least 1: the unit of its score."""
+    row = df.agg(*[F.max(model.excess()).alias(name) for name, model in models.items()]).first()
+    return {name: max(float(row[name] or 0.0), 1.0) for name in models}
+
+
+def score_rules(
     df: DataFrame,
-    model: RuleModel,
-    name: str = "rule_based",
-    maximum: float | None = None,
+    models: Mapping[str, RuleModel],
+    maxima: Mapping[str, float] | None = None,
 ) -> DataFrame:
-    """Add ``<name>_raw`` (unrounded score) and ``<name>_prediction``.
+    """Add ``<name>_raw`` (unrounded score) and ``<name>_prediction`` per rule.
 
-    The score is relative to the batch being scored unless a fixed maximum is
-    given, which makes it row-local.
+    Scores are relative to the batch being scored, which takes one pass for all
+    rules, unless fixed maxima are given, which makes them row-local.
     """
-    unit = model.batch_maximum(df) if maximum is None else maximum
-    return df.withColumn(f"{name}_raw", model.score(unit)).withColumn(
-        f"{name}_prediction", model.predict(F.col(f"{name}_raw"))
+    units = batch_maxima(df, models) if maxima is None else maxima
+    raw = df.withColumns({f"{n}_raw": m.score(units[n]) for n, m in models.items()})
+    return raw.withColumns(
+        {f"{n}_prediction": m.predict(F.col(f"{n}_raw")) for n, m in models.items()}
     )

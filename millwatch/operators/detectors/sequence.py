@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from millwatch import fixed
 from millwatch.operators.ordering import GROUP_ROWS, with_trailing_rows
 
+# Rows per matrix product while training.
+_BLOCK_ROWS = 1024
 NEEDS_BOTH_CLASSES = "The sequence detector needs train readings with and without failure."
 
 
@@ -61,7 +63,7 @@ def fit_sequence(
     train: DataFrame,
     features: Sequence[str],
     classes: int,
-    iterations: int = 50,
+    iterations: int = fixed.SEQUENCE_ITERATIONS,
     hidden: int = fixed.SEQUENCE_HIDDEN,
     seed: int = fixed.SEED,
     group_rows: int = GROUP_ROWS,
@@ -73,7 +75,9 @@ def fit_sequence(
         _vector().alias("features"), F.col("failure_label").cast("double").alias("label")
     )
     layers = [len(features) * fixed.WINDOW_ROWS, hidden, 2]
-    learner = MultilayerPerceptronClassifier(layers=layers, maxIter=iterations, seed=seed)
+    learner = MultilayerPerceptronClassifier(
+        layers=layers, maxIter=iterations, seed=seed, blockSize=_BLOCK_ROWS
+    )
     return SequenceModel(tuple(features), learner.fit(rows))
 
 

@@ -12,40 +12,41 @@ from millwatch.operators.stats import TrainStats
 
 
 def deviations(stats: TrainStats) -> Column:
-    """All sensors of a row as ``{feature, z_score}``, largest deviation first.
+    """All sensors of a row, largest deviation first.
 
-    A sort inside the row: no shuffle, ties keep the sensor order.
+    An array of ``{order, place, feature, z_score}``, sorted inside the row: no
+    shuffle, ties keep the sensor order.
     """
-    entries = [
-        F.struct(
-            (-z).alias("order"), F.lit(i).alias("place"),
-            F.lit(name).alias("feature"), z.alias("z_score"),
-        )
-        for i, name in enumerate(stats.features)
-        for z in [
-            round_exact(
-                abs_z(F.col(name), stats.reference_means[name], stats.reference_stds[name]), 3
+    entries = []
+    for i, name in enumerate(stats.features):
+        mean, std = stats.reference_means[name], stats.reference_stds[name]
+        z = round_exact(abs_z(F.col(name), mean, std), 3)
+        entries.append(
+            F.struct(
+                (-z).alias("order"), F.lit(i).alias("place"),
+                F.lit(name).alias("feature"), z.alias("z_score"),
             )
-        ]
-    ]
-    return F.transform(
-        F.array_sort(F.array(*entries)),
-        lambda e: F.struct(e["feature"].alias("feature"), e["z_score"].alias("z_score")),
-    )
+        )
+    return F.sort_array(F.array(*entries))
 
 
-def top_features(deviation_list: Column, count: int = fixed.TOP_FEATURES) -> Column:
-    return F.transform(F.slice(deviation_list, 1, count), lambda e: e["feature"])
+def top_features(
+    deviation_list: Column, sensors: int, count: int = fixed.TOP_FEATURES
+) -> Column:
+    """Names of the sensors that deviate most."""
+    return F.array(*[deviation_list[i]["feature"] for i in range(min(count, sensors))])
 
 
-def explanation(score: Column, prediction: Column, deviation_list: Column) -> Column:
+def explanation(score: Column, prediction: Column, deviation_list: Column, sensors: int) -> Column:
     """Sentence about a row's score and the sensors behind it."""
-    named = F.transform(
-        F.slice(deviation_list, 1, fixed.TOP_FEATURES),
-        lambda e: F.format_string("%s (%.1fz)", e["feature"], round_exact(e["z_score"], 1)),
+    shown = min(fixed.TOP_FEATURES, sensors)
+    named = ", ".join(["%s (%.1fz)"] * shown)
+    values = [round_exact(score, 2)]
+    for i in range(shown):
+        entry = deviation_list[i]
+        values += [entry["feature"], round_exact(entry["z_score"], 1)]
+    alert, calm = (
+        F.format_string(text.replace("%s", named), *values)
+        for text in (fixed.ALERT_TEXT, fixed.CALM_TEXT)
     )
-    sensors = F.array_join(named, ", ")
-    shown = round_exact(score, 2)
-    return F.when(
-        prediction == 1, F.format_string(fixed.ALERT_TEXT, shown, sensors)
-    ).otherwise(F.format_string(fixed.CALM_TEXT, shown, sensors))
+    return F.when(prediction == 1, alert).otherwise(calm)

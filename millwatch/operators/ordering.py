@@ -32,6 +32,12 @@ def seconds_of(moment: Column) -> Column:
     return days * 86_400 + seconds_in_day
 
 
+def micros_of(moment: Column) -> Column:
+    """Whole microseconds since 1970 of a zone-free timestamp."""
+    fraction = F.date_part(F.lit("SECOND"), moment) % 1
+    return seconds_of(moment) * 1_000_000 + (fraction * 1_000_000).cast("long")
+
+
 def largest_group(df: DataFrame, *keys: Column | str) -> int:
     row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).agg(F.max("rows")).first()
     return int(row[0] or 0)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many values one task takes the quantile directly.
-DIRECT_VALUES = 1_000_000
+# Up to this many values are gathered to read the wanted ones off.
+GATHERED_VALUES = 50_000
 _SKETCH_SIZE = 4_096
 _SKETCH_GROUPS = 256
 # Rank share by which a bracket is widened; well above the sketch's error.
@@ -27,115 +27,111 @@ class _Search:
     inside: int
     low: float | None = None
     high: float | None = None
-    answer: float | None = field(default=None)
+    answer: float | None = None
 
-    def open(self) -> Column:
-        value = F.col(self.column)
-        test = value.isNotNull()
-        if self.low is not None:
-            test &= value > F.lit(self.low)
-        if self.high is not None:
-            test &= value < F.lit(self.high)
-        return test
+    @property
+    def interval(self) -> tuple[str, float | None, float | None]:
+        return self.column, self.low, self.high
+
+
+def _within(interval: tuple[str, float | None, float | None]) -> Column:
+    """The column's value where it lies in the open interval, else null."""
+    column, low, high = interval
+    value = F.col(column)
+    test = value.isNotNull()
+    if low is not None:
+        test &= value > F.lit(low)
+    if high is not None:
+        test &= value < F.lit(high)
+    return F.when(test, value)
 
 
 def exact_quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
-    direct_values: int = DIRECT_VALUES,
+    gathered_values: int = GATHERED_VALUES,
 ) -> dict[str, list[float | None]]:
     """Interpolated quantiles per column; nulls are skipped, no value gives None.
 
-    Small columns go to the built-in aggregate.  Larger ones are bracketed with
-    mergeable sketches and counted exactly, round by round, until few enough
-    values lie between the bounds.  The counts decide, so the result is exact.
+    The wanted values are bracketed with mergeable sketches and counted
+    exactly, round by round, until few enough values lie between the bounds to
+    be gathered.  The counts decide, so the result is exact.
     """
     names = list(wanted)
     sizes = df.agg(*[F.count(name).alias(name) for name in names]).first()
-    result: dict[str, list[float | None]] = {}
-    direct = [name for name in names if 0 < sizes[name] <= direct_values]
-    if direct:
-        row = df.agg(
-            *[F.percentile(name, F.array(*map(F.lit, wanted[name]))).alias(name) for name in direct]
-        ).first()
-        result = {name: [float(value) for value in row[name]] for name in direct}
-    ranks: dict[tuple[str, float], tuple[int, int, float]] = {}
+    places = {
+        (name, q): q * (sizes[name] - 1) for name in names if sizes[name] for q in wanted[name]
+    }
     searches: dict[tuple[str, int], _Search] = {}
-    for name in names:
-        if sizes[name] == 0:
-            result[name] = [None] * len(wanted[name])
-        if sizes[name] <= direct_values:
-            continue
-        for q in wanted[name]:
-            place = q * (sizes[name] - 1)
-            low, high = math.floor(place), math.ceil(place)
-            ranks[name, q] = (low, high, place - low)
-            for rank in (low, high):
-                searches[name, rank] = _Search(name, rank, 0, sizes[name])
-    _resolve(df, list(searches.values()), direct_values)
-    for name in names:
-        if name in result:
-            continue
-        values = []
-        for q in wanted[name]:
-            low, high, share = ranks[name, q]
-            left, right = searches[name, low].answer, searches[name, high].answer
-            values.append(left + (right - left) * share)
-        result[name] = values
-    return {name: result[name] for name in names}
-
-
-def _resolve(df: DataFrame, searches: list[_Search], direct_values: int) -> None:
+    for (name, _), place in places.items():
+        for rank in (math.floor(place), math.ceil(place)):
+            searches[name, rank] = _Search(name, rank, 0, sizes[name])
+    _resolve(df, list(searches.values()), gathered_values)
+
+    def value_of(name: str, q: float) -> float | None:
+        if (name, q) not in places:
+            return None
+        place = places[name, q]
+        left = searches[name, math.floor(place)].answer
+        right = searches[name, math.ceil(place)].answer
+        return left + (right - left) * (place - math.floor(place))
+
+    return {name: [value_of(name, q) for q in wanted[name]] for name in names}
+
+
+def _resolve(df: DataFrame, searches: list[_Search], gathered_values: int) -> None:
     while pending := [s for s in searches if s.answer is None]:
-        wide = [s for s in pending if s.inside > direct_values]
-        for search in pending:
-            if search.inside <= direct_values:
-                search.answer = _nth_value(df, search)
+        wide = [s for s in pending if s.inside > gathered_values]
         if wide:
             _narrow(df, wide)
+        else:
+            _read_off(df, pending)
 
 
-def _nth_value(df: DataFrame, search: _Search) -> float:
-    """The wanted value among the few that are left."""
-    nth = search.rank - search.below + 1
-    ordered = df.where(search.open()).select(search.column).orderBy(search.column)
-    last = ordered.limit(nth).agg(F.max(search.column)).first()
-    return float(last[0])
+def _read_off(df: DataFrame, searches: list[_Search]) -> None:
+    """Gather the few values left in each interval and take the wanted ones."""
+    intervals = list(dict.fromkeys(s.interval for s in searches))
+    lists = {i: f"v{n}" for n, i in enumerate(intervals)}
+    gathered = df.agg(
+        *[F.sort_array(F.collect_list(_within(i))).alias(name) for i, name in lists.items()]
+    )
+    found = gathered.select(
+        *[
+            F.element_at(lists[s.interval], s.rank - s.below + 1).alias(f"s{n}")
+            for n, s in enumerate(searches)
+        ]
+    ).first()
+    for search, value in zip(searches, found):
+        search.answer = float(value)
 
 
 def _narrow(df: DataFrame, searches: list[_Search]) -> None:
     """One sketch pass and one counting pass for all open searches."""
-    fields = [f"s{i}" for i in range(len(searches))]
+    intervals = list(dict.fromkeys(s.interval for s in searches))
+    sketch_of = {i: f"k{n}" for n, i in enumerate(intervals)}
+    size = F.lit(_SKETCH_SIZE)
     sketches = df.groupBy((F.spark_partition_id() % _SKETCH_GROUPS).alias("group")).agg(
-        *[
-            F.kll_sketch_agg_double(
-                F.when(s.open(), F.col(s.column)), F.lit(_SKETCH_SIZE)
-            ).alias(name)
-            for name, s in zip(fields, searches)
-        ]
+        *[F.kll_sketch_agg_double(_within(i), size).alias(name) for i, name in sketch_of.items()]
     )
     merged = sketches.agg(
-        *[F.kll_merge_agg_double(name, F.lit(_SKETCH_SIZE)).alias(name) for name in fields]
+        *[F.kll_merge_agg_double(name, size).alias(name) for name in sketch_of.values()]
     )
     bounds = []
-    for name, search in zip(fields, searches):
+    for n, search in enumerate(searches):
         share = (search.rank - search.below) / search.inside
-        pair = F.array(
-            F.lit(max(share - _SLACK, 0.0)), F.lit(min(share + _SLACK, 1.0))
+        pair = F.array(F.lit(max(share - _SLACK, 0.0)), F.lit(min(share + _SLACK, 1.0)))
+        bounds.append(
+            F.kll_sketch_get_quantile_double(sketch_of[search.interval], pair).alias(f"s{n}")
         )
-        bounds.append(F.kll_sketch_get_quantile_double(name, pair).alias(name))
     found = merged.select(*bounds).first()
-    tests = {}
-    for name, search in zip(fields, searches):
-        value, (low, high) = F.col(search.column), found[name]
-        tests[f"{name}_a"] = value < F.lit(low)
-        tests[f"{name}_b"] = value <= F.lit(low)
-        tests[f"{name}_c"] = value < F.lit(high)
-        tests[f"{name}_d"] = value <= F.lit(high)
-    counts = df.agg(*[F.count_if(test).alias(name) for name, test in tests.items()]).first()
-    for name, search in zip(fields, searches):
-        low, high = found[name]
-        under, up_to_low, before_high, up_to_high = (counts[f"{name}_{c}"] for c in "abcd")
+    tests = []
+    for n, search in enumerate(searches):
+        value, (low, high) = F.col(search.column), found[n]
+        tests += [value < F.lit(low), value <= F.lit(low), value < F.lit(high), value <= F.lit(high)]
+    counts = df.agg(*[F.count_if(test).alias(f"c{n}") for n, test in enumerate(tests)]).first()
+    for n, search in enumerate(searches):
+        low, high = found[n]
+        under, up_to_low, before_high, up_to_high = counts[4 * n : 4 * n + 4]
         end = search.below + search.inside
         if search.rank < under:
             search.high, search.inside = low, under - search.below

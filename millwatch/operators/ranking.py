@@ -43,10 +43,10 @@ def per_sample(
         _map(models, lambda m: shown_score(F.col(f"{m}_score"))).alias("scores"),
         shown_health(best_health).alias("health_score"),
         health_band(best_health).alias("health_label"),
-        explanation(shown_score(F.col(f"{best}_score")), flag, F.col("_deviations")).alias(
-            "explanation"
-        ),
-        top_features(F.col("_deviations")).alias("top_features"),
+        explanation(
+            shown_score(F.col(f"{best}_score")), flag, F.col("_deviations"), len(stats.features)
+        ).alias("explanation"),
+        top_features(F.col("_deviations"), len(stats.features)).alias("top_features"),
     )
 
 
@@ -122,16 +122,17 @@ def predictions_long(
     ranked = with_rank_by_group(
         long, "model_name", [F.col("anomaly_score").desc(), *CANONICAL], "rank"
     )
-    return ranked.select(
+    return ranked.withColumn("_deviations", deviations(stats)).select(
         "sample_id",
         "machine_id",
         "timestamp",
         "model_name",
         "predicted_label",
         health(F.col("anomaly_score")).alias("health_score"),
-        explanation(F.col("anomaly_score"), F.col("predicted_label"), deviations(stats)).alias(
-            "explanation"
-        ),
+        explanation(
+            F.col("anomaly_score"), F.col("predicted_label"), F.col("_deviations"),
+            len(stats.features),
+        ).alias("explanation"),
         "anomaly_score",
         constant_by({m: float(thresholds[m]) for m in models}, F.col("model_name")).alias(
             "threshold"
@@ -190,7 +191,13 @@ def feature_importance(scored: DataFrame, stats: TrainStats, best: str) -> DataF
     """
     votes = (
         signal_rows(scored, best)
-        .select(*CANONICAL, top_features(deviations(stats), fixed.VOTING_FEATURES).alias("names"))
+        .withColumn("_deviations", deviations(stats))
+        .select(
+            *CANONICAL,
+            top_features(
+                F.col("_deviations"), len(stats.features), fixed.VOTING_FEATURES
+            ).alias("names"),
+        )
         .select(*CANONICAL, F.posexplode("names").alias("place", "feature"))
     )
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwatch import fixed
-from millwatch.operators.quantiles import DIRECT_VALUES, exact_quantiles
+from millwatch.operators.quantiles import GATHERED_VALUES, exact_quantiles
 
 SCALED = "{}__scaled"
 
@@ -45,10 +45,10 @@ class TrainStats:
 
 
 def train_medians(
-    train: DataFrame, features: Sequence[str], direct_values: int = DIRECT_VALUES
+    train: DataFrame, features: Sequence[str], gathered_values: int = GATHERED_VALUES
 ) -> dict[str, float]:
     """Exact median per sensor; a sensor without any value gets 0."""
-    found = exact_quantiles(train, {name: [0.5] for name in features}, direct_values)
+    found = exact_quantiles(train, {name: [0.5] for name in features}, gathered_values)
     return {name: 0.0 if values[0] is None else values[0] for name, values in found.items()}
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,6 @@ from millwatch import fixed
 from millwatch.functions.rounding import round_exact
 from millwatch.operators import evaluation, ranking
 from millwatch.operators.stats import TrainStats, reference_table
-from millwatch.session import stage
 from millwatch.sources.results import save_results
 from millwatch.sources.tables import ResultTables, evaluation_rows, output_rows, utc_now
 
@@ -26,10 +26,16 @@ class Results:
     models: Mapping[str, str]
     metrics: DataFrame
     best: str
-    per_sample: DataFrame
-    importance: DataFrame
     thresholds: Mapping[str, float]
 
+    @cached_property
+    def per_sample(self) -> DataFrame:
+        return ranking.per_sample(self.scored, self.stats, self.best, list(self.models))
+
+    @cached_property
+    def importance(self) -> DataFrame:
+        return ranking.feature_importance(self.scored, self.stats, self.best)
+
     @property
     def leaderboard(self) -> DataFrame:
         return evaluation.leaderboard(self.metrics)
@@ -83,23 +89,15 @@ def evaluate_scored(
     status: Mapping[str, str] | None = None,
     notes: Mapping[str, str] | None = None,
 ) -> Results:
-    """Compare the models and build all report frames.
+    """Compare the models; the report frames follow from the result.
 
-    The handful of metric rows is staged, since the choice of the best model
-    and most reports read it.
+    The metric rows, one per model, are computed once and kept as constants,
+    since the choice of the best model and most reports read them.
     """
-    rows = stage(evaluation.metrics(scored, models, status, notes).coalesce(1), "metrics")
+    measured = evaluation.metrics(scored, models, status, notes)
+    rows = scored.sparkSession.createDataFrame(measured.collect(), measured.schema)
     best = evaluation.best_model(rows)
-    return Results(
-        scored,
-        stats,
-        models,
-        rows,
-        best,
-        ranking.per_sample(scored, stats, best, list(models)),
-        ranking.feature_importance(scored, stats, best),
-        thresholds,
-    )
+    return Results(scored, stats, models, rows, best, thresholds)
 
 
 def store_results(

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from millwatch.operators.ordering import GROUP_ROWS
-from millwatch.operators.quantiles import DIRECT_VALUES
+from millwatch.operators.quantiles import GATHERED_VALUES
 from millwatch.operators.split import check_splits, chronological_split, select_split
 from millwatch.operators.stats import (
     TrainStats, feature_statistics, fit_train_stats, impute, scale, train_medians,
@@ -57,7 +57,7 @@ def prepare_readings(
     features: Sequence[str],
     allow_overlap: bool = True,
     group_rows: int = GROUP_ROWS,
-    direct_values: int = DIRECT_VALUES,
+    gathered_values: int = GATHERED_VALUES,
     **about,
 ) -> Prepared:
     """Split a canonical table, then fit medians and scaler on its train part.
@@ -69,7 +69,7 @@ def prepare_readings(
         raise ValueError(f"At least two sensor columns are needed. Found: {list(features)}")
     split = stage(chronological_split(readings, allow_overlap, group_rows), "split")
     sizes = check_splits(split)
-    medians = train_medians(select_split(split, "train"), features, direct_values)
+    medians = train_medians(select_split(split, "train"), features, gathered_values)
     cleaned = impute(split, medians)
     stats = fit_train_stats(select_split(cleaned, "train"), features)
     return Prepared(scale(cleaned, stats), tuple(features), medians, stats, sizes, **about)

@@ -14,11 +14,11 @@ from millwatch.functions.rounding import round_scaled
 from millwatch.functions.scalar import health
 from millwatch.operators.detectors.forest import NODE_SCHEMA, ForestModel, grow_forest
 from millwatch.operators.detectors.recon import ReconModel, fit_recon
-from millwatch.operators.detectors.rule import RuleModel, fit_rule, score_rule
+from millwatch.operators.detectors.rule import RuleModel, batch_maxima, fit_rule, score_rules
 from millwatch.operators.detectors.sequence import SequenceModel, fit_sequence, score_sequence
 from millwatch.operators.normalize import number_of
 from millwatch.operators.ordering import GROUP_ROWS, with_positions
-from millwatch.operators.quantiles import DIRECT_VALUES, exact_quantiles
+from millwatch.operators.quantiles import GATHERED_VALUES, exact_quantiles
 from millwatch.operators.stats import SCALED, normal_rows
 from millwatch.plans.prepare import Prepared
 from millwatch.session import stage
@@ -76,7 +76,7 @@ class Detectors:
 
 
 def calibrate(
-    forest: ForestModel, recon: ReconModel, normal: DataFrame, direct_values: int = DIRECT_VALUES
+    forest: ForestModel, recon: ReconModel, normal: DataFrame, gathered_values: int = GATHERED_VALUES
 ) -> tuple[ForestModel, ReconModel]:
     """Range and flagging limit of both detectors from their train scores.
 
@@ -92,7 +92,7 @@ def calibrate(
         *[f(c).alias(f"{c}_{n}") for c in ("forest", "recon") for n, f in (("low", F.min), ("high", F.max))]
     ).first()
     limits = exact_quantiles(
-        raw, {"forest": forest.quantiles, "recon": [fixed.RECON_QUANTILE]}, direct_values
+        raw, {"forest": forest.quantiles, "recon": [fixed.RECON_QUANTILE]}, gathered_values
     )
     return (
         replace(
@@ -108,9 +108,9 @@ def calibrate(
 def fit_detectors(
     prepared: Prepared,
     trees: int = fixed.FOREST_TREES,
-    iterations: int = 50,
+    iterations: int = fixed.SEQUENCE_ITERATIONS,
     group_rows: int = GROUP_ROWS,
-    direct_values: int = DIRECT_VALUES,
+    gathered_values: int = GATHERED_VALUES,
 ) -> Detectors:
     """Fit all four detectors on the train split."""
     stats, train = prepared.stats, prepared.train
@@ -118,7 +118,7 @@ def fit_detectors(
     normal = normal_rows(train, stats)
     rows = stats.normal_rows or stats.rows
     forest = grow_forest(normal, scaled, rows, stats.contamination, trees)
-    forest, recon = calibrate(forest, fit_recon(normal, scaled), normal, direct_values)
+    forest, recon = calibrate(forest, fit_recon(normal, scaled), normal, gathered_values)
     return Detectors(
         prepared.features,
         prepared.medians,
@@ -135,6 +135,13 @@ def _with_scores(df: DataFrame, models: tuple[str, ...]) -> DataFrame:
     return df.withColumns({f"{m}_score": round_scaled(F.col(f"{m}_raw"), 6) for m in models})
 
 
+def _score_rule(df: DataFrame, detectors: Detectors) -> DataFrame:
+    unit = detectors.rule_maximum
+    return score_rules(
+        df, {"rule_based": detectors.rule}, None if unit is None else {"rule_based": unit}
+    )
+
+
 def _score_row_local(df: DataFrame, detectors: Detectors) -> DataFrame:
     raw = df.withColumns(
         {
@@ -159,7 +166,7 @@ def score_detectors(
 
     Predictions come from the unrounded scores, which are dropped.
     """
-    ruled = score_rule(df, detectors.rule, "rule_based", detectors.rule_maximum)
+    ruled = _score_rule(df, detectors)
     scored = score_sequence(_score_row_local(ruled, detectors), detectors.sequence, "lstm", group_rows)
     return _with_scores(scored, MODELS).drop(*[f"{m}_raw" for m in MODELS])
 
@@ -188,7 +195,7 @@ def inference_table(spark: SparkSession, detectors: Detectors) -> DataFrame:
 
 def freeze(detectors: Detectors, df: DataFrame) -> Detectors:
     """Fix the unit of the rule score to that of the given batch."""
-    return replace(detectors, rule_maximum=detectors.rule.batch_maximum(df))
+    return replace(detectors, rule_maximum=batch_maxima(df, {"rule": detectors.rule})["rule"])
 
 
 def save_detectors(spark: SparkSession, detectors: Detectors, path: str) -> None:
@@ -271,7 +278,7 @@ def score_row_local(df: DataFrame, detectors: Detectors) -> DataFrame:
     if detectors.rule_maximum is None:
         raise ValueError("Freeze the detectors first: the rule score would depend on the batch.")
     inputs = bring_to_inputs(df, detectors)
-    ruled = score_rule(inputs, detectors.rule, "rule_based", detectors.rule_maximum)
+    ruled = _score_rule(inputs, detectors)
     scored = _with_scores(_score_row_local(ruled, detectors), MODELS[:3])
     return scored.drop(*[c for c in scored.columns if c.endswith(("_raw", "__scaled"))])
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch.operators.normalize import zone_free_seconds
-from millwatch.operators.ordering import GROUP_ROWS, seconds_of, with_global_row_number, with_previous
+from millwatch.operators.ordering import GROUP_ROWS, micros_of, with_global_row_number, with_previous
 
 # Sensors each adapter fills, in canonical order.
 EVENT_SENSORS = ("torque", "tool_wear", "vibration")
@@ -29,9 +29,8 @@ def sensor_events(spark: SparkSession, folder: str, group_rows: int = GROUP_ROWS
         F.get_json_object("props", "$.k").cast("double").alias("torque"),
     )
     placed = with_previous(events, "user_id", "ts", "event_id", "ts", "last_ts", group_rows)
-    pause = seconds_of(F.col("ts")) - seconds_of(F.col("last_ts"))
-    micros = F.date_part(F.lit("SECOND"), F.col("ts")) % 1 - F.date_part(F.lit("SECOND"), F.col("last_ts")) % 1
-    wear = F.coalesce(pause + micros.cast("double"), F.lit(0.0))
+    pause = (micros_of(F.col("ts")) - micros_of(F.col("last_ts"))) / F.lit(1e6)
+    wear = F.coalesce(pause, F.lit(0.0))
     failed = ((F.col("value") >= 110) | (F.col("tool_wear") >= 100_000)) & (
         F.col("event_type") != "view"
     )

@@ -58,9 +58,18 @@ def load_csv(spark: SparkSession, path: str, row_number: str | None = None) -> D
         _BROKEN, f"{wider}, over string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "over"}
     )
     wide = F.col("fields")[f"f{len(header)}"].isNotNull() | F.col("fields")["over"].isNull()
-    too_long = lines.where(F.col(_BROKEN).isNotNull()).withColumn("fields", fields).where(wide)
-    if not too_long.isEmpty():
-        raise ValueError("The file is not a valid CSV: a line has more fields than the header.")
+    # The line itself and a column of it, since a scan must read some column.
+    too_long = (
+        lines.where(F.col(_BROKEN).isNotNull())
+        .select(_BROKEN, f"`{header[0]}`", fields.alias("fields"))
+        .where(wide)
+        .select(_BROKEN, f"`{header[0]}`")
+        .first()
+    )
+    if too_long is not None:
+        raise ValueError(
+            f"The file is not a valid CSV: more fields than the header has in {too_long[0]!r}."
+        )
     if row_number is None:
         return null_tokens_to_null(lines.drop(_BROKEN))
     placed = lines.drop(_BROKEN).withColumns(
