@@ -762,7 +762,7 @@ def nan_readings(spark: SparkSession, folder: str) -> DataFrame:
     events = spark.read.parquet(f"{folder}/events.parquet")
     torque = F.get_json_object("props", "$.k").cast("double")
     ratio = F.when(torque == 0, F.lit(float("nan"))).otherwise(F.col("value") / torque)
-    return events.select("event_id", F.round(nan_to_null(ratio), 6).alias("ratio"))
+    return events.select("event_id", nan_to_null(ratio).alias("ratio"))
 
 
 @query

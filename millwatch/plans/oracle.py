@@ -707,6 +707,6 @@ def oracle() -> dict[str, str]:
             "round(quantile_cont(raw, 0.95), 4) AS q95, round(quantile_cont(raw, 0.99), 4) AS q99 "
             "FROM largest",
         ),
-        "nan_readings": "SELECT event_id, round(value / nullif(CAST(json_extract_string(props, "
-        "'$.k') AS DOUBLE), 0), 6) AS ratio FROM events",
+        "nan_readings": "SELECT event_id, value / nullif(CAST(json_extract_string(props, "
+        "'$.k') AS DOUBLE), 0) AS ratio FROM events",
     }

@@ -33,19 +33,23 @@ def _with_file_numbers(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def load_csv(spark: SparkSession, path: str, row_number: str | None = None) -> DataFrame:
+def load_csv(
+    spark: SparkSession, path: str, row_number: str | None = None, multi_line: bool = False
+) -> DataFrame:
     """Read a CSV with a header; all columns are strings, missing texts null.
 
     Short lines are filled with nulls, lines with too many fields are refused.
     With ``row_number``, a column of that name numbers the lines from 1.
+    ``multi_line`` allows line breaks inside quotes, at the price of one task
+    per file.
     """
-    header = spark.read.option("header", True).csv(path).columns
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    header = reader.csv(path).columns
     if not header:
         raise ValueError("The CSV is empty.")
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
     lines = (
-        spark.read.schema(schema.add(_BROKEN, T.StringType()))
-        .option("header", True)
+        reader.schema(schema.add(_BROKEN, T.StringType()))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _BROKEN)
         .csv(path)
@@ -55,20 +59,23 @@ def load_csv(spark: SparkSession, path: str, row_number: str | None = None) -> D
     # A line is reported for too few fields as well; only a further field counts.
     wider = ", ".join(f"f{i} string" for i in range(len(header) + 1))
     fields = F.from_csv(
-        _BROKEN, f"{wider}, over string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "over"}
+        _BROKEN,
+        f"{wider}, over string",
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "over", "escape": '"'},
     )
     wide = F.col("fields")[f"f{len(header)}"].isNotNull() | F.col("fields")["over"].isNull()
-    # The line itself and a column of it, since a scan must read some column.
+    # The test is on the length, as a null test would be pushed into the scan,
+    # which answers it before it knows; all columns are read for the same reason.
     too_long = (
-        lines.where(F.col(_BROKEN).isNotNull())
-        .select(_BROKEN, f"`{header[0]}`", fields.alias("fields"))
+        lines.where(F.length(_BROKEN) > 0)
+        .withColumn("fields", fields)
         .where(wide)
-        .select(_BROKEN, f"`{header[0]}`")
+        .drop("fields")
         .first()
     )
     if too_long is not None:
         raise ValueError(
-            f"The file is not a valid CSV: more fields than the header has in {too_long[0]!r}."
+            f"The file is not a valid CSV: more fields than the header has in {too_long[_BROKEN]!r}."
         )
     if row_number is None:
         return null_tokens_to_null(lines.drop(_BROKEN))
