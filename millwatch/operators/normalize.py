@@ -100,21 +100,26 @@ def timeline_moment(row_number: Column) -> Column:
     return F.timestamp_add("MINUTE", minutes, start)
 
 
-def _reads_as_number(df: DataFrame, name: str) -> bool:
-    """Whether a text column holds numbers only, which decides its label rule."""
-    other = F.col(name).isNotNull() & ~F.col(name).rlike(_NUMBER)
-    return df.agg(F.count_if(other)).first()[0] == 0
+def is_label_word(df: DataFrame, name: str = "failure_label") -> Column:
+    """Whether a label is a text that is no number."""
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return F.lit(False)
+    return F.col(name).isNotNull() & ~F.col(name).rlike(_NUMBER)
 
 
-def label_of(df: DataFrame, name: str = "failure_label") -> Column:
+def label_of(df: DataFrame, name: str = "failure_label", words: bool | None = None) -> Column:
     """Label-like values as 0/1, by the rule that fits the whole column.
 
     Numbers: above zero is a failure.  Texts: the failure words.  Null is 0.
+    One word makes it a text column; ``words`` tells so if it is known, which
+    otherwise takes a pass over the column.
     """
     column, data_type = F.col(name), df.schema[name].dataType
+    if words is None and isinstance(data_type, T.StringType):
+        words = df.agg(F.count_if(is_label_word(df, name))).first()[0] > 0
     if isinstance(data_type, T.BooleanType):
         failed = column
-    elif isinstance(data_type, T.StringType) and not _reads_as_number(df, name):
+    elif words:
         failed = F.lower(F.trim(column)).isin(*fixed.FAILURE_WORDS)
     else:
         failed = number_of(column, data_type) > 0

@@ -50,15 +50,17 @@ def exact_quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
     gathered_values: int = GATHERED_VALUES,
+    known_sizes: Mapping[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
     """Interpolated quantiles per column; nulls are skipped, no value gives None.
 
     The wanted values are bracketed with mergeable sketches and counted
     exactly, round by round, until few enough values lie between the bounds to
-    be gathered.  The counts decide, so the result is exact.
+    be gathered.  The counts decide, so the result is exact.  ``known_sizes``
+    gives the values per column where they have been counted before.
     """
     names = list(wanted)
-    sizes = df.agg(*[F.count(name).alias(name) for name in names]).first()
+    sizes = _sizes(df, names, known_sizes)
     places = {
         (name, q): q * (sizes[name] - 1) for name in names if sizes[name] for q in wanted[name]
     }
@@ -79,6 +81,14 @@ def exact_quantiles(
     return {name: [value_of(name, q) for q in wanted[name]] for name in names}
 
 
+def _sizes(
+    df: DataFrame, names: Sequence[str], known: Mapping[str, int] | None
+) -> Mapping[str, int]:
+    if known is not None:
+        return known
+    return df.agg(*[F.count(name).alias(name) for name in names]).first().asDict()
+
+
 def _resolve(df: DataFrame, searches: list[_Search], gathered_values: int) -> None:
     while pending := [s for s in searches if s.answer is None]:
         wide = [s for s in pending if s.inside > gathered_values]

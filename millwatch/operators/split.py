@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,13 +64,19 @@ def split_sizes(split_frame: DataFrame) -> DataFrame:
     return split_frame.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def check_splits(split_frame: DataFrame) -> dict[str, int]:
-    """Row count per split; raises if one has no rows."""
-    counts = {row["split"]: row["rows"] for row in split_sizes(split_frame).collect()}
+def check_splits(
+    split_frame: DataFrame, features: Sequence[str] = ()
+) -> tuple[dict[str, int], dict[str, int]]:
+    """Rows per split and train values per sensor; raises if a split has no rows."""
+    counted = split_frame.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count(name).alias(name) for name in features]
+    )
+    found = {row["split"]: row for row in counted.collect()}
     for name in fixed.SPLITS:
-        if not counts.get(name):
+        if name not in found:
             raise ValueError(f"The {name} split has no rows; more readings are needed.")
-    return counts
+    sizes = {name: row["rows"] for name, row in found.items()}
+    return sizes, {name: found["train"][name] for name in features}
 
 
 def select_split(split_frame: DataFrame, name: str) -> DataFrame:

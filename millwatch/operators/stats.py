@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -45,10 +45,14 @@ class TrainStats:
 
 
 def train_medians(
-    train: DataFrame, features: Sequence[str], gathered_values: int = GATHERED_VALUES
+    train: DataFrame,
+    features: Sequence[str],
+    gathered_values: int = GATHERED_VALUES,
+    known_sizes: Mapping[str, int] | None = None,
 ) -> dict[str, float]:
     """Exact median per sensor; a sensor without any value gets 0."""
-    found = exact_quantiles(train, {name: [0.5] for name in features}, gathered_values)
+    wanted = {name: [0.5] for name in features}
+    found = exact_quantiles(train, wanted, gathered_values, known_sizes)
     return {name: 0.0 if values[0] is None else values[0] for name, values in found.items()}
 
 

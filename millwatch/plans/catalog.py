@@ -22,12 +22,12 @@ from millwatch.operators import evaluation, preview, ranking
 from millwatch.operators.deviations import deviations, explanation
 from millwatch.operators.detectors.forest import draw_samples, grow_trees, tree_depth
 from millwatch.operators.detectors.recon import fit_recon, moments
-from millwatch.operators.detectors.rule import fit_rule, score_rules
+from millwatch.operators.detectors.rule import batch_maxima, fit_rule, score_rules
 from millwatch.operators.detectors.sequence import with_windows
 from millwatch.operators.normalize import label_of, number_of
 from millwatch.operators.quantiles import exact_quantiles
 from millwatch.operators.split import chronological_split, split_sizes
-from millwatch.operators.stats import SCALED, normal_rows
+from millwatch.operators.stats import SCALED, impute, normal_rows
 from millwatch.plans.evaluate import (
     Results, evaluate_scored, report_tables, save_document, store_results,
 )
@@ -43,6 +43,7 @@ from millwatch.sources import adapters
 from millwatch.sources.csv_source import export_test_csv, load_csv
 from millwatch.sources.results import load_results
 from millwatch.sources.tables import ResultTables
+from millwatch.streaming.scoring import write_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -265,6 +266,41 @@ def short_timelines(spark: SparkSession, folder: str) -> DataFrame:
     return split_sizes(chronological_split(orders))
 
 
+@query
+def hot_machine_split(spark: SparkSession, folder: str) -> DataFrame:
+    """All events on one machine, with small cells: the path of a hot machine."""
+    hot = adapters.sensor_events(spark, folder).withColumn("machine_id", F.lit("M-001"))
+    return chronological_split(hot, group_rows=500).select(*KEYS, "split_position")
+
+
+@query
+def hot_machine_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Trailing windows of one machine cut into small chunks."""
+    hot = adapters.sensor_events(spark, folder).withColumn("machine_id", F.lit("M-001"))
+    rows = with_windows(chronological_split(hot, group_rows=500), ("torque",), group_rows=300)
+    entry = F.transform("window", lambda r: r[0].cast("long").cast("string"))
+    return rows.select(*KEYS, F.array_join(entry, " ").alias("window"))
+
+
+@query
+def bracketed_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact quantiles found by bracketing, as for columns of any size."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    names = ("l_quantity", "l_extendedprice", "l_discount")
+    found = exact_quantiles(
+        lines, {name: [0.25, 0.5, 0.95] for name in names}, gathered_values=200
+    )
+    wide = lines.agg(F.count(F.lit(1)).alias("rows"))
+    parts = [
+        F.struct(
+            F.lit(name).alias("column"),
+            *[F.round(F.lit(v), 4).alias(q) for q, v in zip(("q25", "q50", "q95"), found[name])],
+        )
+        for name in names
+    ]
+    return wide.select(F.inline(F.array(*parts)), "rows")
+
+
 @query
 def train_medians(spark: SparkSession, folder: str) -> DataFrame:
     prepared = _gappy(spark, folder)
@@ -371,6 +407,33 @@ def rule_scores_lines(spark: SparkSession, folder: str) -> DataFrame:
     return _rule_rows(_lines(spark, folder))
 
 
+def _frozen_rule(prepared: Prepared, readings: DataFrame) -> DataFrame:
+    """Rule scores of other readings, in units of the test split."""
+    rules = {"rule": fit_rule(prepared.stats)}
+    scored = score_rules(impute(readings, prepared.medians), rules, batch_maxima(prepared.test, rules))
+    return scored.select(
+        "sample_id", "machine_id", round_scaled(F.col("rule_raw"), 6).alias("score"),
+        "rule_prediction",
+    )
+
+
+@query
+def frozen_rule_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """All readings with gaps, scored by fitted values alone."""
+    return _frozen_rule(_gappy(spark, folder), adapters.sensor_events_gappy(spark, folder))
+
+
+@query
+def streamed_rule_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The same readings as a stream of files, scored as they come."""
+    source = stage(adapters.sensor_events_gappy(spark, folder), "stream")
+    stream = spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rsplit("/", 1)[0])
+    path = staging_path(spark, "stream-scores")
+    scores = _frozen_rule(_gappy(spark, folder), stream)
+    write_scores(scores, path, staging_path(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(path)
+
+
 @query
 def batch_maximum(spark: SparkSession, folder: str) -> DataFrame:
     """Excess over the sigma limit: rows beyond it and the batch maximum."""
@@ -575,22 +638,25 @@ def executive_summary(spark: SparkSession, folder: str) -> DataFrame:
 # ---- tables and SQL ------------------------------------------------------
 
 
-def _stored(spark: SparkSession, folder: str) -> ResultTables:
-    """All six tables filled by one run of the rule variants."""
+def _stored(spark: SparkSession, folder: str, stage_name: str = "evaluated") -> ResultTables:
+    """The tables as a run of the rule variants fills them, up to a stage."""
     tables = ResultTables(spark, staging_path(spark, "tables"))
-    tables.create()
+    if stage_name == "evaluated":
+        tables.create()
     batch = ingest(
         adapters.sensor_events_gappy(spark, folder), "events", id_column="sample_id",
         tables=tables, batch_id="batch",
     )
-    prepared = prepare(batch, tables, "run")
-    store_results(_results(prepared), tables, "run", "batch")
+    if stage_name != "ingested":
+        prepared = prepare(batch, tables, "run")
+    if stage_name == "evaluated":
+        store_results(_results(prepared), tables, "run", "batch")
     return tables
 
 
 @query
 def raw_table(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _stored(spark, folder).table("raw_sensor_records")
+    rows = _stored(spark, folder, "ingested").table("raw_sensor_records")
     field = lambda name: F.get_json_object("raw_payload", f"$.{name}")
     return rows.select(
         "batch_id", "sample_id", "source_file", "machine_id",
@@ -603,7 +669,7 @@ def raw_table(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def cleaned_table(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _stored(spark, folder).table("cleaned_sensor_records")
+    rows = _stored(spark, folder, "prepared").table("cleaned_sensor_records")
     return rows.select(
         "batch_id", "split_name", "sample_id", "machine_id", "missing_columns",
         F.round("vibration", 4).alias("vibration"),
@@ -641,7 +707,7 @@ def evaluation_table(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def statistics_table(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _stored(spark, folder).table("feature_statistics").drop("created_at")
+    rows = _stored(spark, folder, "prepared").table("feature_statistics").drop("created_at")
     return _round(rows, 4, "mean", "std", "min", "max", "median")
 
 

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch import fixed
 from millwatch.operators.normalize import (
-    available_sensors, canonical_select, label_of, moment_of, normalize_columns, number_of,
+    available_sensors, canonical_select, is_label_word, label_of, moment_of, normalize_columns, number_of,
     slug, timeline_moment, with_sample_ids,
 )
 from millwatch.sources.csv_source import load_csv
@@ -31,6 +31,19 @@ class Ingested:
     notes: tuple[str, ...] = field(default=())
 
 
+def _inspect(named: DataFrame, columns: dict[str, Column]) -> Row:
+    """All that has to be known about the values, in one pass."""
+    tests = {"rows": F.lit(True), **dict.fromkeys(("lost_times", "lost_machines", "label_words"), F.lit(False))}
+    if "timestamp" in columns:
+        tests["lost_times"] = columns["timestamp"].isNull()
+    if "machine_id" in columns:
+        tests["lost_machines"] = columns["machine_id"].isNull()
+    if "failure_label" in named.columns:
+        tests["label_words"] = is_label_word(named)
+    checks = {name: F.count_if(test) for name, test in tests.items()}
+    return named.agg(*[check.alias(name) for name, check in checks.items()]).first()
+
+
 def ingest(
     df: DataFrame,
     source: str = "table",
@@ -45,44 +58,42 @@ def ingest(
     Sample ids come from ``id_column`` if there is one (free), otherwise from
     numbering the rows by ``order`` or as they are read.
     """
-    if df.isEmpty():
-        raise ValueError(f"The input is empty: {source}")
     named, renamed = normalize_columns(df)
     features, missing = available_sensors(named.columns)
+    columns = {name: number_of(F.col(name), named.schema[name].dataType) for name in features}
+    if "machine_id" in named.columns:
+        columns["machine_id"] = F.col("machine_id").cast("string")
+    if "timestamp" in named.columns:
+        columns["timestamp"] = moment_of(
+            F.col("timestamp"), named.schema["timestamp"].dataType, time_format
+        )
+    found = _inspect(named, columns)
+    if not found["rows"]:
+        raise ValueError(f"The input is empty: {source}")
     if not features:
         raise ValueError(
             "No recognised sensor column; at least one is needed of: " + ", ".join(fixed.SENSORS)
         )
+    if found["lost_times"]:
+        raise ValueError("Some timestamps cannot be read; use ISO times or give a format.")
+
     notes = []
     id_name = None if id_column is None else slug(id_column)
     numbered = with_sample_ids(named, id_name, [slug(c) for c in order] if order else None)
-
-    columns = {
-        name: number_of(F.col(name), named.schema[name].dataType) for name in features
-    }
-    if "machine_id" in named.columns:
-        columns["machine_id"] = F.col("machine_id").cast("string")
-    else:
+    if "machine_id" not in columns:
         columns["machine_id"] = F.lit(fixed.DEFAULT_MACHINE)
         notes.append("No machine id column; all readings get the default machine.")
-    if "timestamp" in named.columns:
-        moment = moment_of(F.col("timestamp"), named.schema["timestamp"].dataType, time_format)
-        if not named.where(moment.isNull()).isEmpty():
-            raise ValueError("Some timestamps cannot be read; use ISO times or give a format.")
-        columns["timestamp"] = moment
-    else:
+    if "timestamp" not in columns:
         columns["timestamp"] = timeline_moment(F.col("sample_id"))
         notes.append("No timestamp column; readings are placed five minutes apart.")
     label_available = "failure_label" in named.columns
     if label_available:
-        columns["failure_label"] = label_of(named)
+        columns["failure_label"] = label_of(named, words=bool(found["label_words"]))
     else:
         columns["failure_label"] = F.lit(0)
         notes.append("No failure label column; all readings count as normal.")
-    if "machine_id" in named.columns:
-        lost = named.where(F.col("machine_id").isNull()).count()
-        if lost:
-            notes.append(f"{lost} readings without machine id stay out of every split.")
+    if found["lost_machines"]:
+        notes.append(f"{found['lost_machines']} readings without machine id stay out of every split.")
 
     readings = canonical_select(numbered.withColumns(columns), features)
     batch = Ingested(
@@ -92,6 +103,9 @@ def ingest(
     if tables is not None:
         rows = raw_rows(readings, features, batch.batch_id, source, utc_now())
         tables.append("raw_sensor_records", rows)
+        # From here on the stored rows are read: columnar, typed and numbered.
+        stored = tables.table("raw_sensor_records").where(F.col("batch_id") == batch.batch_id)
+        batch = replace(batch, readings=canonical_select(stored, features))
     return batch
 
 

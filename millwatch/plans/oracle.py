@@ -412,7 +412,37 @@ def oracle() -> dict[str, str]:
     rounded = ", ".join(f"round({f}, 6) AS {f}" for f in SENSORS)
     text_rows = _with(EVENTS, select=f"SELECT {READING}{rounded}, failure_label FROM readings")
     split_rows = "SELECT sample_id, machine_id, split, split_position FROM parts"
+    one_machine = EVENTS.replace("CAST(user_id AS VARCHAR)", "'M-001'")
+    all_scored = "SELECT sample_id, machine_id, " + (
+        "round_even(least(x / unit, 1) * 1e6, 0) / 1e6 AS score, "
+        "CASE WHEN x / unit >= CAST(0.5 AS DOUBLE) THEN 1 ELSE 0 END AS rule_prediction FROM ("
+        f"SELECT sample_id, machine_id, {_excess('2.5')} AS x, "
+        "(SELECT greatest(max(x_sigma_2_5), 1) FROM excess) AS unit FROM ("
+        "SELECT sample_id, machine_id, "
+        + ", ".join(
+            f"abs((COALESCE({f}, m_{f}) - mean_{f}) / std_{f}) AS z_{f}" for f in SENSORS
+        )
+        + " FROM readings, medians, reference))"
+    )
+    frozen = _prepared(GAPPY, DEVIATED, EXCESS, select=all_scored)
     return {
+        "hot_machine_split": _with(one_machine, SPLIT, select=split_rows),
+        "hot_machine_windows": _with(
+            one_machine, SPLIT,
+            select="SELECT now.sample_id, now.machine_id, now.split, "
+            "string_agg(CAST(CAST(past.torque AS BIGINT) AS VARCHAR), ' ' ORDER BY step) AS window "
+            "FROM parts AS now, range(8) AS s(step) JOIN parts AS past ON past.split = now.split "
+            "AND past.split_position = greatest(1, now.split_position - 7 + step) "
+            "GROUP BY now.sample_id, now.machine_id, now.split",
+        ),
+        "bracketed_quantiles": " UNION ALL ".join(
+            f"SELECT '{c}' AS column, "
+            + ", ".join(f"round(quantile_cont({c}, {q / 100}), 4) AS q{q}" for q in (25, 50, 95))
+            + ", count(*) AS rows FROM lineitem"
+            for c in ("l_quantity", "l_extendedprice", "l_discount")
+        ),
+        "frozen_rule_scores": frozen,
+        "streamed_rule_scores": frozen,
         "readings_events": _with(
             EVENTS,
             select=f"SELECT {READING}torque, round(tool_wear, 6) AS tool_wear, vibration, "

@@ -68,8 +68,9 @@ def prepare_readings(
     if len(features) < 2:
         raise ValueError(f"At least two sensor columns are needed. Found: {list(features)}")
     split = stage(chronological_split(readings, allow_overlap, group_rows), "split")
-    sizes = check_splits(split)
-    medians = train_medians(select_split(split, "train"), features, gathered_values)
+    sizes, values = check_splits(split, features)
+    train = select_split(split, "train")
+    medians = train_medians(train, features, gathered_values, values)
     cleaned = impute(split, medians)
     stats = fit_train_stats(select_split(cleaned, "train"), features)
     return Prepared(scale(cleaned, stats), tuple(features), medians, stats, sizes, **about)

@@ -48,8 +48,18 @@ def staging_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{staging_folder(spark)}/millwatch/{spark.sparkContext.applicationId}"
+
+
 def staging_path(spark: SparkSession, label: str) -> str:
-    return f"{staging_folder(spark)}/millwatch/{label}-{uuid4().hex}"
+    return f"{_own_folder(spark)}/{label}-{uuid4().hex}"
+
+
+def clear_staging(spark: SparkSession) -> None:
+    """Delete what this application has staged, once its frames are done with."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
