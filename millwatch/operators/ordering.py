@@ -51,35 +51,41 @@ def _cells(time: str, ident: str, width: int | None, group_rows: int) -> tuple[C
     return seconds_of(F.col(time)), block
 
 
+def _counts(df: DataFrame, *keys: str) -> tuple[DataFrame, int]:
+    """Rows per key as a small staged table, and the largest number."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = stage(counted, "counts")
+    return counts, int(counts.agg(F.max("_rows")).first()[0] or 0)
+
+
 def choose_cells(
     df: DataFrame, key: str, time: str, ident: str, group_rows: int
-) -> tuple[Column, Column] | None:
-    """The widest cells that keep every group small; None if none are needed.
+) -> tuple[tuple[Column, Column] | None, DataFrame]:
+    """The widest cells that keep every group small, and the rows per group.
 
-    Ids are unique, so the last resort bounds a group by construction.
+    No cells if none are needed; the counts are then per key.  Ids are unique,
+    so the last resort bounds a group by construction.
     """
     keys = df.select(key, time, ident)
-    if largest_group(keys, key) <= group_rows:
-        return None
-    for width in CELL_SECONDS:
+    counts, largest = _counts(keys, key)
+    if largest <= group_rows:
+        return None, counts
+    for width in (*CELL_SECONDS, None):
         cells = _cells(time, ident, width, group_rows)
-        marked = keys.withColumn("_cell", cells[0])
-        if largest_group(marked, key, "_cell") <= group_rows:
-            return cells
-    return _cells(time, ident, None, group_rows)
+        marked = keys.withColumns({"_cell": cells[0], "_part": cells[1]})
+        counts, largest = _counts(marked, key, "_cell", "_part")
+        if largest <= group_rows:
+            break
+    return cells, counts
 
 
-def _cell_offsets(marked: DataFrame, key: str) -> DataFrame:
-    """Rows of the key in earlier cells and in all, per (key, cell, block).
+def _cell_offsets(counts: DataFrame, key: str) -> DataFrame:
+    """Rows of the key in earlier cells and in all, per (key, cell, part).
 
-    Works on counts only.  The sums run over blocks of cells first and inside
-    each block second, so that a long timeline is shared among tasks too.
+    The sums run over blocks of cells first and inside each block second, so
+    that a long timeline is shared among tasks too.
     """
-    counts = (
-        marked.groupBy(key, "_cell", "_part")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_block", F.floor(F.col("_cell") / _CELLS_PER_BLOCK))
-    )
+    counts = counts.withColumn("_block", F.floor(F.col("_cell") / _CELLS_PER_BLOCK))
     earlier = (Window.unboundedPreceding, -1)
     by_key = Window.partitionBy(key)
     blocks = (
@@ -120,22 +126,22 @@ def with_positions(
 ) -> DataFrame:
     """Add each row's 1-based place in its key's timeline and the key's row count.
 
-    One shuffle of the rows either way; with cells, the counts that are joined
-    back are hashed on the same columns as the window, so the join adds none.
-    Rows with a null key are left out.
+    One shuffle of the rows either way: the counts that are joined back are
+    broadcast if Spark finds them small, or hashed on the columns the window
+    is partitioned by already.  Rows with a null key are left out.
     """
     df = df.where(F.col(key).isNotNull())
-    cells = choose_cells(df, key, time, ident, group_rows)
+    cells, counts = choose_cells(df, key, time, ident, group_rows)
     if cells is None:
-        whole = Window.partitionBy(key)
-        return df.withColumn(
-            position, F.row_number().over(whole.orderBy(time, ident)).cast("long")
-        ).withColumn(size, F.count(F.lit(1)).over(whole))
+        timeline = Window.partitionBy(key).orderBy(time, ident)
+        return df.withColumn(position, F.row_number().over(timeline).cast("long")).join(
+            counts.withColumnRenamed("_rows", size), key
+        )
     marked = df.withColumns({"_cell": cells[0], "_part": cells[1]})
     inside = Window.partitionBy(key, "_cell", "_part").orderBy(time, ident)
     return (
         marked.withColumn("_inner", F.row_number().over(inside))
-        .join(_cell_offsets(marked, key), [key, "_cell", "_part"])
+        .join(_cell_offsets(counts, key), [key, "_cell", "_part"])
         .withColumns({position: F.col("_before") + F.col("_inner"), size: F.col("_all")})
         .drop("_cell", "_part", "_inner", "_before", "_all")
     )

@@ -30,10 +30,11 @@ def test_positions_are_the_same_with_any_cells(spark, skewed, limit):
 
 
 def test_no_window_group_exceeds_the_limit(spark, skewed):
-    cells = ordering.choose_cells(skewed, "machine_id", "timestamp", "sample_id", 50)
+    cells, counts = ordering.choose_cells(skewed, "machine_id", "timestamp", "sample_id", 50)
     marked = skewed.withColumns({"c": cells[0], "p": cells[1]})
     assert ordering.largest_group(marked, "machine_id", "c", "p") <= 50
-    assert ordering.choose_cells(skewed, "machine_id", "timestamp", "sample_id", 400) is None
+    assert counts.agg(F.sum("_rows")).first()[0] == skewed.count()
+    assert ordering.choose_cells(skewed, "machine_id", "timestamp", "sample_id", 400)[0] is None
 
 
 def test_cell_sums_across_blocks(spark, skewed, monkeypatch):
