@@ -91,7 +91,8 @@ def title(name: Column) -> Column:
 
 
 def iso_second(moment: Column) -> Column:
-    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
+    """ISO text of a zone-free timestamp in whole seconds, whatever the session zone."""
+    return F.replace(moment.cast("string"), F.lit(" "), F.lit("T"))
 
 
 def json_object(pairs: dict[str, Column]) -> Column:

@@ -82,12 +82,18 @@ def zone_free_seconds(column: Column) -> Column:
 
 
 def moment_of(column: Column, data_type: T.DataType, pattern: str | None = None) -> Column:
-    """The column as zone-free timestamp in whole seconds, null if unreadable."""
+    """The column as zone-free timestamp in whole seconds, null if unreadable.
+
+    A pattern describes texts without a zone; they are read as UTC and counted
+    from 1970, so that the session's zone and its clock changes play no part.
+    """
+    if isinstance(data_type, T.StringType) and pattern is not None:
+        instant = F.try_to_timestamp(F.concat(column, F.lit(" UTC")), F.lit(f"{pattern} VV"))
+        zero = F.lit(0)
+        start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return start + F.make_dt_interval(zero, zero, zero, F.unix_seconds(instant))
     if isinstance(data_type, T.StringType):
-        if pattern is None:
-            column = column.try_cast("timestamp_ntz")
-        else:
-            column = F.try_to_timestamp(column, F.lit(pattern)).cast("timestamp_ntz")
+        column = column.try_cast("timestamp_ntz")
     else:
         column = column.cast("timestamp_ntz")
     return zone_free_seconds(column)

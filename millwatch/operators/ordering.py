@@ -134,16 +134,17 @@ def with_positions(
     cells, counts = choose_cells(df, key, time, ident, group_rows)
     if cells is None:
         timeline = Window.partitionBy(key).orderBy(time, ident)
-        return df.withColumn(position, F.row_number().over(timeline).cast("long")).join(
+        placed = df.withColumn(position, F.row_number().over(timeline).cast("long")).join(
             counts.withColumnRenamed("_rows", size), key
         )
+        return placed.select(*df.columns, position, size)
     marked = df.withColumns({"_cell": cells[0], "_part": cells[1]})
     inside = Window.partitionBy(key, "_cell", "_part").orderBy(time, ident)
     return (
         marked.withColumn("_inner", F.row_number().over(inside))
         .join(_cell_offsets(counts, key), [key, "_cell", "_part"])
         .withColumns({position: F.col("_before") + F.col("_inner"), size: F.col("_all")})
-        .drop("_cell", "_part", "_inner", "_before", "_all")
+        .select(*df.columns, position, size)
     )
 
 

@@ -20,10 +20,10 @@ from millwatch.functions.scalar import (
 )
 from millwatch.operators import evaluation, preview, ranking
 from millwatch.operators.deviations import deviations, explanation
-from millwatch.operators.detectors.forest import draw_samples, grow_trees, tree_depth
+from millwatch.operators.detectors.forest import draw_samples, grow_forest, grow_trees, tree_depth
 from millwatch.operators.detectors.recon import fit_recon, moments
 from millwatch.operators.detectors.rule import batch_maxima, fit_rule, score_rules
-from millwatch.operators.detectors.sequence import with_windows
+from millwatch.operators.detectors.sequence import fit_sequence, score_sequence, with_windows
 from millwatch.operators.normalize import label_of, number_of
 from millwatch.operators.quantiles import exact_quantiles
 from millwatch.operators.split import chronological_split, split_sizes
@@ -35,8 +35,7 @@ from millwatch.plans.ingest import ingest
 from millwatch.plans.prepare import Prepared, prepare, prepare_readings
 from millwatch.plans.run import run
 from millwatch.plans.train import (
-    fit_detectors, freeze, load_detectors, save_detectors, score_detectors, score_saved,
-    train_and_score,
+    calibrate, fit_detectors, freeze, load_detectors, save_detectors, score_saved, train_and_score,
 )
 from millwatch.session import stage, staging_path
 from millwatch.sources import adapters
@@ -844,19 +843,32 @@ def forest_trees(spark: SparkSession, folder: str) -> DataFrame:
     return grow_trees(drawn, names, tree_depth(sample), fixed.SEED)
 
 
-def _scored(prepared: Prepared, model: str) -> DataFrame:
-    scored = score_detectors(prepared.test, fit_detectors(prepared))
-    return scored.select("sample_id", "machine_id", f"{model}_score", f"{model}_prediction")
-
-
 @query
 def forest_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(_events(spark, folder), "isolation_forest")
+    """Forest scores of the test split, calibrated on train."""
+    prepared = _events(spark, folder)
+    names = [SCALED.format(name) for name in SENSORS]
+    normal = normal_rows(prepared.train, prepared.stats)
+    forest = grow_forest(normal, names, prepared.stats.normal_rows, prepared.stats.contamination)
+    forest, _ = calibrate(forest, fit_recon(normal, names), normal)
+    raw = prepared.test.withColumn("raw", forest.raw(spark))
+    return raw.select(
+        "sample_id", "machine_id", round_scaled(forest.score(F.col("raw")), 6).alias("score"),
+        forest.predict(F.col("raw")).alias("prediction"),
+    )
 
 
 @query
 def sequence_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(_events(spark, folder), "lstm")
+    """Failure probability of the test split from trailing windows."""
+    prepared = _events(spark, folder)
+    names = [SCALED.format(name) for name in SENSORS]
+    model = fit_sequence(prepared.train, names, prepared.stats.classes)
+    scored = score_sequence(prepared.test, model, "sequence")
+    return scored.select(
+        "sample_id", "machine_id", round_scaled(F.col("sequence_raw"), 6).alias("score"),
+        F.col("sequence_prediction").alias("prediction"),
+    )
 
 
 @query

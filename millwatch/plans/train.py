@@ -280,13 +280,17 @@ def score_row_local(df: DataFrame, detectors: Detectors) -> DataFrame:
     inputs = bring_to_inputs(df, detectors)
     ruled = _score_rule(inputs, detectors)
     scored = _with_scores(_score_row_local(ruled, detectors), MODELS[:3])
-    return scored.drop(*[c for c in scored.columns if c.endswith(("_raw", "__scaled"))])
+    inner = [f"{m}_raw" for m in MODELS[:3]] + [SCALED.format(n) for n in detectors.features]
+    return scored.drop(*inner)
 
 
 def score_saved(
     df: DataFrame, detectors: Detectors, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
-    """Score a new canonical table with saved detectors, all rows as one split."""
+    """Score a new canonical table with saved detectors, all rows as one split.
+
+    Rows without machine id belong to no timeline and are left out.
+    """
     inputs = bring_to_inputs(df, detectors).withColumn("split", F.lit("new"))
     placed = with_positions(
         inputs, "machine_id", "timestamp", "sample_id", group_rows, "split_position", "_size"

@@ -61,7 +61,7 @@ def sensor_events_text(spark: SparkSession, folder: str) -> DataFrame:
     return sensor_events(spark, folder).select(
         F.col("sample_id").alias("row id"),
         F.col("machine_id").alias("Product ID"),
-        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("Event Time"),
+        F.col("timestamp").cast("string").alias("Event Time"),
         F.col("torque").cast("string").alias("Torque [Nm]"),
         F.col("tool_wear").cast("string").alias("Tool wear [min]"),
         F.col("vibration").cast("string").alias("Vibe"),

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millwatch.operators.normalize import null_tokens_to_null
+from millwatch.functions.scalar import iso_second
+from millwatch.operators.normalize import canonical_order, null_tokens_to_null
+from millwatch.session import stage
 
 _BROKEN = "_broken_line"
 
@@ -15,7 +17,7 @@ def _with_file_numbers(df: DataFrame, name: str) -> DataFrame:
     """Number rows in file order: by file, block of the file, line.
 
     Rows of one block come one after another from the same scan task, so only
-    the number of rows per block has to be known; nothing is sorted or staged.
+    the number of rows per block has to be known; nothing is sorted.
     """
     ordered = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
@@ -38,39 +40,42 @@ def load_csv(
 ) -> DataFrame:
     """Read a CSV with a header; all columns are strings, missing texts null.
 
+    The text is parsed once, into a staged table that every later pass reads.
     Short lines are filled with nulls, lines with too many fields are refused.
     With ``row_number``, a column of that name numbers the lines from 1.
     ``multi_line`` allows line breaks inside quotes, at the price of one task
     per file.
     """
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    quoting = {"escape": '"', "mode": "PERMISSIVE"}
+    reader = spark.read.option("header", True).option("multiLine", multi_line).options(**quoting)
     header = reader.csv(path).columns
     if not header:
         raise ValueError("The CSV is empty.")
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    lines = (
-        reader.schema(schema.add(_BROKEN, T.StringType()))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _BROKEN)
-        .csv(path)
+    names = [f"c{i}" for i in range(len(header))]
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, _BROKEN]])
+    parsed = reader.schema(schema).option("columnNameOfCorruptRecord", _BROKEN).csv(path)
+    lines = stage(
+        parsed.withColumns(
+            {
+                "_file": F.col("_metadata.file_path"),
+                "_start": F.col("_metadata.file_block_start"),
+                "_slot": F.monotonically_increasing_id(),
+            }
+        ),
+        "csv",
     )
-    if lines.drop(_BROKEN).isEmpty():
+    if lines.isEmpty():
         raise ValueError("The CSV is empty.")
     # A line is reported for too few fields as well; only a further field counts.
     wider = ", ".join(f"f{i} string" for i in range(len(header) + 1))
     fields = F.from_csv(
-        _BROKEN,
-        f"{wider}, over string",
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "over", "escape": '"'},
+        _BROKEN, f"{wider}, over string", {**quoting, "columnNameOfCorruptRecord": "over"}
     )
-    wide = F.col("fields")[f"f{len(header)}"].isNotNull() | F.col("fields")["over"].isNull()
-    # The test is on the length, as a null test would be pushed into the scan,
-    # which answers it before it knows; all columns are read for the same reason.
+    further = F.col("fields")[f"f{len(header)}"].isNotNull() | F.col("fields")["over"].isNull()
     too_long = (
-        lines.where(F.length(_BROKEN) > 0)
-        .withColumn("fields", fields)
-        .where(wide)
-        .drop("fields")
+        lines.where(F.col(_BROKEN).isNotNull())
+        .select(_BROKEN, fields.alias("fields"))
+        .where(further)
         .first()
     )
     if too_long is not None:
@@ -78,24 +83,18 @@ def load_csv(
             f"The file is not a valid CSV: more fields than the header has in {too_long[_BROKEN]!r}."
         )
     if row_number is None:
-        return null_tokens_to_null(lines.drop(_BROKEN))
-    placed = lines.drop(_BROKEN).withColumns(
-        {
-            "_file": F.col("_metadata.file_path"),
-            "_start": F.col("_metadata.file_block_start"),
-            "_slot": F.monotonically_increasing_id(),
-        }
-    )
-    return null_tokens_to_null(_with_file_numbers(placed, row_number))
+        return null_tokens_to_null(lines.select(*names)).toDF(*header)
+    numbered = _with_file_numbers(lines.drop(_BROKEN), "_number").select(*names, "_number")
+    return null_tokens_to_null(numbered).toDF(*header, row_number)
 
 
 def export_test_csv(prepared_split: DataFrame, path: str) -> None:
-    """Write the cleaned test split, unscaled, as CSV with a header."""
+    """Write the cleaned test split, unscaled and in canonical order, as CSV."""
     kept = [
         c for c in prepared_split.columns
         if not c.endswith("__scaled") and c not in ("split", "split_position")
     ]
-    test = prepared_split.where(F.col("split") == "test").select(*kept)
-    test.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")).write.option(
+    test = canonical_order(prepared_split.where(F.col("split") == "test").select(*kept))
+    test.withColumn("timestamp", iso_second(F.col("timestamp"))).write.option(
         "header", True
     ).mode("overwrite").csv(path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwatch import fixed
-from millwatch.functions.scalar import json_object
+from millwatch.functions.scalar import iso_second, json_object
 from millwatch.operators.stats import SCALED
 
 _SENSOR_COLUMNS = ", ".join(f"{name} double" for name in fixed.SENSORS)
@@ -77,7 +77,7 @@ def _payload(features: Sequence[str]) -> Column:
         {
             "sample_id": F.col("sample_id"),
             "machine_id": F.col("machine_id"),
-            "timestamp": F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"),
+            "timestamp": iso_second(F.col("timestamp")),
             **{name: F.col(name) for name in features},
             "failure_label": F.col("failure_label"),
         }

@@ -1,14 +1,13 @@
 import pytest
 
-from millwatch.session import local_session
+from millwatch.session import clear_staging, local_session
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    folder = str(tmp_path_factory.mktemp("staging"))
-    session = local_session(4, "tests", **{"spark.checkpoint.dir": folder})
-    session.sparkContext.setCheckpointDir(folder)
+def spark():
+    session = local_session(4, "tests")
     yield session
+    clear_staging(session)
     session.stop()
 
 

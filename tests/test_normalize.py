@@ -3,8 +3,9 @@ from pyspark.sql import functions as F
 
 from millwatch.functions.scalar import health_band, iso_second, label_text, metric_cell, nan_to_null, risk_level, verdict
 from millwatch.operators.normalize import (
-    available_sensors, canonical_names, column_warnings, label_of, normalize_columns, slug,
+    available_sensors, canonical_names, column_warnings, label_of, normalize_columns, slug, timeline_moment,
 )
+from millwatch.operators.ordering import seconds_of
 from millwatch.operators.split import chronological_split
 from millwatch.plans.ingest import ingest
 from millwatch.plans.prepare import prepare
@@ -102,6 +103,25 @@ def test_time_format_and_order(spark):
     ]
 
 
+def test_session_zone_plays_no_part(spark):
+    """Clock changes of the session's zone must not move readings."""
+    gap = ("2026-03-08 02:30:00.5", "2026-11-01 01:30:00", "1969-07-20 20:17:40")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        plain = ingest(texts(spark, ["time", "torque"], *[(t, "1") for t in gap]))
+        want = sorted(t[:19].replace(" ", "T") for t in gap)
+        iso = iso_second(F.col("timestamp"))
+        assert sorted(r[0] for r in plain.readings.select(iso).collect()) == want
+        styled = [(f"{t[8:10]}/{t[5:7]}/{t[:4]} {t[11:19]}", "1") for t in gap]
+        formed = ingest(texts(spark, ["time", "torque"], *styled), time_format="dd/MM/yyyy HH:mm:ss")
+        assert sorted(r[0] for r in formed.readings.select(iso).collect()) == want
+        steps = spark.range(1, 40_000).select(seconds_of(timeline_moment(F.col("id"))).alias("s"))
+        assert steps.agg(F.max("s") - F.min("s")).first()[0] == 39_998 * 300
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_null_machines_are_noted(spark):
     rows = texts(spark, ["machine", "torque"], ("a", "1"), (None, "2"))
     batch = ingest(rows)
