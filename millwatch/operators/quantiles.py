@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Up to this many values are gathered to read the wanted ones off.
-GATHERED_VALUES = 50_000
+GATHERED_VALUES = 200_000
 _SKETCH_SIZE = 4_096
 _SKETCH_GROUPS = 256
 # Rank share by which a bracket is widened; well above the sketch's error.
