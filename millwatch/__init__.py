@@ -1,5 +1,9 @@
 """Sensor analytics for predictive maintenance, as Spark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from millwatch.plans.evaluate import Results, evaluate_scored, report_tables, save_document
 from millwatch.plans.ingest import Ingested, ingest, ingest_csv
 from millwatch.plans.prepare import Prepared, prepare, prepare_readings
@@ -21,3 +25,6 @@ __all__ = [
     "report_tables", "run", "save_detectors", "save_document", "score_detectors", "score_saved",
     "score_stream", "train_and_score", "write_scores",
 ]
+
+# Functions that run on workers travel with their code: workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
