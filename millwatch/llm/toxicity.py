@@ -38,14 +38,20 @@ RESULT = "struct<score:double,passages:array<struct<start:int,end:int,score:doub
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the labelled documents learnt from, after near copies are thinned."""
+    """``sample_rows`` bounds the labelled documents learnt from, before near copies are thinned.
+
+    A form is telling with a z-score of ``min_z`` and log-odds of ``min_weight``:
+    with many documents common words pass the first with hardly any weight, and
+    passages of nothing else would grow over whole texts.
+    """
 
     sample_rows: int = 40_000
     prior_docs: float = 10.0
     prior_count: float = 0.5
     min_z: float = 3.0
+    min_weight: float = 2.0
     known_docs: int = 8
-    gap_cost: float = 0.02
+    gap_cost: float = 0.05
 
 
 @dataclass(frozen=True)
@@ -175,8 +181,9 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
         .withColumn("_z", F.col("weight") / F.sqrt(1 / y1 + 1 / y0))
     )
     # bounded by the sample: only forms seen in several of its documents
-    kept = scored.where((F.col("_z") >= settings.min_z) | (F.col("toxic") + F.col("clean") >= settings.known_docs))
-    rows = kept.select("token", F.when(F.col("_z") >= settings.min_z, F.col("weight")).otherwise(0.0).alias("weight")).toPandas()
+    telling = (F.col("_z") >= settings.min_z) & (F.col("weight") >= settings.min_weight)
+    kept = scored.where(telling | (F.col("toxic") + F.col("clean") >= settings.known_docs))
+    rows = kept.select("token", F.when(telling, F.col("weight")).otherwise(0.0).alias("weight")).toPandas()
     tokens = rows["token"].to_numpy(np.int64).view(np.uint64)
     weights = rows["weight"].to_numpy(np.float64)
     # a harmless opening says nothing, a harmless whole word does
