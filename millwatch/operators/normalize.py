@@ -67,12 +67,12 @@ def null_tokens_to_null(df: DataFrame) -> DataFrame:
 
 
 def number_of(column: Column, data_type: T.DataType) -> Column:
-    """The column as double; texts that are no number, and NaN, become null."""
+    """The column as double; texts that are no number, NaN and infinite values become null."""
     if isinstance(data_type, T.StringType):
         column = F.when(column.rlike(_NUMBER), column.try_cast("double"))
     else:
         column = column.cast("double")
-    return F.when(~F.isnan(column), column)
+    return F.when(F.abs(column) < float("inf"), column)  # NaN is above all numbers
 
 
 def zone_free_seconds(column: Column) -> Column:

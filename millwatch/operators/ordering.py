@@ -38,17 +38,25 @@ def micros_of(moment: Column) -> Column:
     return seconds_of(moment) * 1_000_000 + (fraction * 1_000_000).cast("long")
 
 
+#: Cell of null times and ids, before all others.
+_FIRST = -(1 << 62)
+
+
 def largest_group(df: DataFrame, *keys: Column | str) -> int:
     row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).agg(F.max("rows")).first()
     return int(row[0] or 0)
 
 
 def _cells(time: str, ident: str, width: int | None, group_rows: int) -> tuple[Column, Column]:
-    """Order-keeping cell columns; without a width, one second by blocks of ids."""
+    """Order-keeping cell columns; without a width, one microsecond by blocks of ids.
+
+    Null times and null ids get the first cell, where a sort puts them.
+    """
     if width is not None:
-        return F.floor(seconds_of(F.col(time)) / width).cast("long"), F.lit(0).cast("long")
+        cell = F.floor(seconds_of(F.col(time)) / width).cast("long")
+        return F.coalesce(cell, F.lit(_FIRST)), F.lit(0).cast("long")
     block = F.floor(F.col(ident) / group_rows).cast("long")
-    return seconds_of(F.col(time)), block
+    return F.coalesce(micros_of(F.col(time)), F.lit(_FIRST)), F.coalesce(block, F.lit(_FIRST))
 
 
 def _counts(df: DataFrame, *keys: str) -> tuple[DataFrame, int]:
@@ -188,16 +196,18 @@ def with_previous(
     name: str,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Add the column's value in the key's previous row (null in its first)."""
-    if largest_group(df, key) <= group_rows:
+    """Add the column's value in the key's previous row (null in its first, and without a key)."""
+    keyed, unkeyed = df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
+    none = unkeyed.withColumn(name, F.lit(None).cast(df.schema[column].dataType))
+    if largest_group(keyed, key) <= group_rows:
         timeline = Window.partitionBy(key).orderBy(time, ident)
-        return df.withColumn(name, F.lag(column).over(timeline))
-    placed = with_positions(df, key, time, ident, group_rows, "_place", "_size")
+        return keyed.withColumn(name, F.lag(column).over(timeline)).unionByName(none)
+    placed = with_positions(keyed, key, time, ident, group_rows, "_place", "_size")
     paired = with_trailing_rows(
         placed, [key], "_place", F.struct(F.col(column).alias("v")), 2, "_pair", group_rows
     )
     value = F.when(F.size("_pair") == 2, F.col("_pair")[0]["v"])
-    return paired.withColumn(name, value).drop("_place", "_size", "_pair")
+    return paired.withColumn(name, value).drop("_place", "_size", "_pair").unionByName(none)
 
 
 def with_global_row_number(
@@ -221,10 +231,10 @@ def with_global_row_number(
         )
     )
     inner = F.col("_slot").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
-    # One row per write task: small however large the data.
+    # One row per write task; staged, so that Spark knows its size before it plans the join.
     return (
         staged.withColumn("_partition", partition)
-        .join(F.broadcast(offsets), "_partition")
+        .join(stage(offsets, "offsets"), "_partition")
         .withColumn(name, F.col("_offset") + inner + 1)
         .drop("_slot", "_partition", "_offset")
     )
@@ -239,7 +249,8 @@ def with_rank_by_group(
     the rank comes from one global numbering, restarted at every group.
     """
     numbered = with_global_row_number(df, [F.col(group), *order], "_number")
-    starts = numbered.groupBy(group).agg(F.min("_number").alias("_start"))
+    # a row per group, staged: a join of known small size needs no shuffle of the rows on the group
+    starts = stage(numbered.groupBy(group).agg(F.min("_number").alias("_start")), "starts")
     return (
         numbered.join(starts, group)
         .withColumn(name, F.col("_number") - F.col("_start") + 1)

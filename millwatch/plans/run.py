@@ -6,11 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millwatch.operators.split import chronological_split, select_split
 from millwatch.plans.evaluate import Results, evaluate_scored, save_document, store_results
 from millwatch.plans.ingest import Ingested, ingest, ingest_csv
 from millwatch.plans.prepare import Prepared, prepare
-from millwatch.plans.train import Detectors, load_detectors, save_detectors, train_and_score
-from millwatch.plans.train import score_detectors
+from millwatch.plans.train import (
+    Detectors, bring_to_inputs, load_detectors, save_detectors, score_detectors, train_and_score,
+)
 from millwatch.session import stage
 from millwatch.sources.tables import ResultTables
 
@@ -45,7 +47,13 @@ def run(
         detectors, scored = train_and_score(prepared, **training)
     else:
         detectors = load_detectors(spark, pretrained)
-        scored = stage(score_detectors(prepared.test, detectors), "scored")
+        if set(detectors.features) != set(batch.features):
+            raise ValueError(
+                f"The saved detectors read {sorted(detectors.features)}, the table has {sorted(batch.features)}."
+            )
+        # the saved medians and scaling, not those of the new table
+        test = select_split(chronological_split(batch.readings), "test")
+        scored = stage(score_detectors(bring_to_inputs(test, detectors), detectors), "scored")
     results = evaluate_scored(
         scored, prepared.stats, detectors.thresholds,
         status=detectors.status, notes=detectors.notes,

@@ -244,3 +244,16 @@ def test_whole_run_with_tables_and_document(spark, tmp_path):
     columns = ("sample_id", "isolation_forest_score", "lstm_score")
     assert values(again.results.scored, *columns) == values(done.results.scored, *columns)
     assert {r.rows for r in tables.counts().collect()} == {960, 768, 8, 4}
+    # a drifted table is scaled with the saved values, so it stands out
+    table = readings(spark, {"a": 160, "b": 160, "c": 160})
+    shifted = table.withColumns({c: F.col(c) + 500 for c in done.detectors.features})
+    drifted = run(
+        spark, shifted, pretrained=f"{tmp_path}/models", ingest_options={"id_column": "sample_id"},
+    )
+    least = drifted.results.scored.agg(F.min("isolation_forest_score"), F.min("autoencoder_score")).first()
+    assert least[0] > 0.7 and least[1] > 0.9
+    with pytest.raises(ValueError, match="saved detectors read"):
+        run(
+            spark, table.drop(done.detectors.features[0]),
+            pretrained=f"{tmp_path}/models", ingest_options={"id_column": "sample_id"},
+        )

@@ -134,3 +134,26 @@ def test_input_order_does_not_matter(spark):
     shuffled = spark.createDataFrame(df.orderBy(F.rand(1)).collect(), SCHEMA)
     columns = ("sample_id", "split", "split_position")
     assert values(chronological_split(df), *columns) == values(chronological_split(shuffled), *columns)
+
+
+@pytest.mark.parametrize("limit", [1000, 50, 7])
+def test_group_limit_changes_nothing_for_nulls_and_fractions(spark, limit):
+    """Null keys, null times, equal times, times inside one second and scattered ids."""
+    rows = []
+    for i in range(100):
+        key = None if i % 10 == 3 else "a"
+        ident = (i * 7919) % 100_003
+        second = None if i % 25 == 4 else f"2026-01-01 00:00:00.{(99 - i) // 2:06d}"
+        rows.append((key, second, ident, float(i)))
+    frame = spark.createDataFrame(rows, "key string, time string, ident long, value double").withColumn(
+        "time", F.col("time").cast("timestamp_ntz")
+    )
+    got = {r.ident: r for r in with_previous(frame, "key", "time", "ident", "value", "before", limit).collect()}
+    assert len(got) == 100
+    placed = {r.ident: r.position for r in with_positions(frame, "key", "time", "ident", limit).collect()}
+    ordered = sorted((r for r in rows if r[0]), key=lambda r: (r[1] is not None, r[1] or "", r[2]))
+    before = None
+    for place, (_, _, ident, value) in enumerate(ordered, 1):
+        assert placed[ident] == place and got[ident].before == before
+        before = value
+    assert all(got[r[2]].before is None for r in rows if r[0] is None)
