@@ -41,40 +41,50 @@ def _toss_table(values: int) -> np.ndarray:
 _TOSS = _toss_table(128).ravel()
 
 
-def _labels(x: np.ndarray) -> np.ndarray:
-    """Labels below 6 of signs whose neighbours differ; neighbouring labels differ too."""
+def _labels(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Labels below 6 of signs whose neighbours differ; neighbouring labels differ too.  ``first``: where texts begin."""
     low = np.zeros_like(x)
     np.bitwise_xor(x[1:], x[:-1], out=low[1:])
     low &= -low
-    low[0] = 1
+    low[first] = 1
     bit = np.bitwise_count(low - x.dtype.type(1))
     label = (2 * bit + ((x >> bit.astype(x.dtype)) & x.dtype.type(1)).astype(np.uint8)).astype(np.uint8)
     for _ in range(3):
         code = label.astype(np.int16)
         code <<= 7
-        code[1:] |= label[:-1]
-        code[0] |= label[0] ^ 1
+        before = np.empty_like(label)
+        before[1:] = label[:-1]
+        before[first] = label[first] ^ 1
+        code |= before
         label = _TOSS[code]
     return label
 
 
-def parse_level(x: np.ndarray, level: int) -> np.ndarray:
-    """Names of the phrases that the signs ``x`` are cut into."""
-    n = len(x)
+def parse_level(x: np.ndarray, level: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the phrases that the signs ``x`` are cut into, and where each text begins among them.
+
+    ``first`` holds where each of several texts, none empty, begins in ``x``; a
+    text is parsed as if it stood alone.
+    """
+    first = np.zeros(1, np.int64) if first is None else first
     tag = np.uint64(level * int(_SALT) % (1 << 64))
-    change = np.flatnonzero(x[1:] != x[:-1]) + 1
-    if len(change) < n - 1:
-        begin = np.concatenate(([0], change))
-        length = np.diff(np.append(begin, n))
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    new[first] = True
+    begin = np.flatnonzero(new)
+    if len(begin) < len(x):
+        length = np.diff(np.append(begin, len(x)))
         x = x[begin].astype(np.uint64)
-        power = length > 1
+        power = np.flatnonzero(length > 1)
         x[power] = mix(x[power] * np.uint64(3) + length[power].astype(np.uint64) * _SALT)
-        n = len(x)
-    if n == 1:
-        return mix(x.astype(np.uint64) + tag)
-    label = _labels(x)
-    cut = np.flatnonzero((label[1:-1] > label[:-2]) & (label[1:-1] > label[2:])) + 1
-    begin = np.concatenate(([0], cut)) if len(cut) else np.zeros(1, np.int64)
+        first = np.searchsorted(begin, first)
+    n = len(x)
+    label = _labels(x, first)
+    cut = np.zeros(n, bool)
+    np.logical_and(label[1:-1] > label[:-2], label[1:-1] > label[2:], out=cut[1:-1])
+    cut[np.append(first[1:], n) - 1] = False
+    cut[first] = True
+    begin = np.flatnonzero(cut)
     size = np.diff(np.append(begin, n))
     place = np.arange(n, dtype=np.uint64) - np.repeat(begin, size).astype(np.uint64)
     place += np.uint64(1)
@@ -82,28 +92,38 @@ def parse_level(x: np.ndarray, level: int) -> np.ndarray:
     parts = (x.astype(np.uint64) + place) * (place | np.uint64(1))
     parts ^= parts >> np.uint64(29)
     parts *= np.uint64(0xBF58476D1CE4E5B9)
-    return mix(np.add.reduceat(parts, begin) + tag + size.astype(np.uint64))
+    return mix(np.add.reduceat(parts, begin) + tag + size.astype(np.uint64)), np.searchsorted(begin, first)
 
 
-def sketch(text: str) -> np.ndarray:
-    """Least name of the second and later levels in each slot, 65535 where a slot has none."""
-    out = np.full(SLOTS, _EMPTY, np.uint16)
-    x = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int32)
+def sketches(texts: list[str]) -> np.ndarray:
+    """A row for each text: the least name of the second and later levels in each slot, 65535 where there is none."""
+    out = np.full((len(texts), SLOTS), _EMPTY, np.uint16)
+    flat = out.ravel()
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    doc = np.flatnonzero(length)
+    x = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int32)
+    first = (np.cumsum(length) - length)[doc]
     level = 0
-    while len(x) > 0:
+    while len(doc):
         level += 1
-        x = parse_level(x, level)
-        if level >= 2 or len(x) == 1:
-            slot = (x & np.uint64(SLOTS - 1)).astype(np.int64)
-            value = ((x >> np.uint64(40)) % np.uint64(_EMPTY)).astype(np.uint16)
-            np.minimum.at(out, slot, value)
-        if len(x) == 1:
-            break
+        x, first = parse_level(x, level, first)
+        size = np.diff(np.append(first, len(x)))
+        own = np.repeat(doc, size)
+        done = np.repeat(size == 1, size)
+        use = slice(None) if level >= 2 else done
+        slot = own[use] * SLOTS + (x[use] & np.uint64(SLOTS - 1)).astype(np.int64)
+        np.minimum.at(flat, slot, ((x[use] >> np.uint64(40)) % np.uint64(_EMPTY)).astype(np.uint16))
+        x, doc, size = x[~done], doc[size > 1], size[size > 1]
+        first = np.cumsum(size) - size
     return out
 
 
-def as_text(fingerprint: np.ndarray) -> str:
-    return fingerprint.astype(">u2").tobytes().hex()
+def sketch(text: str) -> np.ndarray:
+    return sketches([text])[0]
+
+
+def as_bytes(fingerprint: np.ndarray) -> bytes:
+    return fingerprint.astype(">u2").tobytes()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -112,52 +132,67 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.count_nonzero((a == b) & used) / np.count_nonzero(used)) if used.any() else 1.0
 
 
-def _row(doc_id, text: str, own: np.ndarray, after: str | None, after_print: np.ndarray | None) -> tuple:
+def _edited(text: str, after: str) -> str:
     piece = len(text) // 4
-    edited = text[: len(text) - piece] + (after or "")[:piece]
-    edited_print = sketch(edited)
-    near_next = None if after_print is None else likeness(own, after_print)
-    return (
-        doc_id,
-        len(text),
-        hashlib.sha256(edited.encode()).hexdigest(),
-        as_text(own),
-        as_text(edited_print),
-        likeness(own, edited_print),
-        near_next,
-    )
+    return text[: len(text) - piece] + after[:piece]
+
 
+def _row(doc_id: int | None, text: str, edited: str, own: np.ndarray, other: np.ndarray, after: np.ndarray) -> tuple:
+    digest = hashlib.sha256(edited.encode()).digest()
+    return doc_id, len(text), digest, as_bytes(own), as_bytes(other), likeness(own, other), likeness(own, after)
 
-_RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+#: Names and digests stay bytes until the end: half the size in the staged table.
+_RESULT = "doc_id bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _PLACED = _RESULT + ", _part int, _role int, _text string"
 _COLUMNS = [c.split()[0] for c in _PLACED.split(", ")]
+_RUN_SIGNS = 400_000
+
+
+def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts with about _RUN_SIGNS signs."""
+    lo = total = 0
+    for i, t in enumerate(texts):
+        total += len(t)
+        if total >= _RUN_SIGNS:
+            yield lo, i + 1
+            lo, total = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows in order: each waits for the next.  The first and last text of a part are handed on."""
     held = None
-    part = None
+    part = 0
     for batch in batches:
+        ids = [None if pd.isna(d) else int(d) for d in batch["_id"]]
+        texts = list(batch["_text"])
         rows = []
-        for doc_id, text, part in zip(batch["_id"], batch["_text"], batch["_part"], strict=True):
-            doc_id = None if pd.isna(doc_id) else int(doc_id)
-            text = text or ""
-            own = sketch(text)
+        if len(texts):
+            part = int(batch["_part"].iloc[0])
+        for lo, hi in _runs(texts):
             if held is None:
-                rows.append((doc_id, None, None, None, None, None, None, int(part), 0, text))
-            else:
-                rows.append((*_row(held[0], held[1], held[2], text, own), int(part), 1, None))
-            held = (doc_id, text, own)
+                rows.append((ids[0], *[None] * 6, part, 0, texts[0]))
+            before = ([] if held is None else [held[:2]]) + list(zip(ids[lo:hi], texts[lo:hi], strict=True))
+            edited = [_edited(a[1], b[1]) for a, b in zip(before, before[1:], strict=False)]
+            found = sketches(texts[lo:hi] + edited)
+            own = found[: hi - lo] if held is None else np.concatenate((held[2][None], found[: hi - lo]))
+            for i, text in enumerate(edited):
+                rows.append((*_row(*before[i], text, own[i], found[hi - lo + i], own[i + 1]), part, 1, None))
+            held = (*before[-1], own[-1])
         yield pd.DataFrame(rows, columns=_COLUMNS)
     if held is not None:
-        yield pd.DataFrame([(held[0], None, None, None, None, None, None, int(part), 2, held[1])], columns=_COLUMNS)
+        yield pd.DataFrame([(held[0], *[None] * 6, part, 2, held[1])], columns=_COLUMNS)
 
 
 def _close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for doc_id, text, after in zip(batch["doc_id"], batch["_text"], batch["_after"], strict=True):
-            rows.append(_row(None if pd.isna(doc_id) else int(doc_id), text, sketch(text), after, sketch(after)))
+            edited = _edited(text, after)
+            own, other, last = sketches([text, edited, after])
+            rows.append(_row(None if pd.isna(doc_id) else int(doc_id), text, edited, own, other, last))
         yield pd.DataFrame(rows, columns=_COLUMNS[:7])
 
 
@@ -177,7 +212,7 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     placed = stage(
         ordered.withColumn("_part", F.spark_partition_id()).mapInPandas(_walk, _PLACED), "fingerprints"
     )
-    whole = [c for c in _COLUMNS[:7]]
+    whole = [F.lower(F.hex(c)).alias(c) if i in (2, 3, 4) else F.col(c) for i, c in enumerate(_COLUMNS[:7])]
     ends = placed.where("_role != 1").select("_part", "_role", "doc_id", "_text")
     # one number for each range: which range follows which
     used = sorted(r["_part"] for r in ends.where("_role = 0").select("_part").collect())
@@ -188,5 +223,5 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     )
     heads = ends.where("_role = 0").select(F.col("_part").alias("_next"), F.col("_text").alias("_after"))
     last = ends.where("_role = 2").select("_part", "doc_id", "_text").join(follows, "_part").join(heads, "_next")
-    closed = last.select("doc_id", "_text", "_after").mapInPandas(_close, _RESULT)
+    closed = last.select("doc_id", "_text", "_after").mapInPandas(_close, _RESULT).select(whole)
     return placed.where("_role = 1").select(whole).unionByName(closed)

@@ -222,8 +222,10 @@ def test_equal_substrings_share_inner_phrases():
     for lead in ("", "x", "some other opening "):
         a, b = (np.frombuffer((s + body).encode("utf-32-le"), np.uint32).astype(np.int32) for s in ("", lead))
         for level in (1, 2):
-            a, b = fingerprints.parse_level(a, level), fingerprints.parse_level(b, level)
+            a, b = fingerprints.parse_level(a, level)[0], fingerprints.parse_level(b, level)[0]
             assert len(set(a.tolist()) & set(b.tolist())) >= len(set(a.tolist())) - 12
+    many = ["", "a", body, "", "aaaa", body[7:], "ab" * 50]
+    assert np.array_equal(fingerprints.sketches(many), np.stack([fingerprints.sketch(t) for t in many]))
     other = fingerprints.sketch(sentence(rng, 300))
     changed = fingerprints.sketch(body[:1000] + "!" + body[1000:])
     assert fingerprints.likeness(fingerprints.sketch(body), changed) > 0.85
