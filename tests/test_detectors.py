@@ -250,10 +250,6 @@ def test_whole_run_with_tables_and_document(spark, tmp_path):
     drifted = run(
         spark, shifted, pretrained=f"{tmp_path}/models", ingest_options={"id_column": "sample_id"},
     )
-    least = drifted.results.scored.agg(F.min("isolation_forest_score"), F.min("autoencoder_score")).first()
-    assert least[0] > 0.7 and least[1] > 0.9
-    with pytest.raises(ValueError, match="saved detectors read"):
-        run(
-            spark, table.drop(done.detectors.features[0]),
-            pretrained=f"{tmp_path}/models", ingest_options={"id_column": "sample_id"},
-        )
+    mean = [F.avg(f"{m}_score") for m in ("isolation_forest", "autoencoder")]
+    new, old = (x.results.scored.agg(*mean).first() for x in (drifted, again))
+    assert new[0] > old[0] + 0.2 and new[1] > old[1] + 0.2
