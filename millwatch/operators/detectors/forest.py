@@ -20,10 +20,6 @@ from millwatch import fixed
 from millwatch.functions.scalar import clamp_threshold, min_max
 
 NODE_SCHEMA = "tree int, node int, feature int, cut double, path double, rows int"
-# Rows kept for drawing, as a multiple of what all trees take together.
-_POOL_FACTOR = 4
-# Candidates per tree, as a multiple of the rows it takes.
-_SPARE_FACTOR = 2
 
 
 def average_path(rows: float) -> float:
@@ -44,27 +40,39 @@ def _unit(*columns: Column | str) -> Column:
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
 
 
+def _candidates(sample: int) -> float:
+    """Mean number of candidates of a tree: fewer than ``sample`` come with a chance below 1e-14."""
+    return sample + 8.0 * math.sqrt(sample) + 64.0
+
+
 def draw_samples(
-    df: DataFrame, features: Sequence[str], rows: int, trees: int, sample: int, seed: int,
-    all_candidates: bool = False,
+    df: DataFrame, features: Sequence[str], rows: int, trees: int, sample: int, seed: int
 ) -> DataFrame:
-    """``sample`` rows for every tree, drawn by hashing row ids.
+    """``sample`` rows for every tree, drawn from all rows by hashing row ids.
 
-    A large table is first thinned to a uniform pool, so only the pool is
-    offered to all trees; each tree keeps its rows with the smallest numbers.
+    Every pair of row and tree is a candidate with the same chance, independent of
+    all others.  One number of the row decides its first tree, as the wait for a
+    first success does; most rows of a large table have none and go at once, only
+    the rest are tried on the trees that follow.  A tree keeps the candidates
+    with the smallest numbers.
     """
-    pool_rows = _POOL_FACTOR * trees * sample
-    pool = df.select("sample_id", *features)
-    if rows > pool_rows:
-        pool = pool.where(_unit("sample_id", F.lit(seed)) < pool_rows / rows)
-    limit = 2.0 if all_candidates else _SPARE_FACTOR * sample / min(rows, pool_rows)
-    draw = _unit("sample_id", F.lit(seed + 1), F.col("tree"))
-    first = Window.partitionBy("tree").orderBy("draw", "sample_id")
+    chance = _candidates(sample) / max(rows, 1)
+    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
+    offered = df.select("sample_id", *features)
+    if chance < 1.0:
+        wait = F.log1p(-_unit("sample_id", F.lit(seed))) / F.lit(math.log1p(-chance))
+        offered = offered.withColumn("first", F.floor(wait)).where(F.col("first") < trees)
+
+        def joins(tree: Column) -> Column:
+            later = (tree > F.col("first")) & (_unit("sample_id", F.lit(seed + 1), tree) < chance)
+            return (tree == F.col("first")) | later
+
+        numbers = F.filter(numbers, joins)
+    smallest = Window.partitionBy("tree").orderBy("draw", "sample_id")
     return (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("draw", draw)
-        .where(F.col("draw") < limit)
-        .withColumn("place", F.row_number().over(first))
+        offered.select("sample_id", *features, F.explode(numbers).alias("tree"))
+        .withColumn("draw", _unit("sample_id", F.lit(seed + 2), F.col("tree")))
+        .withColumn("place", F.row_number().over(smallest))
         .where(F.col("place") <= sample)
     )
 
@@ -188,12 +196,6 @@ def grow_forest(
     """Grow the trees on normal scaled rows; calibration follows separately."""
     sample = min(sample, rows)
 
-    def grow(all_candidates: bool) -> pd.DataFrame:
-        drawn = draw_samples(normal, features, rows, trees, sample, seed, all_candidates)
-        return grow_trees(drawn, features, tree_depth(sample), seed).toPandas()
-
-    nodes = grow(all_candidates=False)
-    roots = nodes.loc[nodes["node"] == 0, "rows"]
-    if len(roots) < trees or roots.min() < sample:
-        nodes = grow(all_candidates=True)
+    drawn = draw_samples(normal, features, rows, trees, sample, seed)
+    nodes = grow_trees(drawn, features, tree_depth(sample), seed).toPandas()
     return ForestModel(tuple(features), nodes.sort_values(["tree", "node"]), sample, contamination)

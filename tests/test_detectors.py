@@ -101,6 +101,22 @@ def test_extreme_reading_ranks_first(spark, prepared, detectors):
         assert scored.loc[scored[f"{model}_score"].idxmax(), f"{model}_score"] == scored.set_index("sample_id").loc[-1, f"{model}_score"]
 
 
+def test_every_row_may_be_drawn(spark):
+    rows, trees, sample = 40_000, 200, 256
+    big = spark.range(rows).select(F.col("id").alias("sample_id"), F.rand(5).alias("x"))
+    drawn = draw_samples(big, ["x"], rows, trees, sample, 42).toPandas()
+    assert (drawn.groupby("tree").size() == sample).all() and len(drawn["tree"].unique()) == trees
+    assert not drawn.duplicated(["tree", "sample_id"]).any()
+    # 51,200 draws leave exp(-1.28) of the rows out; first, middle and last trees see alike rows
+    assert abs(drawn["sample_id"].nunique() / rows - (1 - np.exp(-1.28))) < 0.02
+    middle = drawn.groupby(drawn["tree"] // 50)["sample_id"].mean()
+    assert (abs(middle / rows - 0.5) < 0.02).all()
+    # trees are independent: rows met in two neighbouring trees are as rare as chance has it
+    sets = drawn.groupby("tree")["sample_id"].apply(set)
+    shared = sum(len(sets[t] & sets[t + 1]) for t in range(trees - 1)) / (trees - 1)
+    assert abs(shared - sample * sample / rows) < 0.5
+
+
 def test_scores_and_calibration(prepared, detectors, normal):
     scored = score_detectors(prepared.test, detectors)
     for name in MODELS:
