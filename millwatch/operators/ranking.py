@@ -142,13 +142,28 @@ def predictions_long(
 
 
 def _by_score(best: str) -> list[Column | str]:
-    return [F.col("scores")[best].desc(), *CANONICAL]
+    return [shown_score(F.col(f"{best}_score")).desc(), *CANONICAL]
 
 
-def anomaly_ranking(records: DataFrame, best: str, limit: int | None = None) -> DataFrame:
-    """Readings by the best model's score; a limit makes it a top-k."""
-    ordered = records.orderBy(*_by_score(best))
-    return (ordered if limit is None else ordered.limit(limit)).select(
+def _leading(rows: DataFrame, best: str, limit: int) -> DataFrame:
+    """The first rows by score.
+
+    They are one partition already; saying so keeps later projections from being
+    moved below the limit, where they would run for every row and turn the top-k
+    into a sort of the whole table.
+    """
+    return rows.orderBy(*_by_score(best)).limit(limit).coalesce(1)
+
+
+def anomaly_ranking(
+    scored: DataFrame, stats: TrainStats, best: str, models: Sequence[str], limit: int | None = None
+) -> DataFrame:
+    """Readings by the best model's score; a limit makes it a top-k.
+
+    Scored rows are ordered and cut first, so that texts are made only for rows that stay.
+    """
+    ordered = scored.orderBy(*_by_score(best)) if limit is None else _leading(scored, best, limit)
+    return per_sample(ordered, stats, best, models).select(
         "sample_id",
         "machine_id",
         F.col("scores")[best].alias("score"),
@@ -159,18 +174,21 @@ def anomaly_ranking(records: DataFrame, best: str, limit: int | None = None) ->
     )
 
 
-def top_anomalies(records: DataFrame, best: str, limit: int = fixed.TOP_ANOMALIES) -> DataFrame:
-    return anomaly_ranking(records, best, limit).withColumn("risk", risk_level(F.col("score")))
+def top_anomalies(
+    scored: DataFrame, stats: TrainStats, best: str, models: Sequence[str], limit: int = fixed.TOP_ANOMALIES
+) -> DataFrame:
+    ranked = anomaly_ranking(scored, stats, best, models, limit)
+    return ranked.withColumn("risk", risk_level(F.col("score")))
 
 
 def error_deep_dive(
-    records: DataFrame, best: str, limit: int = fixed.TOP_ERRORS
+    scored: DataFrame, stats: TrainStats, best: str, models: Sequence[str], limit: int = fixed.TOP_ERRORS
 ) -> tuple[DataFrame, DataFrame]:
     """Highest-scored false positives and false negatives of the best model."""
-    flagged = F.col("prediction_flags")[best] == 1
-    failed = F.col("true_label") == "FAILURE"
+    flagged = F.col(f"{best}_prediction") == 1
+    failed = F.coalesce(F.col("failure_label") == 1, F.lit(False))
     return tuple(
-        records.where(test).orderBy(*_by_score(best)).limit(limit)
+        per_sample(_leading(scored.where(test), best, limit), stats, best, models)
         for test in (~failed & flagged, failed & ~flagged)
     )
 
@@ -241,12 +259,13 @@ def feature_insight(importance: DataFrame) -> DataFrame:
     )
 
 
-def risk_overview(records: DataFrame, best: str) -> DataFrame:
-    """Best model, high-risk readings among the top ten, mean health."""
-    top = top_anomalies(records, best).agg(
-        F.count_if(F.col("risk") == "HIGH RISK").alias("top_high_risk")
+def risk_overview(scored: DataFrame, best: str) -> DataFrame:
+    """Best model, high-risk readings among the top ten, mean health; no texts are made."""
+    score = shown_score(F.col(f"{best}_score"))
+    top = _leading(scored, best, fixed.TOP_ANOMALIES).agg(
+        F.count_if(risk_level(score) == "HIGH RISK").alias("top_high_risk")
     )
-    mean = records.agg(F.avg("health_score").alias("average_health"))
+    mean = scored.agg(F.avg(shown_health(health(F.col(f"{best}_score")))).alias("average_health"))
     # Two single rows side by side.
     return (
         top.withColumn("_one", F.lit(1))

@@ -504,8 +504,7 @@ def f1_chart(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def top_anomalies(spark: SparkSession, folder: str) -> DataFrame:
-    results = _results(_events(spark, folder))
-    return ranking.top_anomalies(results.per_sample, results.best)
+    return _results(_events(spark, folder)).top()
 
 
 @query
@@ -626,7 +625,7 @@ def feature_insight(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def risk_overview(spark: SparkSession, folder: str) -> DataFrame:
     results = _results(_events(spark, folder))
-    return _round(ranking.risk_overview(results.per_sample, results.best), 4, "average_health")
+    return _round(ranking.risk_overview(results.scored, results.best), 4, "average_health")
 
 
 @query

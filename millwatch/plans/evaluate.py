@@ -42,10 +42,13 @@ class Results:
 
     @property
     def ranking(self) -> DataFrame:
-        return ranking.anomaly_ranking(self.per_sample, self.best)
+        return ranking.anomaly_ranking(self.scored, self.stats, self.best, list(self.models))
 
     def errors(self, limit: int = fixed.TOP_ERRORS) -> tuple[DataFrame, DataFrame]:
-        return ranking.error_deep_dive(self.per_sample, self.best, limit)
+        return ranking.error_deep_dive(self.scored, self.stats, self.best, list(self.models), limit)
+
+    def top(self, limit: int = fixed.TOP_ANOMALIES) -> DataFrame:
+        return ranking.top_anomalies(self.scored, self.stats, self.best, list(self.models), limit)
 
     def predictions(self) -> DataFrame:
         return ranking.predictions_long(
@@ -139,7 +142,7 @@ def report_tables(results: Results) -> dict[str, DataFrame]:
     return {
         "leaderboard": evaluation.metric_table(results.metrics),
         "fault_summary": evaluation.fault_summary(results.scored, results.models),
-        "anomaly_ranking": ranking.top_anomalies(results.per_sample, results.best),
+        "anomaly_ranking": results.top(),
         "feature_report": ranking.feature_report(results.importance),
         "error_deep_dive": errors,
         "executive_summary": results.summary(),

@@ -167,18 +167,21 @@ def test_records_against_brute_force(scored, table):
 
 
 def test_ranking_and_errors(scored, table):
-    records = ranking.per_sample(scored, STATS, "one", list(MODELS))
+    given = (scored, STATS, "one", list(MODELS))
     want = table.assign(s=[round(x, 3) for x in table["one_score"]]).sort_values(
         ["s", "machine_id", "timestamp", "sample_id"], ascending=[False, True, True, True]
     )
-    assert [r.sample_id for r in ranking.anomaly_ranking(records, "one").collect()] == want["sample_id"].tolist()
-    assert [r.sample_id for r in ranking.top_anomalies(records, "one").collect()] == want["sample_id"].tolist()[:10]
+    assert [r.sample_id for r in ranking.anomaly_ranking(*given).collect()] == want["sample_id"].tolist()
+    assert [r.sample_id for r in ranking.top_anomalies(*given).collect()] == want["sample_id"].tolist()[:10]
     alarms = want[(want.failure_label == 0) & (want.one_prediction == 1)]
     misses = want[(want.failure_label == 1) & (want.one_prediction == 0)]
-    got = ranking.error_deep_dive(records, "one")
+    got = ranking.error_deep_dive(*given)
     assert [[r.sample_id for r in part.collect()] for part in got] == [
         alarms["sample_id"].tolist()[:5], misses["sample_id"].tolist()[:5],
     ]
+    plan = ranking.top_anomalies(*given)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("TakeOrderedAndProject", 1)
+    assert "format_string" in above and "format_string" not in below and "Sort " not in below
 
 
 def test_long_rows_and_ranks(scored, table):
