@@ -38,6 +38,12 @@ NULL_TOKENS = (
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# Forms of time texts tried after ISO, in this order, on a whole column each.
+TIME_FORMS = (
+    "MM/dd/yyyy HH:mm[:ss]", "dd/MM/yyyy HH:mm[:ss]", "dd.MM.yyyy HH:mm[:ss]", "yyyy/MM/dd HH:mm[:ss]",
+)
+EPOCH_UNITS = {"s": 1, "ms": 1_000, "us": 1_000_000, "ns": 1_000_000_000}
+
 # ---- fixed values: split, detectors --------------------------------------
 SPLITS = ("train", "validation", "test")
 TRAIN_TENTHS = 6

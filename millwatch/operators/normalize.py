@@ -99,6 +99,37 @@ def moment_of(column: Column, data_type: T.DataType, pattern: str | None = None)
     return zone_free_seconds(column)
 
 
+def epoch_moment(column: Column, data_type: T.DataType, unit: str) -> Column:
+    """The moment of a count since 1970 in the given unit, in whole seconds."""
+    if unit not in fixed.EPOCH_UNITS:
+        raise ValueError(f"Unknown epoch unit {unit!r}; known are {', '.join(fixed.EPOCH_UNITS)}.")
+    if isinstance(data_type, T.StringType):
+        column = F.when(column.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(column).try_cast("long"))
+    seconds = F.floor(column / fixed.EPOCH_UNITS[unit]).cast("decimal(18,6)")
+    zero = F.lit(0)
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return start + F.make_dt_interval(zero, zero, zero, seconds)
+
+
+def time_readings(
+    column: Column, data_type: T.DataType, forms: str | Sequence[str] | None = None, unit: str | None = None
+) -> list[Column]:
+    """Ways to read a time column, in the order they are tried; one of them fits the whole column.
+
+    A unit means counts since 1970.  Texts are read as ISO or by the given forms,
+    by default the usual ones, month before day.
+    """
+    if unit is not None:
+        return [epoch_moment(column, data_type, unit)]
+    if isinstance(data_type, T.NumericType):
+        raise ValueError("The times are numbers; give their unit since 1970 as epoch_unit.")
+    if not isinstance(data_type, T.StringType):
+        return [moment_of(column, data_type)]
+    if isinstance(forms, str):
+        return [moment_of(column, data_type, forms)]
+    return [moment_of(column, data_type, form) for form in (None, *(forms or fixed.TIME_FORMS))]
+
+
 def timeline_moment(row_number: Column) -> Column:
     """Moment of the n-th row in a table that has no time column."""
     start = F.lit(fixed.TIMELINE_START).cast("timestamp_ntz")
@@ -137,8 +168,8 @@ def with_sample_ids(
 ) -> DataFrame:
     """Give every row its ``sample_id``.
 
-    A named id column is taken as it is and costs nothing.  Otherwise rows are
-    numbered from 1, in the given order or in the order they are read.
+    A named id column is taken as it is; ``ingest`` checks that its values differ.
+    Otherwise rows are numbered from 1, in the given order or in the order they are read.
     """
     if id_column is not None:
         return df.withColumn("sample_id", F.col(id_column).cast("long"))

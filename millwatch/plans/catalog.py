@@ -61,6 +61,8 @@ def query(function: Query) -> Query:
 
 
 def catalog() -> dict[str, Query]:
+    from millwatch.plans import catalog_checks  # noqa: F401  registers its queries here
+
     return dict(_REGISTRY)
 
 

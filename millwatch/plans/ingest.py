@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from millwatch import fixed
 from millwatch.operators.normalize import (
-    available_sensors, canonical_select, is_label_word, label_of, moment_of, normalize_columns, number_of,
-    slug, timeline_moment, with_sample_ids,
+    available_sensors, canonical_select, is_label_word, label_of, normalize_columns, number_of, slug,
+    time_readings, timeline_moment, with_sample_ids,
 )
 from millwatch.sources.csv_source import load_csv
 from millwatch.sources.tables import ResultTables, new_id, raw_rows, utc_now
@@ -31,11 +31,15 @@ class Ingested:
     notes: tuple[str, ...] = field(default=())
 
 
-def _inspect(named: DataFrame, columns: dict[str, Column]) -> Row:
+def _inspect(
+    named: DataFrame, columns: dict[str, Column], times: Sequence[Column], id_name: str | None
+) -> Row:
     """All that has to be known about the values, in one pass."""
-    tests = {"rows": F.lit(True), **dict.fromkeys(("lost_times", "lost_machines", "label_words"), F.lit(False))}
-    if "timestamp" in columns:
-        tests["lost_times"] = columns["timestamp"].isNull()
+    tests = {"rows": F.lit(True), **dict.fromkeys(("lost_ids", "lost_machines", "label_words"), F.lit(False))}
+    for place, moment in enumerate(times):
+        tests[f"lost_times_{place}"] = moment.isNull()
+    if id_name is not None:
+        tests["lost_ids"] = F.col(id_name).try_cast("long").isNull()
     if "machine_id" in columns:
         tests["lost_machines"] = columns["machine_id"].isNull()
     if "failure_label" in named.columns:
@@ -44,41 +48,62 @@ def _inspect(named: DataFrame, columns: dict[str, Column]) -> Row:
     return named.agg(*[check.alias(name) for name, check in checks.items()]).first()
 
 
+def _check_ids(named: DataFrame, id_name: str, lost: int) -> None:
+    """Refuse ids that are no numbers or not unique; ranks and draws rely on them."""
+    if lost:
+        raise ValueError(f"{lost} rows have no readable number in the id column {id_name!r}.")
+    ids = named.groupBy(F.col(id_name).cast("long").alias("id")).count().where("count > 1")
+    repeated = ids.select("id").head(1)
+    if repeated:
+        raise ValueError(f"The id column {id_name!r} repeats values, such as {repeated[0]['id']}.")
+
+
 def ingest(
     df: DataFrame,
     source: str = "table",
     id_column: str | None = None,
     order: Sequence[str] | None = None,
-    time_format: str | None = None,
+    time_format: str | Sequence[str] | None = None,
+    epoch_unit: str | None = None,
+    unique_ids: bool = False,
     tables: ResultTables | None = None,
     batch_id: str | None = None,
 ) -> Ingested:
     """Normalise names, types, ids, times and labels, and store the raw rows.
 
-    Sample ids come from ``id_column`` if there is one (free), otherwise from
-    numbering the rows by ``order`` or as they are read.
+    Sample ids come from ``id_column`` if there is one, otherwise from numbering
+    the rows by ``order`` or as they are read.  Given ids must be unique numbers;
+    that costs one count of the ids, which ``unique_ids`` saves if they are known
+    to be.  Times are read as ISO, by ``time_format`` (one form, or several of
+    which the first that reads the whole column counts) or as counts since 1970
+    in ``epoch_unit``.
     """
     named, renamed = normalize_columns(df)
     features, missing = available_sensors(named.columns)
     columns = {name: number_of(F.col(name), named.schema[name].dataType) for name in features}
     if "machine_id" in named.columns:
         columns["machine_id"] = F.col("machine_id").cast("string")
+    times = []
     if "timestamp" in named.columns:
-        columns["timestamp"] = moment_of(
-            F.col("timestamp"), named.schema["timestamp"].dataType, time_format
-        )
-    found = _inspect(named, columns)
+        data_type = named.schema["timestamp"].dataType
+        times = time_readings(F.col("timestamp"), data_type, time_format, epoch_unit)
+    id_name = None if id_column is None else slug(id_column)
+    found = _inspect(named, columns, times, id_name)
     if not found["rows"]:
         raise ValueError(f"The input is empty: {source}")
     if not features:
         raise ValueError(
             "No recognised sensor column; at least one is needed of: " + ", ".join(fixed.SENSORS)
         )
-    if found["lost_times"]:
+    readable = [moment for place, moment in enumerate(times) if not found[f"lost_times_{place}"]]
+    if times and not readable:
         raise ValueError("Some timestamps cannot be read; use ISO times or give a format.")
+    if readable:
+        columns["timestamp"] = readable[0]
+    if id_name is not None and not unique_ids:
+        _check_ids(named, id_name, found["lost_ids"])
 
     notes = []
-    id_name = None if id_column is None else slug(id_column)
     numbered = with_sample_ids(named, id_name, [slug(c) for c in order] if order else None)
     if "machine_id" not in columns:
         columns["machine_id"] = F.lit(fixed.DEFAULT_MACHINE)
@@ -112,7 +137,7 @@ def ingest(
 def ingest_csv(spark: SparkSession, path: str, **options) -> Ingested:
     """Ingest a CSV file; lines are numbered in file order unless they have ids."""
     if options.get("id_column") is None and options.get("order") is None:
-        options["id_column"] = "sample_row"
+        options |= {"id_column": "sample_row", "unique_ids": True}
         lines = load_csv(spark, path, row_number="sample_row")
     else:
         lines = load_csv(spark, path)

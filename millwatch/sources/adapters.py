@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch.operators.normalize import zone_free_seconds
@@ -11,6 +11,9 @@ from millwatch.operators.ordering import GROUP_ROWS, micros_of, with_global_row_
 # Sensors each adapter fills, in canonical order.
 EVENT_SENSORS = ("torque", "tool_wear", "vibration")
 LINE_SENSORS = ("torque", "tool_wear", "vibration")
+SIX_SENSORS = (
+    "air_temperature", "process_temperature", "rotational_speed", "torque", "tool_wear", "vibration",
+)
 
 _LINE_ORDER = (
     "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
@@ -69,8 +72,7 @@ def sensor_events_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def sensor_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Readings per supplier, numbered by date; the table has no id of its own."""
+def _line_readings(spark: SparkSession, folder: str, more: dict[str, Column]) -> DataFrame:
     lines = with_global_row_number(
         _read(spark, folder, "lineitem").select(*_LINE_ORDER), _LINE_ORDER, "sample_id"
     )
@@ -83,8 +85,26 @@ def sensor_lines(spark: SparkSession, folder: str) -> DataFrame:
         "sample_id",
         F.col("l_suppkey").cast("string").alias("machine_id"),
         zone_free_seconds(F.col("l_shipdate")).alias("timestamp"),
+        *[reading.alias(name) for name, reading in more.items()],
         "torque",
         F.col("l_quantity").alias("tool_wear"),
         "vibration",
         failed.cast("int").alias("failure_label"),
     )
+
+
+def sensor_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings per supplier, numbered by date; the table has no id of its own."""
+    return _line_readings(spark, folder, {})
+
+
+def sensor_lines_six(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with all six sensors: rates as temperatures, unit price as speed."""
+    return _line_readings(
+        spark, folder,
+        {
+            "air_temperature": F.col("l_tax") * 100 + 290,
+            "process_temperature": F.col("l_discount") * 100 + 300,
+            "rotational_speed": F.col("l_extendedprice") / F.col("l_quantity"),
+        },
+    )

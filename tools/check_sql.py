@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from millwatch.plans.catalog import catalog  # noqa: E402
 from millwatch.plans.oracle import oracle  # noqa: E402
+from millwatch.plans.oracle_checks import oracle_checks  # noqa: E402
 from millwatch.session import local_session  # noqa: E402
 
 TABLES = (
@@ -63,7 +64,7 @@ def compare(left: pd.DataFrame, right: pd.DataFrame) -> str:
 def main() -> int:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(catalog())
-    spark, connection, texts = local_session(), connect(folder), oracle()
+    spark, connection, texts = local_session(), connect(folder), oracle() | oracle_checks()
     failures = 0
     for name in names:
         begin = time.time()
