@@ -12,7 +12,7 @@ from millwatch.plans.train import (
     Detectors, fit_detectors, freeze, load_detectors, save_detectors, score_detectors, score_saved,
     train_and_score,
 )
-from millwatch.session import clear_staging, local_session
+from millwatch.session import clear_staging, local_session, staging
 from millwatch.sources.csv_source import export_test_csv, load_csv
 from millwatch.sources.results import load_results
 from millwatch.sources.tables import ResultTables
@@ -23,7 +23,7 @@ __all__ = [
     "evaluate_scored", "export_test_csv", "fit_detectors", "freeze", "ingest", "ingest_csv",
     "load_csv", "load_detectors", "load_results", "local_session", "prepare", "prepare_readings",
     "report_tables", "run", "save_detectors", "save_document", "score_detectors", "score_saved",
-    "score_stream", "train_and_score", "write_scores",
+    "score_stream", "staging", "train_and_score", "write_scores",
 ]
 
 # Functions that run on workers travel with their code: workers need not have this package.

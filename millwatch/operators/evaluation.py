@@ -266,9 +266,21 @@ def score_histogram(
 
 def fault_summary(scored: DataFrame, models: Mapping[str, str]) -> DataFrame:
     """Failures caught, failures in all and rows flagged, per model."""
-    counts = score_counts(scored, list(models)).groupBy("model_name").agg(
-        F.sum("caught").alias("caught"),
-        F.sum("positives").alias("true_failures"),
-        (F.sum("caught") + F.sum("false_alarms")).alias("flagged"),
+    failed = F.col("failure_label") == 1
+    flags = {model: F.col(f"{model}_prediction") == 1 for model in models}
+    counts = scored.agg(
+        F.count_if(failed).alias("failures"),
+        *[F.count_if(flag & failed).alias(f"{model}_caught") for model, flag in flags.items()],
+        *[F.count_if(flag).alias(f"{model}_flagged") for model, flag in flags.items()],
     )
-    return counts.withColumn("display_name", constant_by(models, F.col("model_name")))
+    rows = [
+        F.struct(
+            F.lit(model).alias("model_name"),
+            F.col(f"{model}_caught").alias("caught"),
+            F.col("failures").alias("true_failures"),
+            F.col(f"{model}_flagged").alias("flagged"),
+            F.lit(name).alias("display_name"),
+        )
+        for model, name in models.items()
+    ]
+    return counts.select(F.inline(F.array(*rows)))

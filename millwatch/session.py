@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +64,15 @@ def clear_staging(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """A block of work whose staged tables go when it ends; frames that outlast it must be written before."""
+    try:
+        yield
+    finally:
+        clear_staging(spark)
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write a frame to the staging folder and read it back.
 

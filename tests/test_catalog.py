@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
 from millwatch.operators.detectors.rule import batch_maxima, fit_rule, score_rules
+from millwatch.plans.catalog import catalog
+from millwatch.plans.oracle import oracle
+from millwatch.plans.oracle_checks import oracle_checks
 from millwatch.plans.prepare import prepare_readings
 from millwatch.sources import adapters
 from tools.check_sql import compare, connect
@@ -13,7 +16,8 @@ from tools.check_sql import compare, connect
 CHECKED = (
     "readings_events", "label_words", "numeric_coercion", "chrono_split_lines", "imputed_gaps",
     "lag_windows", "variant_metrics_lines", "roc_curves", "predictions_long", "feature_report",
-    "recon_scores_lines", "scores_table",
+    "recon_scores_lines", "scores_table", "fault_summary", "hot_machine_gaps", "subsecond_order",
+    "time_forms", "six_sensor_scores", "forest_limits", "pretrained_scores",
 )
 
 
@@ -29,8 +33,10 @@ def test_query_equals_its_sql(spark, small, connection, name):
 
 
 def test_every_sql_belongs_to_a_query():
+    texts = oracle() | oracle_checks()
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {
+    assert set(texts) <= set(catalog())
+    assert set(catalog()) - set(texts) == {
         "forest_trees", "forest_scores", "sequence_scores", "saved_detectors", "full_run", "full_report",
     }
 

@@ -103,6 +103,38 @@ def test_time_format_and_order(spark):
     ]
 
 
+def test_forms_of_time_are_chosen_for_the_whole_column(spark):
+    def read(*times, **options):
+        batch = ingest(texts(spark, ["time", "torque", "id"], *[(t, "1", str(i)) for i, t in enumerate(times)]), id_column="id", **options)
+        return [str(r.timestamp) for r in batch.readings.orderBy("sample_id").collect()]
+
+    assert read("01/02/2026 10:00", "03/04/2026 11:30:05") == ["2026-01-02 10:00:00", "2026-03-04 11:30:05"]
+    assert read("01/02/2026 10:00", "13/04/2026 11:30") == ["2026-02-01 10:00:00", "2026-04-13 11:30:00"]
+    assert read("5.1.26", "17.1.26", time_format=["d.M.yy H", "d.M.yy"]) == ["2026-01-05 00:00:00", "2026-01-17 00:00:00"]
+    assert read("1767225600999", " -1 ", epoch_unit="ms") == ["2026-01-01 00:00:00", "1969-12-31 23:59:59"]
+    with pytest.raises(ValueError, match="timestamps"):
+        read("13/14/2026 10:00", "01/02/2026 10:00")
+    with pytest.raises(ValueError, match="timestamps"):
+        read("soon", "1", epoch_unit="s")
+    with pytest.raises(ValueError, match="epoch unit"):
+        read("1", epoch_unit="h")
+    numbers = spark.createDataFrame([(1_767_225_600, 1.0)], "time bigint, torque double")
+    with pytest.raises(ValueError, match="epoch_unit"):
+        ingest(numbers)
+    assert str(ingest(numbers, epoch_unit="s").readings.first().timestamp) == "2026-01-01 00:00:00"
+
+
+def test_given_ids_must_be_unique_numbers(spark):
+    def rows(*ids):
+        return texts(spark, ["id", "torque"], *[(i, "1") for i in ids])
+
+    with pytest.raises(ValueError, match="repeats values, such as 7"):
+        ingest(rows("7", "8", "7"), id_column="id")
+    with pytest.raises(ValueError, match="2 rows have no readable number"):
+        ingest(rows("7", None, "x"), id_column="id")
+    assert ingest(rows("7", "8"), id_column="id").readings.count() == 2
+
+
 def test_session_zone_plays_no_part(spark):
     """Clock changes of the session's zone must not move readings."""
     gap = ("2026-03-08 02:30:00.5", "2026-11-01 01:30:00", "1969-07-20 20:17:40")

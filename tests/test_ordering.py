@@ -157,3 +157,10 @@ def test_group_limit_changes_nothing_for_nulls_and_fractions(spark, limit):
         assert placed[ident] == place and got[ident].before == before
         before = value
     assert all(got[r[2]].before is None for r in rows if r[0] is None)
+
+
+def test_ranks_are_not_shuffled_by_group(spark, skewed):
+    """A group may hold a quarter of all rows, so rows never travel by it."""
+    ranked = with_rank_by_group(skewed, "machine_id", ["timestamp", "sample_id"], "rank")
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(machine_id" not in plan and "Broadcast" in plan
