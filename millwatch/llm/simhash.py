@@ -8,7 +8,8 @@ Tiles are cut into blocks of bounded size.  A task holds one block; the rows of
 the block and of the visiting tiles pass by in batches and are compared by
 exclusive-or and bit counts in numpy.  Of the links found in a batch it hands on
 a spanning forest of least distance: no component is lost, and a group of n near
-copies gives no n * n rows.
+copies gives no n * n rows.  Where links must pass a further check (``near_copies``)
+the forest only tells which texts may be linked at all; all their pairs are checked.
 """
 
 from __future__ import annotations
@@ -280,15 +281,107 @@ def simhash_components(documents: DataFrame, words: int = 3, radius: int = 2) ->
     )
 
 
-def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, right = batch.column("_left").to_pylist(), batch.column("_right").to_pylist()
-        alike = np.zeros(len(left))
-        for i, (x, y) in enumerate(zip(left, right, strict=True)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            alike[i] = common / (len(x) + len(y) - common) if len(x) + len(y) else 1.0
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(alike)], ["a", "b", "likeness"])
+def alike_forest(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of all pairs of sets (of distinct numbers) with a Jaccard index of ``similarity`` or more.
+
+    A breadth-first search: the sets that hold each number are listed, so one pass over the lists of
+    a set's numbers counts what it has in common with every set not reached yet.  No pair is left out.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    first = np.concatenate(([0], np.cumsum(size)))
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(token, kind="stable")
+    holder, held = np.repeat(np.arange(len(sets)), size)[order], token[order]
+    tokens = int(token.max()) + 1 if len(token) else 0
+    free, listed = np.ones(len(sets), bool), 2 * len(sets) + 1
+    a, b = [], []
+    for start in np.argsort(-size, kind="stable").tolist():
+        if not free[start]:
+            continue
+        free[start] = False
+        left, queue = int(free.sum()), [start]
+        while queue and left:
+            if 2 * left < listed:  # sets already reached leave the lists
+                keep = free[holder]
+                holder, held, listed = holder[keep], held[keep], left
+                count = np.bincount(held, minlength=tokens)
+                begin = np.cumsum(count) - count
+            i = queue.pop()
+            own = token[first[i] : first[i + 1]]
+            many = count[own]
+            at = np.repeat(begin[own] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            common = np.bincount(holder[at], minlength=len(sets))
+            near = np.flatnonzero(free & (common > 0))
+            near = near[common[near] / (size[i] + size[near] - common[near]) >= similarity]
+            free[near] = False
+            left -= len(near)
+            queue += near.tolist()
+            a += [i] * len(near)
+            b += near.tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _verify(similarity: float, most: int):
+    """Rows come by tile and block, the block's own before the visitors, which are taken in parts of ``most`` runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own, names, parts, part_names, weight = None, [], [], [], [], 0
+
+        def links():
+            nodes = np.array(names + part_names, np.int64)
+            if len(nodes) < 2:
+                return []
+            a, b = alike_forest(own + parts, similarity)
+            return [pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])]
+
+        for batch in batches:
+            tile, band, block, role, ident = (batch.column(i).to_pylist() for i in range(5))
+            for i, (now, visits) in enumerate(zip(zip(tile, band, block, strict=True), role, strict=True)):
+                value = np.frombuffer(batch.column(5)[i].as_buffer(), np.uint64).copy()
+                if now != key:
+                    if key is not None:
+                        yield from links()
+                    key, own, names, parts, part_names, weight = now, [], [], [], [], 0
+                if visits:
+                    if parts and weight + len(value) > most:
+                        yield from links()
+                        parts, part_names, weight = [], [], 0
+                    parts.append(value)
+                    part_names.append(ident[i])
+                    weight += len(value)
+                else:
+                    own.append(value)
+                    names.append(ident[i])
+        if key is not None:
+            yield from links()
+
+    return run
+
+
+def alike_links(members: DataFrame, sets: DataFrame, similarity: float, most: int = 1 << 21) -> DataFrame:
+    """(a, b): spanning forests of all pairs with a Jaccard index of ``similarity`` or more inside each group.
+
+    ``members`` (id, group, size) are the nodes with their candidate group and number of runs, ``sets``
+    (id, _set) their runs.  A group of more than ``most`` runs is cut into bands of the size and those into
+    blocks; a block meets every other of its band and of the next one, so every pair that can be alike meets.
+    """
+    weight = F.col("size") + 64  # so that a block is bounded in rows too
+    whole = members.groupBy("group").agg(F.sum(weight).alias("_all"))
+    band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / float(-np.log(similarity)) + 1e-9)
+    home = members.join(whole, "group").select(
+        "id", "group", F.when(F.col("_all") <= most, F.lit(0).cast("bigint")).otherwise(band + 1).alias("_band"), weight.alias("_weight")
+    )
+    filled = home.groupBy("group", "_band").agg(F.ceil(F.sum("_weight") / most).cast("int").alias("_blocks"))
+    own = home.join(filled, ["group", "_band"]).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    owners = own.select("group", "_band", "_block", F.lit(0).alias("_role"), "id")
+    later = own.where("_blocks > _block + 1").select(
+        "group", "_band", F.explode(F.expr("sequence(_block + 1, _blocks - 1)")).alias("_block"), F.lit(1).alias("_role"), "id"
+    )
+    up = home.where("_band > 0").select("group", (F.col("_band") + 1).alias("_band"), "id").join(filled, ["group", "_band"])
+    up = up.select("group", "_band", F.explode(F.expr("sequence(0, _blocks - 1)")).alias("_block"), F.lit(1).alias("_role"), "id")
+    dealt = owners.unionByName(later).unionByName(up).join(sets, "id").select("group", "_band", "_block", "_role", "id", "_set")
+    dealt = dealt.repartition("group", "_band", "_block").sortWithinPartitions("group", "_band", "_block", "_role", "id")
+    return dealt.mapInArrow(_verify(similarity, most), "a bigint, b bigint")
 
 
 def _shingle_bytes(words: int):
@@ -309,8 +402,9 @@ def near_copies(
 
     Candidates come from exact comparison of 256-bit fingerprints within
     ``radius``: at similarity 0.8 about 39 bits of 256 differ (deviation 6), and 10
-    of the first 64.  The links of least distance are then checked by the Jaccard
-    index of the runs themselves.  Equal texts are one node, named by the least id.
+    of the first 64.  What candidates reach is one group; inside a group every pair is
+    held against the Jaccard index of the runs themselves, and only links that pass are
+    thinned.  Equal texts are one node, named by the least id.
     """
     key = F.xxhash64("text")
     seen = stage(
@@ -325,20 +419,15 @@ def near_copies(
         .agg(F.min_by(F.struct("_key", *names, "_size"), "_key").alias("_s")).select("id", "_s.*"),
         "wide_nodes",
     )
-    links = stage(near_links(nodes, names, radius, screen, parts=0, size="_size", ratio=similarity).select("a", "b").distinct(), "links")
-    ends = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).distinct()
-    ends = ends.join(nodes.select(F.col("id").alias("doc_id"), "_key"), "doc_id")
+    links = near_links(nodes, names, radius, screen, parts=0, size="_size", ratio=similarity).select("a", "b")
+    candidates = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("group"))
+    members = stage(nodes.select("id", "_key", F.col("_size").alias("size")).join(candidates, "id"), "members")
     sets = (
-        documents.select("doc_id", key.alias("_key"), "text").join(ends, ["doc_id", "_key"], "left_semi")
-        .dropDuplicates(["doc_id", "_key"]).select("doc_id", _shingle_bytes(words)("text").alias("_set"))
-    )
-    sets = stage(sets, "sets")
-    checked = (
-        links.join(sets.select(F.col("doc_id").alias("a"), F.col("_set").alias("_left")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("_set").alias("_right")), "b")
-        .select("a", "b", "_left", "_right").mapInArrow(_jaccard, "a bigint, b bigint, likeness double")
+        documents.select(F.col("doc_id").cast("bigint").alias("id"), key.alias("_key"), "text")
+        .join(members.select("id", "_key"), ["id", "_key"], "left_semi")
+        .dropDuplicates(["id", "_key"]).select("id", _shingle_bytes(words)("text").alias("_set"))
     )
-    groups = connected_components(checked.where(F.col("likeness") >= similarity).select("a", "b"))
+    groups = connected_components(alike_links(members.select("id", "group", "size"), stage(sets, "sets"), similarity))
     named = nodes.select("_key", "id").join(groups, nodes["id"] == groups["node"], "left")
     named = named.select("_key", F.coalesce("component", "id").alias("group"))
     return seen.select("doc_id", "_key").join(named, "_key", "left")

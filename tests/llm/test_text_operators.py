@@ -378,6 +378,48 @@ def test_near_copies_keep_one(documents, texts, nothing):
     assert simhash.drop_near_copies(nothing).count() == 0
 
 
+def test_near_copies_of_one_text_are_one_group(spark):
+    rng = random.Random(8)
+    base = sentence(rng, 200).split()
+    rows = [(1, " ".join(base))]
+    for i in range(60):  # 0.86 like the first, 0.73 like each other, so only links to the first pass
+        copy = list(base)
+        for place in rng.sample(range(10, 190, 6), 3):
+            copy[place] = f"new{i}at{place}"
+        rows.append((i + 2, " ".join(copy)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.group for r in simhash.near_copies(frame).collect()} == {1}
+
+
+def test_alike_links_lose_no_pair(spark):
+    rng = np.random.default_rng(6)
+    sets = {}
+    for g in range(12):
+        base = rng.integers(0, 1 << 62, int(rng.integers(1, 90)), dtype=np.uint64)
+        for _ in range(20):
+            own = base[rng.random(len(base)) < 0.93]
+            sets[len(sets)] = (g % 3, np.unique(np.concatenate((own, rng.integers(0, 1 << 62, int(rng.integers(0, 4)), dtype=np.uint64)))))
+    members = spark.createDataFrame([(i, g, len(x)) for i, (g, x) in sets.items()], "id bigint, group bigint, size bigint")
+    held = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, (_, x) in sets.items()], "id bigint, _set binary")
+    pairs = set()
+    for (i, (g, x)), (j, (h, y)) in itertools.combinations(sets.items(), 2):
+        common = len(np.intersect1d(x, y))
+        if g == h and common and common / (len(x) + len(y) - common) >= 0.8:
+            pairs.add((i, j))
+
+    def parts(edges):
+        group = list(range(len(sets)))
+        for a, b in edges:
+            a, b = group[a], group[b]
+            group = [min(a, b) if x in (a, b) else x for x in group]
+        return group
+
+    for most in (1 << 21, 3000, 500):
+        got = [(r.a, r.b) for r in simhash.alike_links(members, held, 0.8, most).collect()]
+        assert {(min(p), max(p)) for p in got} <= pairs
+        assert parts(got) == parts(pairs)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, None)]
