@@ -114,6 +114,45 @@ def test_repeated_passages_cover_exact_runs(documents, texts):
     assert held.keys() == {2, 3, 5, 14}
 
 
+def uncovered_words(spark, rows):
+    """Places in exact 50-word repeats of an earlier document that are not listed."""
+    found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    held, first, needed = {}, {}, {}
+    for r in found:
+        held.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    for d, t in sorted(rows):
+        w = WORD.findall(t)
+        for i in range(len(w) - 49):
+            run = tuple(w[i : i + 50])
+            if first.setdefault(run, d) != d:
+                needed.setdefault(d, set()).update(range(i, i + 50))
+    assert needed
+    return {d: places - held.get(d, set()) for d, places in needed.items() if not places <= held.get(d, set())}
+
+
+def test_passages_of_lines_first_seen_elsewhere(spark):
+    rng = random.Random(31)
+    rows = []
+    for g, sizes in enumerate([(40, 40), (26, 26), (20, 20, 20), (25, 25, 25, 25)] * 4):
+        lines = [sentence(rng, n) for n in sizes]
+        rows += [(100 * g + i, sentence(rng, 30) + " " + line + " " + sentence(rng, 30)) for i, line in enumerate(lines)]
+        rows += [(100 * g + 50 + i, sentence(rng, 35) + " " + " ".join(lines) + " " + sentence(rng, 25)) for i in range(3)]
+    assert uncovered_words(spark, rows) == {}
+
+
+def test_whole_runs_are_equal_where_words_are():
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 3, 400).astype(np.uint64)
+    for size in (1, 2, 5, 7, 50):
+        runs = substring.whole_runs(words, size)
+        plain = {}
+        assert len(runs) == len(words) - size + 1
+        for i, r in enumerate(runs.tolist()):
+            plain.setdefault(tuple(words[i : i + size].tolist()), set()).add(r)
+        assert all(len(x) == 1 for x in plain.values()) and len(set(runs.tolist())) == len(plain)
+    assert len(substring.whole_runs(words[:5], 6)) == 0
+
+
 def test_cut_passages_keeps_rows_and_columns(documents, texts):
     out = substring.cut_repeated_passages(documents)
     assert out.columns == documents.columns and out.dtypes == documents.dtypes
