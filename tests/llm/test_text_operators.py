@@ -140,6 +140,17 @@ def test_passages_of_lines_first_seen_elsewhere(spark):
     assert uncovered_words(spark, rows) == {}
 
 
+def test_passages_repeated_inside_the_later_document(spark):
+    rng = random.Random(32)
+    rows = []
+    for g in range(6):
+        p = sentence(rng, 60 + 5 * g)
+        rows.append((10 * g, sentence(rng, 30) + " " + p + " " + sentence(rng, 30)))
+        rows.append((10 * g + 1, p + " " + sentence(rng, 40) + " " + p + " " + sentence(rng, 30) + " " + p))
+    rows += [(5000, "same " * 60), (5001, "same " * 100)]
+    assert uncovered_words(spark, rows) == {}
+
+
 def test_whole_runs_are_equal_where_words_are():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 3, 400).astype(np.uint64)
