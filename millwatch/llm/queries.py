@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwatch.llm import classifier, fingerprints, packing, pieces, rules, shards, simhash, substring, toxicity, urls
+from millwatch.llm import classifier, codes, fingerprints, mixing, packing, pieces, rules, shards, simhash, substring, toxicity, trie, urls
 from millwatch.llm.common import is_training_row, table
 
 
@@ -87,11 +88,30 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    paths = trie.with_shared_openings(trie.turn_paths(table(spark, folder, "conversations")))
+    return trie.prefix_trie(paths).drop("turn")
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    found, books = codes.compress_vectors(table(spark, folder, "embeddings"))
+    entries = ",".join(map(str, books.ravel().tolist())).encode()
+    return found.select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(sha256(entries).hexdigest()).alias("codebooks_sha256")
+    )
+
+
+def op13_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix_documents(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "shard", "quota")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_substring_dedup, op2_quality_rules, op3_document_fingerprints, op4_quality_classifier, op5_url_filters,
             op6_sentencepiece, op7_simhash, op8_best_fit_packing, op9_toxicity, op10_sharding,
+            op11_conversation_trie, op12_vector_codes, op13_source_mix,
         )
     }
