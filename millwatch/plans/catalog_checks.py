@@ -6,6 +6,9 @@ their scores; what follows from the data alone is stated here as rows that it ca
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ from millwatch.plans.train import (
 )
 from millwatch.session import stage, staging_path
 from millwatch.sources import adapters
+from millwatch.sources.csv_source import load_csv
+from millwatch.sources.records import text_lines
 from millwatch.sources.tables import ResultTables
 
 SIX = adapters.SIX_SENSORS
@@ -96,6 +101,37 @@ def time_forms(spark: SparkSession, folder: str) -> DataFrame:
     return rows
 
 
+@contextmanager
+def _file_blocks(spark: SparkSession, size: int) -> Iterator[None]:
+    """Files are read in blocks of about ``size`` bytes, as large ones are in blocks of many megabytes."""
+    wanted = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "1"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+@query
+def quoted_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """All events written as CSV with line breaks inside quotes, read back in parallel in file order."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    note = F.concat_ws("\n", F.col("event_type"), F.concat(F.lit('"user", '), F.col("user_id").cast("string")), F.lit(""), F.col("props"))
+    path = staging_path(spark, "quoted")
+    written = events.select("event_id", note.alias("note"), F.col("value").cast("string").alias("value"))
+    written.orderBy("event_id").write.options(header=True, quoteAll=True, escape='"').csv(path)
+    with _file_blocks(spark, 65_536):
+        blocks = text_lines(spark, path).agg(F.count_distinct("_file", "_start").alias("blocks"), F.count_distinct("_file").alias("files")).first()
+        rows = load_csv(spark, path, row_number="number")
+    return rows.select(
+        F.col("event_id").cast("long").alias("event_id"), "note", F.col("value").cast("double").alias("value"), "number",
+        F.lit(blocks["blocks"] > blocks["files"]).alias("files_split"),
+    )
+
+
 @query
 def batch_notes(spark: SparkSession, folder: str) -> DataFrame:
     """What ingest has to say on a table of values alone, with the rows it concerns."""

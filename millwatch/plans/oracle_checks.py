@@ -88,6 +88,10 @@ def oracle_checks() -> dict[str, str]:
         for m in ("rule_based", "isolation_forest", "autoencoder", "lstm") for w in ("score", "prediction")
     )
     return {
+        "quoted_breaks": (
+            "SELECT event_id, concat_ws(chr(10), event_type, '\"user\", ' || CAST(user_id AS VARCHAR), '', props) AS note, value, "
+            "row_number() OVER (ORDER BY event_id) AS number, true AS files_split FROM events"
+        ),
         "hot_machine_gaps": "SELECT event_id, machine_id, CASE WHEN machine_id IS NOT NULL THEN lag(value) OVER "
         "(PARTITION BY machine_id ORDER BY moment NULLS FIRST, event_id) END AS previous FROM ("
         "SELECT event_id, value, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 'M-001' "

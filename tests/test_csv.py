@@ -1,10 +1,16 @@
+import csv
+from contextlib import contextmanager
+
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from millwatch.plans.ingest import ingest_csv
 from millwatch.plans.prepare import prepare_readings
 from millwatch.sources.csv_source import export_test_csv, load_csv
+from millwatch.sources.records import has_quoted_breaks, text_lines
 from tests.frames import readings
 
 
@@ -37,6 +43,70 @@ def test_line_breaks_in_quotes(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("x\ny", "1", 1), ("z", "2", 2)]
 
 
+def small_blocks(spark, size):
+    """Read files in blocks of a few bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "1"}
+    before = {name: spark.conf.get(name) for name in names}
+
+    @contextmanager
+    def block():
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        yield
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+    return block()
+
+
+SIGNS = st.sampled_from(["a", "b", "\"", ",", "\n", "\r\n", " ", "x\ny\n\nz"])
+FIELD = st.lists(SIGNS, max_size=6).map("".join)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=st.lists(st.tuples(FIELD, FIELD), min_size=1, max_size=25), size=st.integers(5, 60), ends=st.sampled_from(["\n", "\r\n"]))
+def test_records_of_any_fields_in_blocks_of_any_size(spark, tmp_path_factory, rows, size, ends):
+    """Two files as Python writes them, read in blocks that end anywhere."""
+    folder = tmp_path_factory.mktemp("quoted")
+    rows = [(a, b, str(i)) for i, (a, b) in enumerate(rows)]
+    half = len(rows) // 2
+    for name, part in (("p0", rows[:half]), ("p1", rows[half:])):
+        with open(folder / f"{name}.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator=ends)
+            writer.writerow(["left, \"one\"", "right", "id"])
+            writer.writerows(part)
+    with small_blocks(spark, size):
+        got = load_csv(spark, str(folder), row_number="n").orderBy("n").collect()
+    assert [(r[0] or "", r[1] or "", r[2], r[3]) for r in got] == [(a, b, i, n) for n, (a, b, i) in enumerate(rows, 1)]
+
+
+def test_one_file_is_split_among_tasks_also_inside_quotes(spark, tmp_path):
+    long = "\n".join(f"line {i}, \"\"said\"\"" for i in range(400))
+    path = write(tmp_path, "a,b\n" + "".join(f'"{i}\n{long if i == 7 else i}",{i}\n\n' for i in range(60)))
+    with small_blocks(spark, 700):
+        lines = text_lines(spark, path)
+        assert lines.rdd.getNumPartitions() > 10 and has_quoted_breaks(lines)
+        got = load_csv(spark, path, row_number="n").orderBy("n").collect()
+    assert [(r.b, r.n) for r in got] == [(str(i), i + 1) for i in range(60)]
+    assert got[7].a == "7\n" + long.replace('""', '"')
+
+
+def test_quotes_in_plain_fields_open_nothing(spark, tmp_path):
+    path = write(tmp_path, 'a,b\n5" pipe,1\nx "y" z,"two\nlines"\n"in",3" \n')
+    got = [tuple(r) for r in load_csv(spark, path, row_number="n").orderBy("n").collect()]
+    assert got == [('5" pipe', "1", 1), ('x "y" z', "two\nlines", 2), ("in", '3" ', 3)]
+    assert not has_quoted_breaks(text_lines(spark, write(tmp_path, 'a,b\n5" pipe,1\n"x, y",2\n', "plain.csv")))
+
+
+def test_quotes_that_stay_open_and_further_fields_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="never closed"):
+        load_csv(spark, write(tmp_path, 'a,b\n1,"x\ny,2\n'))
+    with pytest.raises(ValueError, match="more fields"):
+        load_csv(spark, write(tmp_path, 'a,b\n"x\ny",2\n"1\n2",3,4\n', "wide.csv"))
+    with pytest.raises(ValueError, match="empty"):
+        load_csv(spark, write(tmp_path, '"a\nb",c\n\n', "head.csv"))
+
+
 def test_line_numbers_follow_files_and_blocks(spark, tmp_path):
     folder = tmp_path / "many"
     folder.mkdir()
