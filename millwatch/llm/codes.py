@@ -62,41 +62,53 @@ def whole_vectors(df: DataFrame, vector: str, keep: list[str], scale: int = 4096
 
 
 class Cells:
-    """Nearest entries of one part position, by remembered candidates of grid cells."""
+    """Nearest entries of one part position, by remembered candidates of grid cells.
+
+    A cell is found by a hash of its corner; a part whose corner differs from the one
+    remembered under that hash is held against all entries.
+    """
 
     def __init__(self, entries: np.ndarray, cell: int = CELL, most: int = CELLS) -> None:
         self.entries, self.cell, self.most = entries, cell, most
-        self.known: dict[bytes, np.ndarray] = {}
+        width = entries.shape[1]
+        self.factors = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(width)], np.uint64)
+        self.slots: dict[int, int] = {}
+        self.corners, self.masks = np.zeros((0, width), np.int64), np.zeros((0, len(entries)), bool)
 
     def _candidates(self, corner: np.ndarray) -> np.ndarray:
         """For each box, which entries no other entry dominates: least distance against the least largest one."""
-        low = (corner * self.cell)[:, None, :]
-        high = low + (self.cell - 1)
-        entry = self.entries[None]
-        near = np.maximum(np.maximum(low - entry, entry - high), 0)
-        far = np.maximum(np.abs(low - entry), np.abs(high - entry))
-        return (near * near).sum(2) <= (far * far).sum(2).min(1)[:, None]
+        middle = (2 * self.cell * corner + (self.cell - 1))[:, None, :]
+        gap = np.abs(2 * self.entries[None] - middle)
+        far = gap + (self.cell - 1)
+        near = np.maximum(gap - (self.cell - 1), 0)
+        return np.einsum("ijk,ijk->ij", near, near) <= np.einsum("ijk,ijk->ij", far, far).min(1)[:, None]
+
+    def _remember(self, keys: list[int], corner: np.ndarray) -> None:
+        if len(self.slots) + len(keys) > self.most:
+            self.slots.clear()
+            self.corners, self.masks = self.corners[:0], self.masks[:0]
+        begin = len(self.corners)
+        masks = [self._candidates(corner[i : i + 1024]) for i in range(0, len(corner), 1024)]
+        self.corners = np.concatenate((self.corners, corner))
+        self.masks = np.concatenate((self.masks, *masks))
+        self.slots.update(zip(keys, range(begin, begin + len(keys))))
 
     def nearest(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entry and squared distance of every part; ties go to the lower entry."""
         rows, width = parts.shape
         if width == 0 or rows == 0:
             return np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-        corner = np.ascontiguousarray(parts // self.cell)
-        keys, first, place = np.unique(
-            corner.view(f"V{8 * width}").ravel(), return_index=True, return_inverse=True
-        )
-        names = [key.tobytes() for key in keys]
-        found = [self.known.get(name) for name in names]
-        missing = [i for i, mask in enumerate(found) if mask is None]
-        for begin in range(0, len(missing), 1024):
-            some = missing[begin : begin + 1024]
-            for i, mask in zip(some, self._candidates(corner[first[some]])):
-                found[i] = mask
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                self.known[names[i]] = mask
-        masks = np.stack(found)[place.ravel()]
+        corner = parts // self.cell
+        keys, first, place = np.unique(corner.view(np.uint64) @ self.factors, return_index=True, return_inverse=True)
+        names = keys.tolist()
+        missing = [i for i, name in enumerate(names) if name not in self.slots]
+        if missing and len(self.slots) + len(missing) > self.most:
+            missing = list(range(len(names)))  # the memory is full and starts anew
+        if missing:
+            self._remember([names[i] for i in missing], corner[first[missing]])
+        slot = np.array([self.slots[name] for name in names])[place]
+        masks = self.masks[slot]
+        masks[(self.corners[slot] != corner).any(1)] = True
         row, entry = np.nonzero(masks)
         gap = parts[row] - self.entries[entry]
         distance = np.einsum("ij,ij->i", gap, gap)

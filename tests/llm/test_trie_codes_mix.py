@@ -197,7 +197,12 @@ def test_cells_forget_and_still_find_the_nearest():
     for _ in range(2):
         entry, least = cells.nearest(parts)
         assert (entry == distances.argmin(1)).all() and (least == distances.min(1)).all()
-    assert len(cells.known) <= 5
+    assert len(codes.Cells(book, 300, most=5).slots) == 0
+    few = codes.Cells(book, 3_000, most=5)
+    assert (few.nearest(parts)[0] == distances.argmin(1)).all()
+    colliding = codes.Cells(book, 300)
+    colliding.factors[:] = 0  # every cell under one hash
+    assert (colliding.nearest(parts)[0] == distances.argmin(1)).all()
     twice = codes.Cells(np.concatenate((book, book)), 300)
     assert (twice.nearest(parts)[0] == distances.argmin(1)).all()  # ties go to the lower entry
 
