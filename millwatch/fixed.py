@@ -64,6 +64,7 @@ RECON_QUANTILE = 0.95
 WINDOW_ROWS = 8
 SEQUENCE_HIDDEN = 24
 SEQUENCE_ITERATIONS = 30
+NETWORK_ITERATIONS = 40
 
 MODELS = {
     "rule_based": "Rule-Based",

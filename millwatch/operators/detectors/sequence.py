@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import (
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwatch import fixed
+from millwatch.operators.detectors.gradient import train as train_network
+from millwatch.operators.detectors.networks import draw, failure_probabilities, recurrent_kernel, recurrent_shapes
 from millwatch.operators.ordering import GROUP_ROWS, with_trailing_rows
 
 # Rows per matrix product while training.
@@ -50,13 +54,57 @@ class SequenceModel:
     rows: int = fixed.WINDOW_ROWS
     threshold: float = fixed.SCORE_THRESHOLD
 
+    @property
+    def fitted(self) -> bool:
+        return self.classifier is not None
+
+    @property
+    def status(self) -> str:
+        return "ok" if self.fitted else "skipped"
+
+    @property
+    def notes(self) -> str:
+        return "" if self.fitted else NEEDS_BOTH_CLASSES
+
+    def with_probability(self, rows: DataFrame, name: str) -> DataFrame:
+        """Add the failure probability after each ``window``."""
+        scored = self.classifier.transform(rows.withColumn("features", _vector()))
+        return scored.withColumn(name, vector_to_array("probability")[1])
+
+
+@dataclass(frozen=True)
+class RecurrentModel:
+    """A recurrent cell that reads the window row by row; takes the place of ``SequenceModel``."""
+
+    features: tuple[str, ...]  # scaled columns
+    parameters: tuple[float, ...] | None
+    hidden: int = fixed.SEQUENCE_HIDDEN
+    rows: int = fixed.WINDOW_ROWS
+    threshold: float = fixed.SCORE_THRESHOLD
+
+    @property
+    def fitted(self) -> bool:
+        return self.parameters is not None
+
     @property
     def status(self) -> str:
-        return "skipped" if self.classifier is None else "ok"
+        return "ok" if self.fitted else "skipped"
 
     @property
     def notes(self) -> str:
-        return NEEDS_BOTH_CLASSES if self.classifier is None else ""
+        return "" if self.fitted else NEEDS_BOTH_CLASSES
+
+    def with_probability(self, rows: DataFrame, name: str) -> DataFrame:
+        """Add the failure probability after each ``window``, in Arrow batches."""
+        parameters, length = np.array(self.parameters), self.rows
+        shapes = recurrent_shapes(len(self.features), self.hidden)
+
+        def probability(windows: pd.Series) -> pd.Series:
+            flat = np.stack(windows.to_numpy()) if len(windows) else np.zeros((0, length * shapes[0][0]))
+            return pd.Series(failure_probabilities(parameters, shapes, flat.reshape(len(windows), length, -1)))
+
+        probability.__annotations__ = {"windows": pd.Series, "return": pd.Series}
+        return rows.withColumn(name, F.pandas_udf(probability, "double")(F.flatten("window")))
 
 
 def fit_sequence(
@@ -81,19 +129,42 @@ def fit_sequence(
     return SequenceModel(tuple(features), learner.fit(rows))
 
 
+def fit_recurrent(
+    train: DataFrame,
+    features: Sequence[str],
+    classes: int,
+    rows: int,
+    iterations: int = fixed.NETWORK_ITERATIONS,
+    hidden: int = fixed.SEQUENCE_HIDDEN,
+    seed: int = fixed.SEED,
+    group_rows: int = GROUP_ROWS,
+) -> RecurrentModel:
+    """Train the recurrent cell on the windows of all train readings; skipped with one class only."""
+    if classes < 2:
+        return RecurrentModel(tuple(features), None, hidden)
+    shapes = recurrent_shapes(len(features), hidden)
+    windows = with_windows(train, features, group_rows=group_rows)
+    found = train_network(
+        windows, "sample_id", F.flatten("window"), F.col("failure_label"), rows,
+        recurrent_kernel(shapes, fixed.WINDOW_ROWS), draw(shapes, seed), iterations,
+    )
+    return RecurrentModel(tuple(features), tuple(map(float, found)), hidden)
+
+
+def with_sequence_score(rows: DataFrame, model: SequenceModel | RecurrentModel, name: str = "lstm") -> DataFrame:
+    """Add ``<name>_raw`` and ``<name>_prediction`` to rows that have their ``window``; keeps state nowhere."""
+    if not model.fitted:
+        return rows.withColumns({f"{name}_raw": F.lit(0.0), f"{name}_prediction": F.lit(0)})
+    scored = model.with_probability(rows, f"{name}_raw")
+    flag = (F.col(f"{name}_raw") >= F.lit(model.threshold)).cast("int")
+    return scored.select(*rows.columns, f"{name}_raw", flag.alias(f"{name}_prediction"))
+
+
 def score_sequence(
-    df: DataFrame, model: SequenceModel, name: str = "lstm", group_rows: int = GROUP_ROWS
+    df: DataFrame, model: SequenceModel | RecurrentModel, name: str = "lstm", group_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """Add ``<name>_raw`` (failure probability) and ``<name>_prediction``."""
-    if model.classifier is None:
-        return df.withColumns({f"{name}_raw": F.lit(0.0), f"{name}_prediction": F.lit(0)})
-    kept = df.columns
-    rows = with_windows(df, model.features, model.rows, group_rows).withColumn(
-        "features", _vector()
-    )
-    scored = model.classifier.transform(rows.drop("window"))
-    return scored.withColumn(f"{name}_raw", vector_to_array("probability")[1]).select(
-        *kept,
-        f"{name}_raw",
-        (F.col(f"{name}_raw") >= F.lit(model.threshold)).cast("int").alias(f"{name}_prediction"),
-    )
+    if not model.fitted:
+        return with_sequence_score(df, model, name)
+    rows = with_windows(df, model.features, model.rows, group_rows)
+    return with_sequence_score(rows, model, name).drop("window")

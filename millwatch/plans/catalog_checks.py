@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from millwatch import fixed
 from millwatch.functions.rounding import round_scaled
 from millwatch.operators import evaluation
+from millwatch.operators.detectors.bottleneck import fit_bottleneck
 from millwatch.operators.detectors.forest import draw_samples, grow_forest, grow_trees, tree_depth
 from millwatch.operators.detectors.recon import fit_recon, moments
 from millwatch.operators.detectors.rule import fit_rule, score_rules
-from millwatch.operators.detectors.sequence import fit_sequence, score_sequence
+from millwatch.operators.detectors.sequence import fit_recurrent, fit_sequence, score_sequence
 from millwatch.operators.deviations import deviations, explanation
 from millwatch.operators.normalize import column_warnings
-from millwatch.operators.ordering import with_positions, with_previous
+from millwatch.operators.ordering import seconds_of, with_positions, with_previous
+from millwatch.operators.quantiles import exact_quantiles
 from millwatch.operators.stats import SCALED, normal_rows
 from millwatch.plans.catalog import SENSORS, query
 from millwatch.plans.evaluate import evaluate_scored, report_tables
@@ -36,6 +38,8 @@ from millwatch.sources import adapters
 from millwatch.sources.csv_source import load_csv
 from millwatch.sources.records import text_lines
 from millwatch.sources.tables import ResultTables
+from millwatch.streaming.scoring import write_scores
+from millwatch.streaming.windows import stream_windows
 
 SIX = adapters.SIX_SENSORS
 _SCALED = [SCALED.format(name) for name in SENSORS]
@@ -283,6 +287,65 @@ def sequence_quality(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumn("better_than_chance", F.lit(area is not None and area > 0.6))
 
 
+@query
+def recurrent_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Test scores of the recurrent cell: probabilities, flagged from 0.5, better than chance."""
+    prepared = _events(spark, folder)
+    model = fit_recurrent(prepared.train, _SCALED, prepared.stats.classes, prepared.stats.rows)
+    scored = score_sequence(prepared.test, model, "lstm")
+    scored = stage(scored.withColumn("lstm_score", round_scaled(F.col("lstm_raw"), 6)), "scored")
+    area = evaluation.metrics(scored, {"lstm": fixed.MODELS["lstm"]}).first()["roc_auc"]
+    flagged = (F.col("lstm_raw") >= fixed.SCORE_THRESHOLD).cast("int")
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("lstm_raw").between(0, 1)).alias("probabilities"),
+        F.count_if(flagged == F.col("lstm_prediction")).alias("flags_agree"),
+    ).withColumn("better_than_chance", F.lit(area is not None and area > 0.6))
+
+
+@query
+def bottleneck_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Train errors of the bottleneck network: the limit stands at its share of the rows, training lowered the mean."""
+    prepared = _events(spark, folder)
+    normal = normal_rows(prepared.train, prepared.stats)
+    rows = prepared.stats.normal_rows
+    start, model = (fit_bottleneck(normal, _SCALED, rows, iterations=n) for n in (0, fixed.NETWORK_ITERATIONS))
+    raw = stage(normal.select(model.raw().alias("raw"), start.raw().alias("start")), "raw")
+    limit = exact_quantiles(raw, {"raw": [fixed.RECON_QUANTILE]})["raw"][0]
+    found = raw.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("raw") >= 0).alias("errors"),
+        F.count_if(F.col("raw") > limit).alias("above"),
+        F.count_if(F.col("raw") >= limit).alias("reached"),
+        (F.avg("raw") < 0.7 * F.avg("start")).alias("learnt"),
+    )
+    flagged = F.col("rows") - F.ceil(F.lit(fixed.RECON_QUANTILE) * (F.col("rows") - 1))
+    return found.select("rows", "errors", flagged.alias("flagged"), flagged.between(F.col("above"), F.col("reached")).alias("limit_holds"), "learnt")
+
+
+@query
+def streamed_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Trailing windows of all events on a stream, which arrive in four loads and up to an hour late."""
+    readings = adapters.sensor_events(spark, folder)
+    arrival = F.timestamp_add("SECOND", F.pmod(F.xxhash64("sample_id"), F.lit(3600)).cast("int"), F.col("timestamp"))
+    coming = stage(readings.withColumn("_arrival", seconds_of(arrival)), "coming")
+    first, last = coming.agg(F.min("_arrival"), F.max("_arrival")).first()
+    load = F.least(F.floor((F.col("_arrival") - first) * 4 / (last - first + 1)), F.lit(3))
+    source = staging_path(spark, "loads")
+    for number in range(4):
+        coming.where(load == number).drop("_arrival").repartition(1).write.parquet(f"{source}/{number}")
+    ahead = F.lit("2100-01-01 00:00:00").cast("timestamp_ntz")  # a reading far ahead lets all others go
+    readings.limit(1).withColumns({"timestamp": ahead, "machine_id": F.lit("end")}).write.parquet(f"{source}/4")
+    stream = spark.readStream.schema(readings.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+    path = staging_path(spark, "windows")
+    windows = stream_windows(stream, ("torque", "vibration"), "2 hours")
+    write_scores(windows, path, staging_path(spark, "window-state")).awaitTermination()
+    entry = F.transform(
+        "window", lambda r: F.concat(r[0].cast("long").cast("string"), F.lit(":"), F.round(r[1] * 100).cast("long").cast("string"))
+    )
+    return spark.read.parquet(path).select("sample_id", "machine_id", F.array_join(entry, " ").alias("window"))
+
+
 @query
 def sequence_skipped(spark: SparkSession, folder: str) -> DataFrame:
     """No failure in the labels: the sequence detector stands aside and scores nothing."""

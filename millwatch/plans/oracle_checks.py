@@ -161,6 +161,26 @@ def oracle_checks() -> dict[str, str]:
             select="SELECT count(*) AS rows, count(*) AS probabilities, count(*) AS flags_agree, true AS "
             "better_than_chance FROM parts WHERE split = 'test'",
         ),
+        "recurrent_quality": _with(
+            EVENTS, SPLIT,
+            select="SELECT count(*) AS rows, count(*) AS probabilities, count(*) AS flags_agree, true AS "
+            "better_than_chance FROM parts WHERE split = 'test'",
+        ),
+        "bottleneck_quality": _with(
+            EVENTS, SPLIT, CLEAN,
+            select="SELECT count(*) AS rows, count(*) AS errors, CAST(count(*) - ceil(CAST(0.95 AS DOUBLE) * "
+            "(count(*) - 1)) AS BIGINT) AS flagged, true AS limit_holds, true AS learnt FROM normal",
+        ),
+        "streamed_windows": _with(
+            EVENTS,
+            "\nlined AS (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY moment, sample_id) AS place "
+            "FROM readings)",
+            select="SELECT sample_id, machine_id, string_agg(CAST(CAST(t AS BIGINT) AS VARCHAR) || ':' || "
+            "CAST(CAST(round(v * 100) AS BIGINT) AS VARCHAR), ' ' ORDER BY step) AS window FROM ("
+            "SELECT now.sample_id, now.machine_id, step, past.torque AS t, past.vibration AS v FROM lined AS now, "
+            "range(8) AS s(step) JOIN lined AS past ON past.machine_id = now.machine_id "
+            "AND past.place = greatest(1, now.place - 7 + step)) GROUP BY sample_id, machine_id",
+        ),
         "sequence_skipped": _with(
             EVENTS, SPLIT,
             select="SELECT sample_id, machine_id, CAST(0 AS DOUBLE) AS score, 0 AS prediction, 'skipped' AS status, "

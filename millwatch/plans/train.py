@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from millwatch import fixed
 from millwatch.functions.rounding import round_scaled
 from millwatch.functions.scalar import health
+from millwatch.operators.detectors.bottleneck import BottleneckModel, fit_bottleneck
 from millwatch.operators.detectors.forest import NODE_SCHEMA, ForestModel, grow_forest
 from millwatch.operators.detectors.recon import ReconModel, fit_recon
 from millwatch.operators.detectors.rule import RuleModel, batch_maxima, fit_rule, score_rules
-from millwatch.operators.detectors.sequence import SequenceModel, fit_sequence, score_sequence
+from millwatch.operators.detectors.sequence import (
+    RecurrentModel, SequenceModel, fit_recurrent, fit_sequence, score_sequence, with_sequence_score,
+)
 from millwatch.operators.normalize import number_of
 from millwatch.operators.ordering import GROUP_ROWS, with_positions
 from millwatch.operators.quantiles import GATHERED_VALUES, exact_quantiles
@@ -37,8 +40,8 @@ class Detectors:
     scales: dict[str, float]
     rule: RuleModel
     forest: ForestModel
-    recon: ReconModel
-    sequence: SequenceModel
+    recon: ReconModel | BottleneckModel
+    sequence: SequenceModel | RecurrentModel
     rule_maximum: float | None = None  # unit of the rule score when it is frozen
 
     @property
@@ -76,8 +79,8 @@ class Detectors:
 
 
 def calibrate(
-    forest: ForestModel, recon: ReconModel, normal: DataFrame, gathered_values: int = GATHERED_VALUES
-) -> tuple[ForestModel, ReconModel]:
+    forest: ForestModel, recon: ReconModel | BottleneckModel, normal: DataFrame, gathered_values: int = GATHERED_VALUES
+) -> tuple[ForestModel, ReconModel | BottleneckModel]:
     """Range and flagging limit of both detectors from their train scores.
 
     The train rows are scored once, in one pass for both, and staged narrow.
@@ -111,14 +114,28 @@ def fit_detectors(
     iterations: int = fixed.SEQUENCE_ITERATIONS,
     group_rows: int = GROUP_ROWS,
     gathered_values: int = GATHERED_VALUES,
+    recon_kind: str = "components",
+    sequence_kind: str = "perceptron",
 ) -> Detectors:
-    """Fit all four detectors on the train split."""
+    """Fit all four detectors on the train split.
+
+    Reconstruction is by principal ``components`` (one pass) or by a bottleneck
+    ``network``; sequences are read by a ``perceptron`` over the whole window or by a
+    ``recurrent`` cell.  Networks take some fifty passes over the train rows.
+    """
+    if recon_kind not in ("components", "network") or sequence_kind not in ("perceptron", "recurrent"):
+        raise ValueError(f"Unknown kind of detector: {recon_kind!r}, {sequence_kind!r}.")
     stats, train = prepared.stats, prepared.train
     scaled = [SCALED.format(name) for name in prepared.features]
     normal = normal_rows(train, stats)
     rows = stats.normal_rows or stats.rows
     forest = grow_forest(normal, scaled, rows, stats.contamination, trees)
-    forest, recon = calibrate(forest, fit_recon(normal, scaled), normal, gathered_values)
+    redrawn = fit_recon(normal, scaled) if recon_kind == "components" else fit_bottleneck(normal, scaled, rows)
+    forest, recon = calibrate(forest, redrawn, normal, gathered_values)
+    if sequence_kind == "perceptron":
+        sequence = fit_sequence(train, scaled, stats.classes, iterations, group_rows=group_rows)
+    else:
+        sequence = fit_recurrent(train, scaled, stats.classes, stats.rows, group_rows=group_rows)
     return Detectors(
         prepared.features,
         prepared.medians,
@@ -127,7 +144,7 @@ def fit_detectors(
         fit_rule(stats),
         forest,
         recon,
-        fit_sequence(train, scaled, stats.classes, iterations, group_rows=group_rows),
+        sequence,
     )
 
 
@@ -210,29 +227,44 @@ def save_detectors(spark: SparkSession, detectors: Detectors, path: str) -> None
         "rule_maximum": detectors.rule_maximum,
         "forest": forest,
         "recon": asdict(detectors.recon),
-        "sequence": {
-            "features": detectors.sequence.features,
-            "fitted": detectors.sequence.classifier is not None,
-        },
+        "sequence": _saved_sequence(detectors.sequence),
     }
     save_text(spark, f"{path}/parameters", json.dumps(document))
     nodes = spark.createDataFrame(detectors.forest.nodes, NODE_SCHEMA)
     nodes.coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
-    if detectors.sequence.classifier is not None:
+    if isinstance(detectors.sequence, SequenceModel) and detectors.sequence.fitted:
         detectors.sequence.classifier.write().overwrite().save(f"{path}/sequence")
 
 
+def _saved_sequence(model: SequenceModel | RecurrentModel) -> dict[str, object]:
+    if isinstance(model, RecurrentModel):
+        return asdict(model)
+    return {"features": model.features, "fitted": model.fitted}
+
+
+def _loaded_sequence(saved: dict[str, object], path: str) -> SequenceModel | RecurrentModel:
+    features = tuple(saved["features"])
+    if "parameters" in saved:
+        numbers = saved["parameters"]
+        return RecurrentModel(**{**saved, "features": features, "parameters": None if numbers is None else tuple(numbers)})
+    found = MultilayerPerceptronClassificationModel.load(f"{path}/sequence") if saved["fitted"] else None
+    return SequenceModel(features, found)
+
+
+def _loaded_recon(saved: dict[str, object]) -> ReconModel | BottleneckModel:
+    features = tuple(saved["features"])
+    if "neck" in saved:
+        return BottleneckModel(**{**saved, "features": features, "parameters": tuple(saved["parameters"])})
+    residual = tuple(map(tuple, saved["residual"]))
+    return ReconModel(**{**saved, "features": features, "means": tuple(saved["means"]), "residual": residual})
+
+
 def load_detectors(spark: SparkSession, path: str) -> Detectors:
     document = json.loads(load_text(spark, f"{path}/parameters"))
     nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{path}/trees").toPandas()
     rule, forest, recon, sequence = (
         document[name] for name in ("rule", "forest", "recon", "sequence")
     )
-    classifier = (
-        MultilayerPerceptronClassificationModel.load(f"{path}/sequence")
-        if sequence["fitted"]
-        else None
-    )
     return Detectors(
         tuple(document["features"]),
         document["medians"],
@@ -240,15 +272,8 @@ def load_detectors(spark: SparkSession, path: str) -> Detectors:
         document["scales"],
         RuleModel(**{**rule, "features": tuple(rule["features"])}),
         ForestModel(**{**forest, "features": tuple(forest["features"])}, nodes=nodes),
-        ReconModel(
-            **{
-                **recon,
-                "features": tuple(recon["features"]),
-                "means": tuple(recon["means"]),
-                "residual": tuple(map(tuple, recon["residual"])),
-            }
-        ),
-        SequenceModel(tuple(sequence["features"]), classifier),
+        _loaded_recon(recon),
+        _loaded_sequence(sequence, path),
         document["rule_maximum"],
     )
 
@@ -269,21 +294,29 @@ def bring_to_inputs(df: DataFrame, detectors: Detectors) -> DataFrame:
     )
 
 
+def _score_frozen(inputs: DataFrame, detectors: Detectors) -> DataFrame:
+    if detectors.rule_maximum is None:
+        raise ValueError("Freeze the detectors first: the rule score would depend on the batch.")
+    return _score_row_local(_score_rule(inputs, detectors), detectors)
+
+
 def score_row_local(df: DataFrame, detectors: Detectors) -> DataFrame:
     """Rule, forest and reconstruction scores of canonical readings.
 
     Needs a frozen rule unit; then each row stands alone and the frame may be
     a stream.
     """
-    if detectors.rule_maximum is None:
-        raise ValueError("Freeze the detectors first: the rule score would depend on the batch.")
-    inputs = bring_to_inputs(df, detectors)
-    ruled = _score_rule(inputs, detectors)
-    scored = _with_scores(_score_row_local(ruled, detectors), MODELS[:3])
+    scored = _with_scores(_score_frozen(bring_to_inputs(df, detectors), detectors), MODELS[:3])
     inner = [f"{m}_raw" for m in MODELS[:3]] + [SCALED.format(n) for n in detectors.features]
     return scored.drop(*inner)
 
 
+def score_inputs(rows: DataFrame, detectors: Detectors) -> DataFrame:
+    """Scores of all four detectors for filled, scaled readings that have their ``window`` already."""
+    scored = with_sequence_score(_score_frozen(rows, detectors), detectors.sequence, "lstm")
+    return _with_scores(scored, MODELS).drop(*[f"{m}_raw" for m in MODELS])
+
+
 def score_saved(
     df: DataFrame, detectors: Detectors, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
