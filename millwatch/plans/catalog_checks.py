@@ -7,7 +7,7 @@ their scores; what follows from the data alone is stated here as rows that it ca
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +25,8 @@ from millwatch.operators.normalize import column_warnings
 from millwatch.operators.ordering import seconds_of, with_positions, with_previous
 from millwatch.operators.quantiles import exact_quantiles
 from millwatch.operators.stats import SCALED, normal_rows
-from millwatch.plans.catalog import SENSORS, query
-from millwatch.plans.evaluate import evaluate_scored, report_tables
+from millwatch.plans.catalog import SENSORS, _results, query
+from millwatch.plans.evaluate import evaluate_scored, report_tables, store_results
 from millwatch.plans.ingest import ingest
 from millwatch.plans.prepare import Prepared, prepare, prepare_readings
 from millwatch.plans.train import (
@@ -37,7 +37,7 @@ from millwatch.session import stage, staging_path
 from millwatch.sources import adapters
 from millwatch.sources.csv_source import load_csv
 from millwatch.sources.records import text_lines
-from millwatch.sources.tables import ResultTables
+from millwatch.sources.tables import ResultTables, cleaned_rows, utc_now
 from millwatch.streaming.scoring import write_scores
 from millwatch.streaming.windows import stream_windows
 
@@ -167,6 +167,26 @@ def stamped_rows(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query
+def repeated_appends(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows per table when a job breaks off between two tables, is tried again, and again after it is done."""
+    tables = ResultTables(spark, staging_path(spark, "tables"))
+    tables.create()
+    for done in (False, True, True):
+        batch = ingest(
+            adapters.sensor_events_gappy(spark, folder), "events", id_column="sample_id", tables=tables, batch_id="batch"
+        )
+        if done:
+            prepared = prepare(batch, tables, "run")
+            store_results(_results(prepared), tables, "run", "batch")
+            continue
+        with suppress(InterruptedError), tables.commit("prepared batch run") as half:
+            rows = prepare_readings(batch.readings, batch.features).frame
+            half.append("cleaned_sensor_records", cleaned_rows(rows, batch.features, batch.missing, "batch", utc_now()))
+            raise InterruptedError("between two tables")
+    return tables.counts()
+
+
 # ---- six sensors ---------------------------------------------------------
 
 

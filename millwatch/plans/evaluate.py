@@ -106,12 +106,14 @@ def evaluate_scored(
 def store_results(
     results: Results, tables: ResultTables, run_id: str, batch_id: str, split: str = "test"
 ) -> None:
-    """Append predictions, scores and metrics to their tables."""
+    """Append predictions, scores and metrics to their tables, all of them once for each run."""
     stamp = utc_now()
-    tables.append_outputs(output_rows(results.predictions(), run_id, batch_id, stamp, split))
-    tables.append(
-        "evaluation_results", evaluation_rows(results.metrics, run_id, batch_id, stamp)
-    )
+    with tables.commit(f"results {batch_id} {run_id} {split}") as done:
+        if done:
+            outputs = output_rows(results.predictions(), run_id, batch_id, stamp, split)
+            for name in ("model_predictions", "anomaly_scores"):
+                done.append(name, outputs)
+            done.append("evaluation_results", evaluation_rows(results.metrics, run_id, batch_id, stamp))
 
 
 def save_document(

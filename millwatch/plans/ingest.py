@@ -76,7 +76,8 @@ def ingest(
     that costs one count of the ids, which ``unique_ids`` saves if they are known
     to be.  Times are read as ISO, by ``time_format`` (one form, or several of
     which the first that reads the whole column counts) or as counts since 1970
-    in ``epoch_unit``.
+    in ``epoch_unit``.  Raw rows are stored once for each ``batch_id``, however often a
+    job with that id is tried.
     """
     named, renamed = normalize_columns(df)
     features, missing = available_sensors(named.columns)
@@ -127,7 +128,7 @@ def ingest(
     )
     if tables is not None:
         rows = raw_rows(readings, features, batch.batch_id, source, utc_now())
-        tables.append("raw_sensor_records", rows)
+        tables.append("raw_sensor_records", rows, f"raw {batch.batch_id}")
         # From here on the stored rows are read: columnar, typed and numbered.
         stored = tables.table("raw_sensor_records").where(F.col("batch_id") == batch.batch_id)
         batch = replace(batch, readings=canonical_select(stored, features))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from millwatch.plans.oracle import (
-    CLEAN, DEVIATED, EVENTS, EXCESS, LINES, METRICS, RECON, SCORED, SENSORS, SPLIT, _cell, _excess,
+    CLEAN, DEVIATED, EVENTS, EXCESS, GAPPY, LINES, METRICS, RECON, SCORED, SENSORS, SPLIT, _cell, _excess,
     _explained, _prepared, _r, _with,
 )
 
@@ -114,6 +114,14 @@ def oracle_checks() -> dict[str, str]:
             "UNION ALL SELECT 'cleaned_sensor_records', " + stamped.format("count(*)") + " FROM parts "
             "UNION ALL SELECT 'feature_statistics', " + stamped.format("3"),
         ),
+        "repeated_appends": _with(
+            GAPPY, SPLIT, CLEAN,
+            select="SELECT 'raw_sensor_records' AS table_name, count(*) AS rows FROM readings "
+            "UNION ALL SELECT 'cleaned_sensor_records', count(*) FROM clean "
+            "UNION ALL SELECT 'model_predictions', 4 * count(*) FROM test "
+            "UNION ALL SELECT 'anomaly_scores', 4 * count(*) FROM test "
+            "UNION ALL SELECT 'evaluation_results', 4 UNION ALL SELECT 'feature_statistics', 3",
+        ),
         "six_sensor_scores": _with(
             *_SIX_FITTED, *_SIX_SCORED,
             select="SELECT sample_id, machine_id, score, prediction AS rule_prediction, "

@@ -95,14 +95,16 @@ def prepare(
     )
     if tables is not None:
         stamp = utc_now()
-        tables.append(
-            "cleaned_sensor_records",
-            cleaned_rows(prepared.frame, batch.features, batch.missing, batch.batch_id, stamp),
-        )
-        tables.append(
-            "feature_statistics",
-            statistics_rows(prepared.statistics(), prepared.run_id, batch.batch_id, stamp),
-        )
+        with tables.commit(f"prepared {batch.batch_id} {prepared.run_id}") as done:
+            if done:
+                done.append(
+                    "cleaned_sensor_records",
+                    cleaned_rows(prepared.frame, batch.features, batch.missing, batch.batch_id, stamp),
+                )
+                done.append(
+                    "feature_statistics",
+                    statistics_rows(prepared.statistics(), prepared.run_id, batch.batch_id, stamp),
+                )
     return prepared
 
 

@@ -1,10 +1,14 @@
-"""The six append-only result tables, as partitioned Parquet."""
+"""The six append-only result tables, as partitioned Parquet with published appends."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import re
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from datetime import datetime, timezone
 from functools import reduce
+from hashlib import md5
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +18,7 @@ from pyspark.sql import types as T
 from millwatch import fixed
 from millwatch.functions.scalar import iso_second, json_object
 from millwatch.operators.stats import SCALED
+from millwatch.sources.files import delete_path, path_exists, put_text_once, subfolders
 
 _SENSOR_COLUMNS = ", ".join(f"{name} double" for name in fixed.SENSORS)
 
@@ -149,8 +154,27 @@ def evaluation_rows(
     )
 
 
+class Commit:
+    """Rows for several tables that become visible together, once for each key."""
+
+    def __init__(self, tables: ResultTables, key: str) -> None:
+        self.tables, self.key, self.attempt = tables, key, uuid4().hex
+        self.names: list[str] = []
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        self.names.append(name)
+        self.tables.write(name, rows, self.attempt)
+
+
 class ResultTables:
-    """The tables under one root folder, for appending and for SQL."""
+    """The tables under one root folder, for appending and for SQL.
+
+    Every append goes to a folder of its own attempt.  It is published by a small file
+    that names the attempt, put in place by one rename; readers take published
+    attempts only.  The file is named by the append's key, and the first attempt to
+    put it there counts: a job that is tried again, after whatever failure, adds its
+    rows once.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -160,30 +184,78 @@ class ResultTables:
 
     def create(self) -> None:
         """Create the tables that are not there yet."""
-        for name, schema in SCHEMAS.items():
-            self._write(self.spark.createDataFrame([], schema), name)
+        with self.commit("created") as batch:
+            for name, schema in SCHEMAS.items() if batch else ():
+                batch.append(name, self.spark.createDataFrame([], schema))
 
-    def _write(self, rows: DataFrame, name: str) -> None:
-        partitions = PARTITIONS.get(name, ("batch_id",))
-        rows.write.mode("append").partitionBy(*partitions).parquet(f"{self.root}/{name}")
-
-    def append(self, name: str, rows: DataFrame) -> None:
+    def write(self, name: str, rows: DataFrame, attempt: str) -> None:
+        """Write rows of an attempt, to be published later."""
         schema = T.StructType.fromDDL(SCHEMAS[name])
-        self._write(rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]), name)
-
-    def append_outputs(self, rows: DataFrame) -> None:
-        """Both tables of model outputs from one ranked frame."""
-        for name in ("model_predictions", "anomaly_scores"):
-            self.append(name, rows)
+        typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema], F.lit(attempt).alias("attempt"))
+        partitions = ("attempt", *PARTITIONS.get(name, ("batch_id",)))
+        typed.write.mode("append").partitionBy(*partitions).parquet(f"{self.root}/{name}")
+
+    def _manifest(self, key: str) -> str:
+        return f"{self.root}/published/{md5(key.encode()).hexdigest()}.json"
+
+    def is_published(self, key: str) -> bool:
+        return path_exists(self.spark, self._manifest(key))
+
+    @contextmanager
+    def commit(self, key: str) -> Iterator[Commit | None]:
+        """A block whose appends are published at its end, or None if the key has been published before.
+
+        Nothing of a block that fails is ever read.
+        """
+        if self.is_published(key):
+            yield None
+            return
+        batch = Commit(self, key)
+        yield batch
+        text = json.dumps({"key": key, "attempt": batch.attempt, "tables": sorted(set(batch.names))})
+        put_text_once(self.spark, self._manifest(key), text)
+
+    def append(self, name: str, rows: DataFrame, key: str | None = None) -> bool:
+        """Append rows to one table; False if rows of this key are there already."""
+        with self.commit(key or uuid4().hex) as batch:
+            if batch:
+                batch.append(name, rows)
+        return batch is not None
+
+    def published(self) -> DataFrame:
+        """Key, attempt and tables of every append that counts, a row for each."""
+        return self.spark.read.schema("key string, attempt string, tables array<string>").json(f"{self.root}/published")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
+        rows = self.spark.read.schema(f"{SCHEMAS[name]}, attempt string").parquet(f"{self.root}/{name}")
+        counted = self.published().where(F.array_contains("tables", name)).select("attempt")
+        return rows.join(counted, "attempt", "left_semi").select(*self._columns(name))
+
+    def vacuum(self, older_than: float = 7 * 86_400.0) -> int:
+        """Delete attempts that were never published and are older than so many seconds; their number."""
+        known = {row["attempt"] for row in self.published().select("attempt").collect()}
+        gone = 0
+        for name in SCHEMAS:
+            for folder, age in subfolders(self.spark, f"{self.root}/{name}"):
+                attempt = folder.rsplit("attempt=", 1)[-1]
+                if "attempt=" in folder and attempt not in known and age >= older_than:
+                    delete_path(self.spark, folder)
+                    gone += 1
+        return gone
 
     def query(self, sql: str, parameters: Sequence[object] | None = None) -> DataFrame:
-        """SQL over the six tables with positional ``?`` parameters."""
+        """SQL over the six tables with positional ``?`` parameters.
+
+        The tables are named inside the statement, so two roots in one session do not
+        meet; their views have names of their own.
+        """
+        mark = md5(self.root.encode()).hexdigest()[:12]
         for name in SCHEMAS:
-            self.table(name).createOrReplaceTempView(name)
-        return self.spark.sql(sql, args=list(parameters or []))
+            self.table(name).createOrReplaceTempView(f"{name}_{mark}")
+        named = ", ".join(f"{name} AS (SELECT * FROM {name}_{mark})" for name in SCHEMAS)
+        own = re.match(r"\s*WITH\b(?!\s+RECURSIVE\b)", sql, re.IGNORECASE)
+        text = f"WITH {named}, {sql[own.end() :]}" if own else f"WITH {named} {sql}"
+        return self.spark.sql(text, args=list(parameters or []))
 
     def counts(self) -> DataFrame:
         """Row count per table."""
