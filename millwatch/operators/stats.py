@@ -6,7 +6,7 @@ import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch import fixed
@@ -159,3 +159,14 @@ def reference_table(stats: TrainStats) -> list[tuple[str, float, float]]:
         (name, float(stats.reference_means[name]), float(stats.reference_stds[name]))
         for name in stats.features
     ]
+
+
+def statistics_table(spark: SparkSession, stats: TrainStats, medians: Mapping[str, float]) -> DataFrame:
+    """The rows of ``feature_statistics`` from values that were fitted before."""
+    rows = [
+        (n, float(stats.means[n]), float(stats.stds[n]), float(stats.minima[n]), float(stats.maxima[n]), float(medians[n]))
+        for n in stats.features
+    ]
+    return spark.createDataFrame(
+        rows, "feature_name string, mean double, std double, min double, max double, median double"
+    )

@@ -33,6 +33,7 @@ from millwatch.plans.train import (
     MODELS, calibrate, fit_detectors, freeze, inference_table, load_detectors, save_detectors, score_detectors,
     score_saved, train_and_score,
 )
+from millwatch.plans.run import run
 from millwatch.session import stage, staging_path
 from millwatch.sources import adapters
 from millwatch.sources.csv_source import load_csv
@@ -412,6 +413,37 @@ def pretrained_scores(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def pretrained_run(spark: SparkSession, folder: str) -> DataFrame:
+    """A whole run over drifted events with detectors saved before: stored scores, explanations and scaled readings."""
+    prepared = _events(spark, folder)
+    path = staging_path(spark, "detectors")
+    save_detectors(spark, freeze(fit_detectors(prepared, trees=20, iterations=5), prepared.test), path)
+    drifted = adapters.sensor_events(spark, folder).withColumns(
+        {"torque": F.col("torque") * 2 + 50, "vibration": F.col("vibration") + 10}
+    )
+    tables = ResultTables(spark, staging_path(spark, "tables"))
+    run(spark, drifted, tables, pretrained=path, ingest_options={"id_column": "sample_id", "batch_id": "batch"})
+    rule = F.col("model_name") == "rule_based"
+    cleaned = tables.table("cleaned_sensor_records").where("split_name = 'test'").select(
+        "sample_id", "machine_id",
+        F.round(F.get_json_object("scaled_payload", "$.vibration").cast("double"), 4).alias("scaled_vibration"),
+    )
+    scores = tables.table("anomaly_scores").where(rule).select("sample_id", F.col("anomaly_score").alias("score"))
+    predictions = tables.table("model_predictions").where(rule).select("sample_id", "predicted_label", "explanation")
+    return cleaned.join(scores, "sample_id").join(predictions, "sample_id")
+
+
+@query
+def pretrained_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics that such a run stores: those of the table before the drift."""
+    prepared = _events(spark, folder)
+    drifted = adapters.sensor_events(spark, folder).withColumns({name: F.col(name) * 3 + 1 for name in SENSORS})
+    batch = ingest(drifted, "drifted", id_column="sample_id")
+    rows = prepare(batch, saved=(prepared.medians, prepared.stats)).statistics()
+    return rows.withColumns({name: F.round(name, 4) for name in ("mean", "std", "min", "max", "median")})
+
+
 @query
 def report_of_two(spark: SparkSession, folder: str) -> DataFrame:
     """The leaderboard rows of the two detectors that are not random, of a full training."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from millwatch.plans.oracle import (
-    CLEAN, DEVIATED, EVENTS, EXCESS, GAPPY, LINES, METRICS, RECON, SCORED, SENSORS, SPLIT, _cell, _excess,
+    CLEAN, DEVIATED, DEVIATIONS, EVENTS, EXCESS, GAPPY, LINES, METRICS, RECON, SCALE, SCORED, SENSORS, SPLIT, _cell, _excess,
     _explained, _prepared, _r, _with,
 )
 
@@ -205,6 +205,27 @@ def oracle_checks() -> dict[str, str]:
             "CAST(round_even(greatest(0, least(1, (err - lo) / greatest(hi - lo, 1e-8))) * 1e6, 0) AS BIGINT) // 100 "
             "AS autoencoder_score, CASE WHEN err >= lim THEN 1 ELSE 0 END AS autoencoder_prediction FROM shares",
         ),
+        "pretrained_run": _prepared(
+            EVENTS, DEVIATED, EXCESS, SCALE,
+            "\nshifted AS (SELECT * REPLACE (torque * 2 + 50 AS torque, vibration + 10 AS vibration) FROM test)",
+            DEVIATED.replace("deviated AS", "moved AS").replace("test.*", "shifted.*").replace("FROM test", "FROM shifted"),
+            f"\nshares AS (SELECT *, {_excess('2.5')} / (SELECT greatest(max(x_sigma_2_5), 1) FROM excess) AS share FROM moved)",
+            "\njudged AS (SELECT *, round_even(least(share, 1) * 1e6, 0) / 1e6 AS score, "
+            "CASE WHEN share >= CAST(0.5 AS DOUBLE) THEN 1 ELSE 0 END AS prediction FROM shares)",
+            DEVIATIONS.replace("deviated", "moved"),
+            select="SELECT judged.sample_id, machine_id, score, prediction AS predicted_label, "
+            "round((vibration - c_vibration) / s_vibration, 4) AS scaled_vibration, "
+            f"{_explained('score', 'prediction')} AS explanation "
+            "FROM judged JOIN named ON judged.sample_id = named.sample_id, scaling",
+        ),
+        "pretrained_statistics": _with(
+            EVENTS, SPLIT, CLEAN,
+            select=" UNION ALL ".join(
+                f"SELECT '{f}' AS feature_name, round(avg({f}), 4) AS mean, round(stddev_pop({f}), 4) AS std, "
+                f"round(min({f}), 4) AS min, round(max({f}), 4) AS max, round(median({f}), 4) AS median FROM train"
+                for f in SENSORS
+            ),
+        ),
         "report_of_two": _prepared(
             LINES, DEVIATED, EXCESS, SCORED, RECON, _TWO, METRICS,
             select="SELECT display_name AS model, "

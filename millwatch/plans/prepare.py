@@ -12,7 +12,7 @@ from millwatch.operators.ordering import GROUP_ROWS
 from millwatch.operators.quantiles import GATHERED_VALUES
 from millwatch.operators.split import check_splits, chronological_split, select_split
 from millwatch.operators.stats import (
-    TrainStats, feature_statistics, fit_train_stats, impute, scale, train_medians,
+    TrainStats, feature_statistics, fit_train_stats, impute, scale, statistics_table, train_medians,
 )
 from millwatch.plans.ingest import Ingested
 from millwatch.session import stage
@@ -36,6 +36,7 @@ class Prepared:
     missing: tuple[str, ...] = ()
     label_available: bool = True
     notes: tuple[str, ...] = ()
+    fitted_here: bool = True  # medians and statistics come from this table's train part
 
     def split(self, name: str) -> DataFrame:
         return select_split(self.frame, name)
@@ -49,7 +50,10 @@ class Prepared:
         return self.split("test")
 
     def statistics(self) -> DataFrame:
-        return feature_statistics(self.train, self.features, self.medians)
+        """Statistics of the train part that medians and scaler come from."""
+        if self.fitted_here:
+            return feature_statistics(self.train, self.features, self.medians)
+        return statistics_table(self.frame.sparkSession, self.stats, self.medians)
 
 
 def prepare_readings(
@@ -58,17 +62,23 @@ def prepare_readings(
     allow_overlap: bool = True,
     group_rows: int = GROUP_ROWS,
     gathered_values: int = GATHERED_VALUES,
+    saved: tuple[dict[str, float], TrainStats] | None = None,
     **about,
 ) -> Prepared:
     """Split a canonical table, then fit medians and scaler on its train part.
 
     The split rows are staged once: the shuffle that makes them runs once,
     however many passes follow, and those read only the columns they need.
+    ``saved`` medians and statistics take the place of fitted ones, throughout.
     """
     if len(features) < 2:
         raise ValueError(f"At least two sensor columns are needed. Found: {list(features)}")
     split = stage(chronological_split(readings, allow_overlap, group_rows), "split")
     sizes, values = check_splits(split, features)
+    if saved is not None:
+        medians, stats = saved
+        frame = scale(impute(split, medians), stats)
+        return Prepared(frame, tuple(features), medians, stats, sizes, fitted_here=False, **about)
     train = select_split(split, "train")
     medians = train_medians(train, features, gathered_values, values)
     cleaned = impute(split, medians)

@@ -6,14 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millwatch.operators.split import chronological_split, select_split
 from millwatch.plans.evaluate import Results, evaluate_scored, save_document, store_results
 from millwatch.plans.ingest import Ingested, ingest, ingest_csv
 from millwatch.plans.prepare import Prepared, prepare
-from millwatch.plans.train import (
-    Detectors, bring_to_inputs, load_detectors, save_detectors, score_detectors, train_and_score,
-)
-from millwatch.session import stage
+from millwatch.plans.train import Detectors, load_detectors, save_detectors, score_prepared, train_and_score
 from millwatch.sources.tables import ResultTables
 
 
@@ -38,12 +34,14 @@ def run(
     """Ingest, prepare, train (or load detectors), evaluate, store.
 
     ``tables`` takes the rows, ``document`` and ``models`` are folders for the
-    result document and the fitted detectors; each is optional.
+    result document and the fitted detectors; each is optional.  A ``pretrained`` run
+    fits nothing: gaps, scaling, explanations and stored statistics are those of the
+    table that the detectors were trained on.
     """
     take = ingest_csv if isinstance(source, str) else (lambda _, df, **o: ingest(df, **o))
     batch = take(spark, source, tables=tables, **(ingest_options or {}))
-    prepared = prepare(batch, tables)
     if pretrained is None:
+        prepared = prepare(batch, tables)
         detectors, scored = train_and_score(prepared, **training)
     else:
         detectors = load_detectors(spark, pretrained)
@@ -51,9 +49,10 @@ def run(
             raise ValueError(
                 f"The saved detectors read {sorted(detectors.features)}, the table has {sorted(batch.features)}."
             )
-        # the saved medians and scaling, not those of the new table
-        test = select_split(chronological_split(batch.readings), "test")
-        scored = stage(score_detectors(bring_to_inputs(test, detectors), detectors), "scored")
+        if detectors.stats is None:
+            raise ValueError(f"The detectors in {pretrained} were saved without the statistics of their train part.")
+        prepared = prepare(batch, tables, saved=(detectors.medians, detectors.stats))
+        scored = score_prepared(prepared, detectors)
     results = evaluate_scored(
         scored, prepared.stats, detectors.thresholds,
         status=detectors.status, notes=detectors.notes,

@@ -22,7 +22,7 @@ from millwatch.operators.detectors.sequence import (
 from millwatch.operators.normalize import number_of
 from millwatch.operators.ordering import GROUP_ROWS, with_positions
 from millwatch.operators.quantiles import GATHERED_VALUES, exact_quantiles
-from millwatch.operators.stats import SCALED, normal_rows
+from millwatch.operators.stats import SCALED, TrainStats, normal_rows
 from millwatch.plans.prepare import Prepared
 from millwatch.session import stage
 from millwatch.sources.results import load_text, save_text
@@ -43,6 +43,7 @@ class Detectors:
     recon: ReconModel | BottleneckModel
     sequence: SequenceModel | RecurrentModel
     rule_maximum: float | None = None  # unit of the rule score when it is frozen
+    stats: TrainStats | None = None  # what the train part was like; explanations refer to it
 
     @property
     def thresholds(self) -> dict[str, float]:
@@ -145,6 +146,7 @@ def fit_detectors(
         forest,
         recon,
         sequence,
+        stats=stats,
     )
 
 
@@ -188,14 +190,17 @@ def score_detectors(
     return _with_scores(scored, MODELS).drop(*[f"{m}_raw" for m in MODELS])
 
 
+def score_prepared(prepared: Prepared, detectors: Detectors, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Scores of the test split, staged for evaluation."""
+    scored = score_detectors(prepared.test, detectors, group_rows)
+    scaled = [SCALED.format(name) for name in prepared.features]
+    return stage(scored.drop("split", "split_position", *scaled), "scored")
+
+
 def train_and_score(prepared: Prepared, **options) -> tuple[Detectors, DataFrame]:
     """Fit on train, score test; the scored rows are staged for evaluation."""
     detectors = fit_detectors(prepared, **options)
-    scored = score_detectors(
-        prepared.test, detectors, options.get("group_rows", GROUP_ROWS)
-    )
-    scaled = [SCALED.format(name) for name in prepared.features]
-    return detectors, stage(scored.drop("split", "split_position", *scaled), "scored")
+    return detectors, score_prepared(prepared, detectors, options.get("group_rows", GROUP_ROWS))
 
 
 def inference_table(spark: SparkSession, detectors: Detectors) -> DataFrame:
@@ -225,6 +230,7 @@ def save_detectors(spark: SparkSession, detectors: Detectors, path: str) -> None
         "scales": detectors.scales,
         "rule": asdict(detectors.rule),
         "rule_maximum": detectors.rule_maximum,
+        "stats": None if detectors.stats is None else asdict(detectors.stats),
         "forest": forest,
         "recon": asdict(detectors.recon),
         "sequence": _saved_sequence(detectors.sequence),
@@ -259,6 +265,10 @@ def _loaded_recon(saved: dict[str, object]) -> ReconModel | BottleneckModel:
     return ReconModel(**{**saved, "features": features, "means": tuple(saved["means"]), "residual": residual})
 
 
+def _loaded_stats(saved: dict[str, object] | None) -> TrainStats | None:
+    return None if saved is None else TrainStats(**{**saved, "features": tuple(saved["features"])})
+
+
 def load_detectors(spark: SparkSession, path: str) -> Detectors:
     document = json.loads(load_text(spark, f"{path}/parameters"))
     nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{path}/trees").toPandas()
@@ -275,6 +285,7 @@ def load_detectors(spark: SparkSession, path: str) -> Detectors:
         _loaded_recon(recon),
         _loaded_sequence(sequence, path),
         document["rule_maximum"],
+        _loaded_stats(document.get("stats")),
     )
 
 
