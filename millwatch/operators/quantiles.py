@@ -51,13 +51,15 @@ def exact_quantiles(
     wanted: Mapping[str, Sequence[float]],
     gathered_values: int = GATHERED_VALUES,
     known_sizes: Mapping[str, int] | None = None,
+    sketches: DataFrame | None = None,
 ) -> dict[str, list[float | None]]:
     """Interpolated quantiles per column; nulls are skipped, no value gives None.
 
     The wanted values are bracketed with mergeable sketches and counted
     exactly, round by round, until few enough values lie between the bounds to
     be gathered.  The counts decide, so the result is exact.  ``known_sizes``
-    gives the values per column where they have been counted before.
+    gives the values per column where they have been counted before, ``sketches`` a
+    row of their merged sketches, one column for each name, where those were kept.
     """
     names = list(wanted)
     sizes = _sizes(df, names, known_sizes)
@@ -68,7 +70,7 @@ def exact_quantiles(
     for (name, _), place in places.items():
         for rank in (math.floor(place), math.ceil(place)):
             searches[name, rank] = _Search(name, rank, 0, sizes[name])
-    _resolve(df, list(searches.values()), gathered_values)
+    _resolve(df, list(searches.values()), gathered_values, sketches)
 
     def value_of(name: str, q: float) -> float | None:
         if (name, q) not in places:
@@ -89,11 +91,23 @@ def _sizes(
     return df.agg(*[F.count(name).alias(name) for name in names]).first().asDict()
 
 
-def _resolve(df: DataFrame, searches: list[_Search], gathered_values: int) -> None:
+def sketch(values: Column) -> Column:
+    """Mergeable summary of a column, an aggregate."""
+    return F.kll_sketch_agg_double(values, F.lit(_SKETCH_SIZE))
+
+
+def merged_sketch(sketches: Column) -> Column:
+    return F.kll_merge_agg_double(sketches, F.lit(_SKETCH_SIZE))
+
+
+def _resolve(
+    df: DataFrame, searches: list[_Search], gathered_values: int, sketches: DataFrame | None
+) -> None:
     while pending := [s for s in searches if s.answer is None]:
         wide = [s for s in pending if s.inside > gathered_values]
         if wide:
-            _narrow(df, wide)
+            _narrow(df, wide, sketches)
+            sketches = None  # they tell of whole columns, so only of the first bracket
         else:
             _read_off(df, pending)
 
@@ -115,23 +129,28 @@ def _read_off(df: DataFrame, searches: list[_Search]) -> None:
         search.answer = float(value)
 
 
-def _narrow(df: DataFrame, searches: list[_Search]) -> None:
-    """One sketch pass and one counting pass for all open searches."""
-    intervals = list(dict.fromkeys(s.interval for s in searches))
-    sketch_of = {i: f"k{n}" for n, i in enumerate(intervals)}
-    size = F.lit(_SKETCH_SIZE)
-    sketches = df.groupBy((F.spark_partition_id() % _SKETCH_GROUPS).alias("group")).agg(
-        *[F.kll_sketch_agg_double(_within(i), size).alias(name) for i, name in sketch_of.items()]
-    )
-    merged = sketches.agg(
-        *[F.kll_merge_agg_double(name, size).alias(name) for name in sketch_of.values()]
+def _sketched(df: DataFrame, intervals: Sequence[tuple[str, float | None, float | None]]) -> DataFrame:
+    """One row with a merged sketch for each interval."""
+    parts = df.groupBy((F.spark_partition_id() % _SKETCH_GROUPS).alias("group")).agg(
+        *[sketch(_within(i)).alias(f"k{n}") for n, i in enumerate(intervals)]
     )
+    return parts.agg(*[merged_sketch(F.col(f"k{n}")).alias(f"k{n}") for n in range(len(intervals))])
+
+
+def _narrow(df: DataFrame, searches: list[_Search], sketches: DataFrame | None = None) -> None:
+    """One sketch pass, unless sketches are given, and one counting pass for all open searches."""
+    intervals = list(dict.fromkeys(s.interval for s in searches))
+    if sketches is None:
+        merged = _sketched(df, intervals)
+        sketch_of = {i: f"k{n}" for n, i in enumerate(intervals)}
+    else:
+        merged, sketch_of = sketches, {i: i[0] for i in intervals}
     bounds = []
     for n, search in enumerate(searches):
         share = (search.rank - search.below) / search.inside
         pair = F.array(F.lit(max(share - _SLACK, 0.0)), F.lit(min(share + _SLACK, 1.0)))
         bounds.append(
-            F.kll_sketch_get_quantile_double(sketch_of[search.interval], pair).alias(f"s{n}")
+            F.kll_sketch_get_quantile_double(F.col(sketch_of[search.interval]), pair).alias(f"s{n}")
         )
     found = merged.select(*bounds).first()
     tests = []

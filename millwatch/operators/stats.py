@@ -71,7 +71,7 @@ def normal_rows(df: DataFrame, stats: TrainStats) -> DataFrame:
     return df.where(is_normal()) if stats.normal_rows else df
 
 
-def _scale(mean: float, std: float, rows: int) -> float:
+def scale_of(mean: float, std: float, rows: int) -> float:
     """Divisor of the scaler: 1 where the spread is rounding noise."""
     noise = rows * sys.float_info.epsilon
     return 1.0 if std**2 <= noise * std**2 + (noise * mean) ** 2 else std
@@ -110,7 +110,7 @@ def fit_train_stats(train: DataFrame, features: Sequence[str]) -> TrainStats:
         failure_share=float(row["share"]),
         means=means,
         stds=stds,
-        scales={name: _scale(means[name], stds[name], row["rows"]) for name in features},
+        scales={name: scale_of(means[name], stds[name], row["rows"]) for name in features},
         minima=each("min"),
         maxima=each("max"),
         reference_means=each(reference[0]),

@@ -24,6 +24,7 @@ from millwatch.operators.deviations import deviations, explanation
 from millwatch.operators.normalize import column_warnings
 from millwatch.operators.ordering import seconds_of, with_positions, with_previous
 from millwatch.operators.quantiles import exact_quantiles
+from millwatch.operators.running import RunningStatistics
 from millwatch.operators.stats import SCALED, normal_rows
 from millwatch.plans.catalog import SENSORS, _results, query
 from millwatch.plans.evaluate import evaluate_scored, report_tables, store_results
@@ -247,6 +248,17 @@ def six_sensor_table(spark: SparkSession, folder: str) -> DataFrame:
     return tables.table("raw_sensor_records").select("sample_id", *SIX, same.alias("payload_holds"))
 
 
+@query
+def running_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of all events from four batches, summed up one after another, with exact medians."""
+    readings = stage(adapters.sensor_events_gappy(spark, folder), "readings")
+    running = RunningStatistics(spark, staging_path(spark, "running"), SENSORS)
+    for number in range(4):
+        running.add(readings.where(F.pmod(F.xxhash64("machine_id"), F.lit(4)) == number), f"batch {number}")
+    rows = running.statistics(running.medians(readings, 500))
+    return rows.withColumns({name: F.round(name, 4) for name in ("mean", "std", "min", "max", "median")})
+
+
 # ---- learnt detectors ----------------------------------------------------
 
 

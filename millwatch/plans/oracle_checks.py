@@ -218,6 +218,16 @@ def oracle_checks() -> dict[str, str]:
             f"{_explained('score', 'prediction')} AS explanation "
             "FROM judged JOIN named ON judged.sample_id = named.sample_id, scaling",
         ),
+        "running_statistics": _with(
+            GAPPY,
+            "\nwhole AS (SELECT " + ", ".join(f"median({f}) AS m_{f}" for f in SENSORS) + " FROM readings)",
+            "\nfilled AS (SELECT " + ", ".join(f"coalesce({f}, m_{f}) AS {f}" for f in SENSORS) + " FROM readings, whole)",
+            select=" UNION ALL ".join(
+                f"SELECT '{f}' AS feature_name, round(avg({f}), 4) AS mean, round(stddev_pop({f}), 4) AS std, "
+                f"round(min({f}), 4) AS min, round(max({f}), 4) AS max, round(median({f}), 4) AS median FROM filled"
+                for f in SENSORS
+            ),
+        ),
         "pretrained_statistics": _with(
             EVENTS, SPLIT, CLEAN,
             select=" UNION ALL ".join(

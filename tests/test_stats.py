@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millwatch.operators.quantiles import exact_quantiles
+from millwatch.operators.running import RunningStatistics
 from millwatch.operators.stats import fit_train_stats, impute, scale, train_medians
 from millwatch.plans.prepare import load_preparation, prepare_readings, save_preparation
 from tests.frames import readings
@@ -107,3 +108,43 @@ def test_preparation_document(spark, tmp_path):
     document = load_preparation(spark, f"{tmp_path}/prep")
     assert document["medians"] == prepared.medians
     assert document["feature_columns"] == list(FEATURES) and document["run_id"] == "r"
+
+
+def batches(spark):
+    """Five batches with gaps, one of them empty, one without failures, one far off."""
+    table = readings(spark, {"a": 900}, seed=5).withColumn("torque", F.when(F.col("sample_id") % 7 != 0, F.col("torque")))
+    cut = [(0, 100), (100, 101), (101, 101), (101, 500), (500, 900)]
+    parts = [table.where(F.col("sample_id").between(a + 1, b)) for a, b in cut]
+    parts[3] = parts[3].withColumn("failure_label", F.lit(0))
+    parts[4] = parts[4].withColumn("vibration", F.col("vibration") + 1_000)
+    return parts
+
+
+@pytest.mark.parametrize("gathered", [100_000, 20])
+def test_statistics_of_batches_equal_those_of_the_whole_table(spark, tmp_path, gathered):
+    running = RunningStatistics(spark, f"{tmp_path}/state", FEATURES)
+    whole = None
+    for number, part in enumerate(batches(spark)):
+        assert running.add(part, f"b{number}") and not running.add(part, f"b{number}")
+        whole = part if whole is None else whole.unionByName(part)
+        medians = running.medians(whole, gathered)
+        assert medians == train_medians(whole, FEATURES)
+        want, got = fit_train_stats(impute(whole, medians), FEATURES), running.stats(medians)
+        assert (got.rows, got.normal_rows, got.minima, got.maxima) == (want.rows, want.normal_rows, want.minima, want.maxima)
+        assert np.isclose(got.failure_share, want.failure_share)
+        for name in ("means", "stds", "scales", "reference_means", "reference_stds"):
+            a, b = getattr(got, name), getattr(want, name)
+            assert np.allclose([a[f] for f in FEATURES], [b[f] for f in FEATURES], rtol=1e-9), (number, name)
+
+
+def test_running_statistics_without_values(spark, tmp_path):
+    running = RunningStatistics(spark, f"{tmp_path}/state", FEATURES)
+    empty = readings(spark, {"a": 3}).limit(0)
+    running.add(empty, "none")
+    with pytest.raises(ValueError, match="No batch"):
+        running.stats({name: 0.0 for name in FEATURES})
+    rows = readings(spark, {"a": 4}).withColumn("torque", F.lit(None).cast("double"))
+    running.add(rows, "gaps")
+    medians = running.medians(rows)
+    assert medians["torque"] == 0.0
+    assert running.stats(medians).means["torque"] == 0.0 and running.stats(medians).scales["torque"] == 1.0
