@@ -164,6 +164,53 @@ def test_whole_runs_are_equal_where_words_are():
     assert len(substring.whole_runs(words[:5], 6)) == 0
 
 
+def test_two_texts_under_one_id_are_cut_apart(spark):
+    rng = random.Random(21)
+    passage, clean, start = sentence(rng, 120), sentence(rng, 200), sentence(rng, 30)
+    rows = [(1, passage), (2, start + " " + passage), (2, clean), (None, passage), (3, clean), (3, clean)]
+    for seed in range(3):
+        rng.shuffle(rows)
+        table = spark.createDataFrame(rows, "doc_id bigint, text string")
+        out = sorted((r.doc_id or 0, r.text) for r in substring.cut_repeated_passages(table).collect())
+        left = {(2, clean), (3, "")} if (2, clean) in out else {(2, ""), (3, clean)}
+        assert set(out) == {(0, passage), (1, passage), (2, start)} | left
+        found = substring.repeated_passages(table).collect()
+        assert {(r.doc_id, r.other_id) for r in found} == {(2, 1), (3, 2) if (3, "") in out else (2, 3)}
+
+
+def test_passages_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id bigint, text string, n_chars int, _id int")
+    assert substring.repeated_passages(none).count() == 0
+    out = substring.cut_repeated_passages(none)
+    assert out.columns == none.columns and out.count() == 0
+
+
+def test_bare_runs_equal_plain_ones():
+    rng = random.Random(13)
+    for _ in range(200):
+        size, rows = 5, []
+        for doc in range(rng.randint(1, 4)):
+            spans = sorted((a, a + rng.randint(1, 12)) for a in rng.sample(range(60), rng.randint(0, 4)))
+            rows += [(doc, 0, a, b, 9, 0) for a, b in spans]
+            runs = sorted((a, rng.choice([7, 8]), a + rng.choice([0, 0, 0, 30])) for a in rng.sample(range(60), rng.randint(0, 30)))
+            rows += [(doc, 1, a, 0, o, t) for a, o, t in runs]
+        if not rows:
+            continue
+        plain = []
+        for doc in sorted({r[0] for r in rows}):
+            covered = {w for r in rows if r[:2] == (doc, 0) for w in range(r[2], r[3])}
+            group = []
+            for r in [r for r in rows if r[:2] == (doc, 1)] + [None]:
+                if group and (r is None or (r[2], r[4], r[5]) != (group[-1][2] + 1, group[-1][4], group[-1][5] + 1)):
+                    a, b = group[0][2], group[-1][2] + size
+                    if not set(range(a, b)) <= covered:
+                        plain.append((doc, group[0][4], a, b, group[0][5], group[0][5] + b - a, b - a))
+                    group = []
+                group.append(r)
+        found = substring.bare_runs([np.array(c, np.int64) for c in zip(*rows, strict=True)], size)
+        assert list(zip(*[c.tolist() for c in found], strict=True)) == plain
+
+
 def test_cut_passages_keeps_rows_and_columns(documents, texts):
     out = substring.cut_repeated_passages(documents)
     assert out.columns == documents.columns and out.dtypes == documents.dtypes
