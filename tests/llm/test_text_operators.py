@@ -164,6 +164,37 @@ def test_whole_runs_are_equal_where_words_are():
     assert len(substring.whole_runs(words[:5], 6)) == 0
 
 
+def test_recall_of_fuzzy_passages(spark):
+    """Passages with every n-th word changed, by length: found if 80 % of their words are listed with their source."""
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(5_000)]
+
+    def some(n: int) -> list[str]:
+        return [rng.choice(vocabulary) for _ in range(n)]
+
+    rows, cases = [], {}
+    for every in (10, 14, 20):
+        for length in (60, 100, 200):
+            for _ in range(30):
+                passage = some(length)
+                changed = list(passage)
+                for i in range(rng.randrange(every), length, every):
+                    changed[i] = rng.choice(vocabulary)
+                number = len(rows)
+                rows += [(number, " ".join(some(80) + passage + some(80))), (number + 1, " ".join(some(80) + changed + some(80)))]
+                cases[number + 1] = (every, length)
+    listed: dict[int, set[int]] = {}
+    for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        if r.other_id == r.doc_id - 1 and r.doc_id in cases:
+            listed.setdefault(r.doc_id, set()).update(range(max(r.start_word, 80), min(r.end_word, 80 + cases[r.doc_id][1])))
+    found = Counter(cases[doc] for doc, words in listed.items() if len(words) >= 0.8 * cases[doc][1])
+    for (every, length), least in {
+        (10, 60): 0.55, (10, 100): 0.85, (10, 200): 0.85, (14, 60): 0.8, (14, 100): 0.9, (14, 200): 0.9,
+        (20, 60): 0.9, (20, 100): 0.95, (20, 200): 0.95,
+    }.items():
+        assert found[every, length] >= least * 30, (every, length, found[every, length])
+
+
 def test_two_texts_under_one_id_are_cut_apart(spark):
     rng = random.Random(21)
     passage, clean, start = sentence(rng, 120), sentence(rng, 200), sentence(rng, 30)
