@@ -6,9 +6,11 @@ their scores; what follows from the data alone is stated here as rows that it ca
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +21,14 @@ from millwatch.operators.detectors.bottleneck import fit_bottleneck
 from millwatch.operators.detectors.forest import draw_samples, grow_forest, grow_trees, tree_depth
 from millwatch.operators.detectors.recon import fit_recon, moments
 from millwatch.operators.detectors.rule import fit_rule, score_rules
-from millwatch.operators.detectors.sequence import fit_recurrent, fit_sequence, score_sequence
+from millwatch.operators.detectors.sequence import fit_recurrent, fit_sequence, score_sequence, with_windows
 from millwatch.operators.deviations import deviations, explanation
+from millwatch.operators.ids import repeated_id
 from millwatch.operators.normalize import column_warnings
 from millwatch.operators.ordering import seconds_of, with_positions, with_previous
 from millwatch.operators.quantiles import exact_quantiles
 from millwatch.operators.running import RunningStatistics
+from millwatch.operators.split import chronological_split
 from millwatch.operators.stats import SCALED, normal_rows
 from millwatch.plans.catalog import SENSORS, _results, query
 from millwatch.plans.evaluate import evaluate_scored, report_tables, store_results
@@ -40,6 +44,7 @@ from millwatch.sources import adapters
 from millwatch.sources.csv_source import load_csv
 from millwatch.sources.records import text_lines
 from millwatch.sources.tables import ResultTables, cleaned_rows, utc_now
+from millwatch.sources.timelines import store_timelines
 from millwatch.streaming.scoring import write_scores
 from millwatch.streaming.windows import stream_windows
 
@@ -69,6 +74,21 @@ def hot_machine_gaps(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("event_id", "machine_id", "previous")
 
 
+@query
+def bucketed_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Split and trailing windows of readings stored by machine, and the shuffles that their plan has."""
+    path = staging_path(spark, "timelines")
+    name = f"timelines_{path.rsplit('-', 1)[-1]}"
+    stored = store_timelines(adapters.sensor_events(spark, folder), name, path, 8)
+    rows = with_windows(chronological_split(stored), ("torque", "vibration"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    shuffles = len(re.findall(r"(?<!Broadcast)Exchange (hash|range|round)", plan, re.IGNORECASE))
+    entry = F.transform(
+        "window", lambda r: F.concat(r[0].cast("long").cast("string"), F.lit(":"), F.round(r[1] * 100).cast("long").cast("string"))
+    )
+    return rows.select("sample_id", "machine_id", "split", F.array_join(entry, " ").alias("window"), F.lit(shuffles).alias("shuffles"))
+
+
 @query
 def subsecond_order(spark: SparkSession, folder: str) -> DataFrame:
     """Places of all events on one machine within one thousandth of a second, in small cells."""
@@ -147,6 +167,48 @@ def batch_notes(spark: SparkSession, folder: str) -> DataFrame:
     return batch.readings.agg(F.count(F.lit(1)).alias("rows")).select(F.explode(notes).alias("note"), "rows")
 
 
+@query
+def refusals(spark: SparkSession, folder: str) -> DataFrame:
+    """What unfit tables are told: the message of each check, over all events less what the check asks for."""
+    events = stage(adapters.sensor_events(spark, folder), "events")
+    only_first = events.groupBy("machine_id").agg(F.min_by(F.struct(*events.columns), "sample_id").alias("r")).select("r.*")
+    cases = {
+        "no rows": lambda: ingest(events.where("sample_id < 0"), "events", id_column="sample_id"),
+        "no sensors": lambda: ingest(events.drop(*SENSORS), id_column="sample_id"),
+        "one sensor": lambda: prepare(ingest(events.drop("torque", "tool_wear"), id_column="sample_id")),
+        "repeated ids": lambda: ingest(events.unionByName(events.where("sample_id = 7")), id_column="sample_id"),
+        "unreadable ids": lambda: ingest(events.withColumn("sample_id", F.concat(F.lit("n"), "sample_id")), id_column="sample_id"),
+        "unreadable times": lambda: ingest(events.withColumn("timestamp", F.lit("soon")), id_column="sample_id"),
+        "empty split": lambda: prepare(ingest(only_first, id_column="sample_id")),
+        "missing file": lambda: load_csv(spark, f"{folder}/no_such_table.csv"),
+    }
+    said = []
+    for name, case in cases.items():
+        try:
+            case()
+            said.append((name, ""))
+        except (ValueError, AnalysisException) as error:
+            said.append((name, "PATH_NOT_FOUND" if "PATH_NOT_FOUND" in str(error) else str(error)))
+    messages = F.create_map(*[F.lit(x) for pair in said for x in pair])
+    return events.agg(F.count(F.lit(1)).alias("rows")).select(F.explode(messages).alias("check", "message"), "rows")
+
+
+@query
+def repeated_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether ids of all events repeat, and which of them, by bitmaps and by counting: as they are, and with one row twice."""
+    events = spark.read.parquet(f"{folder}/events.parquet").select("event_id")
+    twice = events.unionByName(events.where("event_id = 123"))
+    found = [
+        F.struct(
+            F.lit(name).alias("ids"), F.lit(way).alias("by_bitmap"),
+            F.lit(repeated_id(table, F.col("event_id") * factor, way)).cast("long").alias("repeated"),
+        )
+        for name, table in (("as they are", events), ("one twice", twice))
+        for way, factor in ((True, 1), (False, -1_000_003))
+    ]
+    return events.agg(F.count(F.lit(1)).alias("rows")).select(F.inline(F.array(*found)), "rows")
+
+
 @query
 def stamped_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of stored tables by whether their own ids and creation times are well formed."""

@@ -5,18 +5,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch import fixed
+from millwatch.operators.ids import repeated_id
 from millwatch.operators.normalize import (
     available_sensors, canonical_select, is_label_word, label_of, normalize_columns, number_of, slug,
     time_readings, timeline_moment, with_sample_ids,
 )
+from millwatch.session import stage_observed
 from millwatch.sources.csv_source import load_csv
 from millwatch.sources.tables import ResultTables, new_id, raw_rows, utc_now
 
 
+#: Columns that a batch can use beside its sensors.
+CANONICAL_NAMES = ("machine_id", "timestamp", "failure_label")
+
+
 @dataclass(frozen=True)
 class Ingested:
     """A canonical batch: the readings and what was found out about them."""
@@ -31,10 +37,10 @@ class Ingested:
     notes: tuple[str, ...] = field(default=())
 
 
-def _inspect(
+def _checks(
     named: DataFrame, columns: dict[str, Column], times: Sequence[Column], id_name: str | None
-) -> Row:
-    """All that has to be known about the values, in one pass."""
+) -> dict[str, Column]:
+    """Counts that tell all that has to be known about the values."""
     tests = {"rows": F.lit(True), **dict.fromkeys(("lost_ids", "lost_machines", "label_words"), F.lit(False))}
     for place, moment in enumerate(times):
         tests[f"lost_times_{place}"] = moment.isNull()
@@ -44,18 +50,16 @@ def _inspect(
         tests["lost_machines"] = columns["machine_id"].isNull()
     if "failure_label" in named.columns:
         tests["label_words"] = is_label_word(named)
-    checks = {name: F.count_if(test) for name, test in tests.items()}
-    return named.agg(*[check.alias(name) for name, check in checks.items()]).first()
+    return {name: F.count_if(test) for name, test in tests.items()}
 
 
 def _check_ids(named: DataFrame, id_name: str, lost: int) -> None:
     """Refuse ids that are no numbers or not unique; ranks and draws rely on them."""
     if lost:
         raise ValueError(f"{lost} rows have no readable number in the id column {id_name!r}.")
-    ids = named.groupBy(F.col(id_name).cast("long").alias("id")).count().where("count > 1")
-    repeated = ids.select("id").head(1)
-    if repeated:
-        raise ValueError(f"The id column {id_name!r} repeats values, such as {repeated[0]['id']}.")
+    repeated = repeated_id(named, F.col(id_name))
+    if repeated is not None:
+        raise ValueError(f"The id column {id_name!r} repeats values, such as {repeated}.")
 
 
 def ingest(
@@ -66,6 +70,7 @@ def ingest(
     time_format: str | Sequence[str] | None = None,
     epoch_unit: str | None = None,
     unique_ids: bool = False,
+    stored: bool = False,
     tables: ResultTables | None = None,
     batch_id: str | None = None,
 ) -> Ingested:
@@ -73,10 +78,12 @@ def ingest(
 
     Sample ids come from ``id_column`` if there is one, otherwise from numbering
     the rows by ``order`` or as they are read.  Given ids must be unique numbers;
-    that costs one count of the ids, which ``unique_ids`` saves if they are known
+    that costs passes over the ids, which ``unique_ids`` saves if they are known
     to be.  Times are read as ISO, by ``time_format`` (one form, or several of
     which the first that reads the whole column counts) or as counts since 1970
-    in ``epoch_unit``.  Raw rows are stored once for each ``batch_id``, however often a
+    in ``epoch_unit``.  The source is read once, into a staged copy of the columns in
+    use, and looked at while it is copied; a frame that is ``stored`` already is read
+    in place instead.  Raw rows are stored once for each ``batch_id``, however often a
     job with that id is tried.
     """
     named, renamed = normalize_columns(df)
@@ -89,7 +96,17 @@ def ingest(
         data_type = named.schema["timestamp"].dataType
         times = time_readings(F.col("timestamp"), data_type, time_format, epoch_unit)
     id_name = None if id_column is None else slug(id_column)
-    found = _inspect(named, columns, times, id_name)
+    checks = _checks(named, columns, times, id_name)
+    used = {*columns, *CANONICAL_NAMES, *map(slug, (id_column or "", *(order or ())))}
+    kept = named.select(*[name for name in named.columns if name in used] or [F.lit(None).alias("_none")])
+    numbered = None
+    if id_name is None and not order:
+        # numbering the rows as they are read copies them already
+        named = numbered = with_sample_ids(kept)
+    if numbered is None and not stored:
+        named, found = stage_observed(kept, checks, "source")
+    else:
+        found = named.agg(*[check.alias(name) for name, check in checks.items()]).first().asDict()
     if not found["rows"]:
         raise ValueError(f"The input is empty: {source}")
     if not features:
@@ -105,7 +122,8 @@ def ingest(
         _check_ids(named, id_name, found["lost_ids"])
 
     notes = []
-    numbered = with_sample_ids(named, id_name, [slug(c) for c in order] if order else None)
+    if numbered is None:
+        numbered = with_sample_ids(named, id_name, [slug(c) for c in order] if order else None)
     if "machine_id" not in columns:
         columns["machine_id"] = F.lit(fixed.DEFAULT_MACHINE)
         notes.append("No machine id column; all readings get the default machine.")
@@ -142,4 +160,4 @@ def ingest_csv(spark: SparkSession, path: str, **options) -> Ingested:
         lines = load_csv(spark, path, row_number="sample_row")
     else:
         lines = load_csv(spark, path)
-    return ingest(lines, options.pop("source", path), **options)
+    return ingest(lines, options.pop("source", path), stored=True, **options)

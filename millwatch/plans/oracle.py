@@ -59,6 +59,13 @@ parts AS (
   UNION ALL SELECT *, 'validation', place - a FROM ends WHERE place > a AND place <= b
   UNION ALL SELECT *, 'test', place - b FROM ends WHERE place > b)"""
 
+
+
+def plain_round(value: str, digits: int = 4) -> str:
+    """Rounded without a negative zero, which Spark's rounding does not give."""
+    return f"CASE WHEN round({value}, {digits}) = 0 THEN CAST(0 AS DOUBLE) ELSE round({value}, {digits}) END"
+
+
 CLEAN = """
 medians AS (
   SELECT COALESCE(median(torque), 0) AS m_torque, COALESCE(median(tool_wear), 0) AS m_tool_wear,
@@ -511,7 +518,7 @@ def oracle() -> dict[str, str]:
         "scaled_features": _with(
             LINES, SPLIT, CLEAN, SCALE,
             select="SELECT sample_id, machine_id, split, "
-            + ", ".join(f"round({f}__scaled, 4) AS {f}__scaled" for f in SENSORS)
+            + ", ".join(f"{plain_round(f + '__scaled')} AS {f}__scaled" for f in SENSORS)
             + " FROM scaled",
         ),
         "reference_stats_events": _prepared(EVENTS, select=_REFERENCE_ROWS),

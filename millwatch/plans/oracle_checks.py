@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from millwatch.plans.oracle import (
     CLEAN, DEVIATED, DEVIATIONS, EVENTS, EXCESS, GAPPY, LINES, METRICS, RECON, SCALE, SCORED, SENSORS, SPLIT, _cell, _excess,
-    _explained, _prepared, _r, _with,
+    _explained, _prepared, _r, _with, plain_round,
 )
 
 SIX = ("air_temperature", "process_temperature", "rotational_speed", "torque", "tool_wear", "vibration")
@@ -71,6 +71,21 @@ long AS (
     CASE WHEN err >= lim THEN 1 ELSE 0 END
   FROM errors, limits WHERE split = 'test')"""
 
+_REFUSALS = (
+    ("no rows", "The input is empty: events"),
+    (
+        "no sensors",
+        "No recognised sensor column; at least one is needed of: air_temperature, process_temperature, "
+        "rotational_speed, torque, tool_wear, vibration",
+    ),
+    ("one sensor", "At least two sensor columns are needed. Found: [''vibration'']"),
+    ("repeated ids", "The id column ''sample_id'' repeats values, such as 7."),
+    ("unreadable ids", "{} rows have no readable number in the id column ''sample_id''."),
+    ("unreadable times", "Some timestamps cannot be read; use ISO times or give a format."),
+    ("empty split", "The validation split has no rows; more readings are needed."),
+    ("missing file", "PATH_NOT_FOUND"),
+)
+
 _NOTES = (
     "Missing required column: torque",
     "No machine id column; all readings get the default machine.",
@@ -108,6 +123,22 @@ def oracle_checks() -> dict[str, str]:
         ),
         "batch_notes": "SELECT note, (SELECT count(*) FROM events) AS rows FROM (VALUES "
         + ", ".join(f"('{note}')" for note in _NOTES) + ") AS t(note)",
+        "bucketed_windows": _with(
+            EVENTS, SPLIT,
+            select="SELECT sample_id, machine_id, split, 0 AS shuffles, "
+            "string_agg(CAST(CAST(t AS BIGINT) AS VARCHAR) || ':' || "
+            "CAST(CAST(round(v * 100) AS BIGINT) AS VARCHAR), ' ' ORDER BY step) AS window "
+            "FROM (SELECT now.sample_id, now.machine_id, now.split, step, past.torque AS t, past.vibration AS v "
+            "FROM parts AS now, range(8) AS s(step) JOIN parts AS past ON past.machine_id = now.machine_id "
+            "AND past.split = now.split AND past.split_position = greatest(1, now.split_position - 7 + step)) "
+            "GROUP BY sample_id, machine_id, split",
+        ),
+        "refusals": "SELECT t.\"check\", replace(message, '{}', CAST(rows AS VARCHAR)) AS message, rows FROM (VALUES "
+        + ", ".join(f"('{check}', '{message}')" for check, message in _REFUSALS)
+        + ") AS t(\"check\", message), (SELECT count(*) AS rows FROM events)",
+        "repeated_ids": "SELECT t.*, rows FROM (VALUES ('as they are', true, NULL), ('as they are', false, NULL), "
+        "('one twice', true, 123), ('one twice', false, 123 * -1000003)) AS t(ids, by_bitmap, repeated), "
+        "(SELECT count(*) AS rows FROM events)",
         "stamped_rows": _with(
             EVENTS, SPLIT,
             select="SELECT 'raw_sensor_records' AS table_name, " + stamped.format("count(*)") + " FROM readings "
@@ -129,7 +160,7 @@ def oracle_checks() -> dict[str, str]:
         ),
         "six_sensor_scaling": _with(
             *_SIX_FITTED,
-            select="SELECT sample_id, split, " + _list("round(($f - c_$f) / s_$f, 4) AS $f__scaled")
+            select="SELECT sample_id, split, " + _list(plain_round("($f - c_$f) / s_$f") + " AS $f__scaled")
             + " FROM parts, scaling",
         ),
         "six_sensor_statistics": _with(
@@ -214,7 +245,7 @@ def oracle_checks() -> dict[str, str]:
             "CASE WHEN share >= CAST(0.5 AS DOUBLE) THEN 1 ELSE 0 END AS prediction FROM shares)",
             DEVIATIONS.replace("deviated", "moved"),
             select="SELECT judged.sample_id, machine_id, score, prediction AS predicted_label, "
-            "round((vibration - c_vibration) / s_vibration, 4) AS scaled_vibration, "
+            f"{plain_round('(vibration - c_vibration) / s_vibration')} AS scaled_vibration, "
             f"{_explained('score', 'prediction')} AS explanation "
             "FROM judged JOIN named ON judged.sample_id = named.sample_id, scaling",
         ),

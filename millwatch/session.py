@@ -5,11 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int | str = 8, name: str = "millwatch", **settings: str) -> SparkSession:
@@ -82,3 +82,10 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = staging_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_observed(df: DataFrame, metrics: Mapping[str, Column], label: str = "stage") -> tuple[DataFrame, dict[str, object]]:
+    """``stage`` and the values of aggregates over the frame, taken while it is written."""
+    seen = Observation()
+    staged = stage(df.observe(seen, *[metric.alias(name) for name, metric in metrics.items()]), label)
+    return staged, dict(seen.get)

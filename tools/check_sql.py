@@ -41,7 +41,7 @@ def _plain(value: object) -> object:
     if isinstance(value, bool):
         return str(value)
     if isinstance(value, (int, float)):
-        return repr(float(value) + 0.0)
+        return repr(float(value))  # a negative zero is not a zero here
     return str(value)
 
 
