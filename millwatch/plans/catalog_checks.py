@@ -43,6 +43,7 @@ from millwatch.session import stage, staging_path
 from millwatch.sources import adapters
 from millwatch.sources.csv_source import load_csv
 from millwatch.sources.records import text_lines
+from millwatch.sources.results import load_results
 from millwatch.sources.tables import ResultTables, cleaned_rows, utc_now
 from millwatch.sources.timelines import store_timelines
 from millwatch.streaming.scoring import write_scores
@@ -530,6 +531,21 @@ def report_of_two(spark: SparkSession, folder: str) -> DataFrame:
     return report_tables(results)["leaderboard"].where(F.col("model").isin(names))
 
 
+@query
+def full_run_of_two(spark: SparkSession, folder: str) -> DataFrame:
+    """A whole run from the text table, with tables and document: metrics of the two detectors that are not random, as stored and as saved."""
+    tables, path = ResultTables(spark, staging_path(spark, "tables")), staging_path(spark, "document")
+    text = adapters.sensor_events_text(spark, folder)
+    run(spark, text, tables, document=path, trees=20, iterations=5, ingest_options={"id_column": "row id"})
+    saved = load_results(spark, path)[0]["metrics"]
+    names = ("model_name", *evaluation.METRICS, "support", "flagged_count", "verdict")
+    both = tables.table("evaluation_results").select(F.lit("table").alias("kept_as"), *names).unionByName(
+        saved.select(F.lit("document").alias("kept_as"), *names)
+    )
+    found = both.where(F.col("model_name").isin("rule_based", "autoencoder"))
+    return found.withColumns({name: F.round(name, 6) for name in evaluation.METRICS})
+
+
 @query
 def inference_limits(spark: SparkSession, folder: str) -> DataFrame:
     """Limits beside the scored rows, for the detectors whose limit is not random, and rows flagged by them."""

@@ -273,6 +273,12 @@ def oracle_checks() -> dict[str, str]:
             + ", ".join(_cell(n) for n in ("accuracy", "precision", "recall", "f1", "roc_auc"))
             + ", verdict FROM verdicts",
         ),
+        "full_run_of_two": _prepared(
+            EVENTS, DEVIATED, EXCESS, SCORED, RECON, _TWO, METRICS,
+            select="SELECT kept_as, model_name, "
+            + ", ".join(f"round({n}, 6) AS {n}" for n in ("accuracy", "precision", "recall", "f1", "roc_auc"))
+            + ", support, flagged_count, verdict FROM verdicts, (VALUES ('table'), ('document')) AS k(kept_as)",
+        ),
         "inference_limits": _prepared(
             EVENTS, DEVIATED, EXCESS, SCORED, RECON,
             select="SELECT 'rule_based' AS model_name, CAST(0.5 AS DOUBLE) AS threshold, 'ok' AS status, "

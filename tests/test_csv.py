@@ -63,7 +63,7 @@ SIGNS = st.sampled_from(["a", "b", "\"", ",", "\n", "\r\n", " ", "x\ny\n\nz"])
 FIELD = st.lists(SIGNS, max_size=6).map("".join)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=7, deadline=None, suppress_health_check=list(HealthCheck))
 @given(rows=st.lists(st.tuples(FIELD, FIELD), min_size=1, max_size=25), size=st.integers(5, 60), ends=st.sampled_from(["\n", "\r\n"]))
 def test_records_of_any_fields_in_blocks_of_any_size(spark, tmp_path_factory, rows, size, ends):
     """Two files as Python writes them, read in blocks that end anywhere."""
