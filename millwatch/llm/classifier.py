@@ -216,7 +216,10 @@ def quality(model: QualityModel, text: Column) -> Column:
 
 
 def score_quality(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id and score for every row of ``documents``; repeated rows are scored alike."""
+    """doc_id and score for every row of ``documents``; repeated rows are scored alike.
+
+    An empty table gives no rows; of a long text all words count.
+    """
     model = fit(documents, labels, s)
     return documents.select("doc_id", quality(model, F.col("text")).alias("score"))
 

@@ -203,7 +203,8 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     next row's first; next is by doc_id, nulls first, equal ids by text; after
     the last comes the first.  Null texts are empty.  One row alone is its own
     next.  Texts are shuffled once, by ranges of ids; only the two texts at the
-    ends of each range are handed to the neighbouring range.
+    ends of each range are handed to the neighbouring range.  An empty
+    table gives no rows; a very long text is parsed in a run of its own.
     """
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

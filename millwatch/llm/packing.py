@@ -88,7 +88,7 @@ def pack_documents(
     into full pieces and a rest.  Repeated rows are packed each.  Pieces of one
     length are alike, so ties go by id.  Groups hold about ``group_pieces``
     pieces by a hash of id and piece, and any number fits: a task keeps open bins
-    only.
+    only.  An empty table gives no rows.
     """
     capacities = tuple(sorted(set(capacities)))
     longest = capacities[-1]

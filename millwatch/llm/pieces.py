@@ -130,7 +130,10 @@ def encode_column(text: Column, path: str, table: dict[str, tuple[int, str, str]
 
 
 def encode_documents(documents: DataFrame, path: str, size: int = TABLE_WORDS, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded) of every row; repeated rows alike."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded) of every row; repeated rows alike.
+
+    An empty table gives no rows; long texts are encoded whole.
+    """
     table = word_table(documents.select("text"), path, size)
     cells = encode_column(F.col("text"), path, table, with_ids)
     return documents.select("doc_id", cells.alias("_e")).select("doc_id", "_e.*")

@@ -102,7 +102,7 @@ def shard_documents(
     checksum of an empty one, and null texts are one group.  Slots count the rows
     of a shard from 0 without gaps; rows alike in id and text take any of their
     slots.  A group larger than an even share stays whole, and its shard is that
-    much larger.
+    much larger.  An empty table gives no rows.
     """
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = stage(

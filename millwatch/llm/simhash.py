@@ -265,7 +265,8 @@ def simhash_components(documents: DataFrame, words: int = 3, radius: int = 2) ->
     Texts link at ``radius`` or fewer differing bits of 64; component_id is the
     least doc_id that links reach.  Equal fingerprints are one node.  Null and
     empty texts have fingerprint 0 and link like any other; rows without doc_id
-    get a component only from rows that have one.
+    get a component only from rows that have one.  An empty table
+    gives no rows; of a long text all runs count.
     """
     prints = stage(documents.select("doc_id", fingerprint(F.col("text"), words).alias("_f")), "fingerprints")
     nodes = stage(prints.groupBy("_f").agg(F.min("doc_id").alias("_first")), "nodes")

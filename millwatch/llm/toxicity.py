@@ -314,7 +314,10 @@ def toxicity(model: ToxicityModel, text: Column) -> Column:
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, score, passages for every row of ``documents``; repeated rows are scored alike."""
+    """doc_id, score, passages for every row of ``documents``; repeated rows are scored alike.
+
+    An empty table gives no rows; a long text is scanned whole.
+    """
     model = fit(documents, labels, settings)
     return documents.select("doc_id", toxicity(model, F.col("text")).alias("_t")).select("doc_id", "_t.score", "_t.passages")
 

@@ -47,7 +47,8 @@ def judge_captures(captures: DataFrame, entries: DataFrame, keys: list[str]) ->
     ``pattern`` and ``action`` are the most specific list entry active on the day,
     null where none is.  A capture goes only if that entry blocks it: one without
     host or day stays.  The lookup is done once for each host and day, so a host
-    with a third of all captures is joined once for each day.
+    with a third of all captures is joined once for each day.  An empty
+    table of captures gives no rows.
     """
     seen = captures.select(*keys, host_of(F.col("url")).alias("host"), F.col("day"))
     asked = seen.select("host", "day").where("host is not null and day is not null").distinct()
