@@ -375,10 +375,12 @@ def test_classifier(labelled, no_labels, documents, nothing, texts):
 
 
 def test_vectors_do_not_depend_on_layout(labelled):
-    s = classifier.Settings(rows=512, size=8)
-    one = classifier.word_vectors(labelled[0].repartition(1), s)
-    many = classifier.word_vectors(labelled[0].repartition(7), s)
-    assert np.array_equal(one, many)
+    s = classifier.Settings(words=3000, rows=512, size=8)
+    one, many = (labelled[0].repartition(n) for n in (1, 7))
+    known = classifier.vocabulary(one, s)
+    assert 0 < len(known.words) <= s.words
+    assert np.array_equal(known.words, classifier.vocabulary(many, s).words)
+    assert np.array_equal(classifier.word_vectors(one, known, s), classifier.word_vectors(many, known, s))
 
 
 # 5 URL filters
