@@ -29,13 +29,15 @@ from millwatch.session import stage
 
 @dataclass(frozen=True)
 class Settings:
-    """Words of at least one in ``words`` tokens (so at most ``words``) have a vector of their own.
+    """Words of at least one in ``words`` tokens (so at most ``words``) that stand ``min_count`` times
+    or more have a vector of their own.
 
     ``rows`` are shared by shapes (a quarter) and rarer words; ``sample_rows`` bounds
     the labelled documents learnt from.
     """
 
     words: int = 100_000
+    min_count: int = 20
     rows: int = 8192
     size: int = 32
     nonzeros: int = 2
@@ -100,10 +102,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(documents: DataFrame, s: Settings) -> Vocabulary:
-    """The words that make up at least one in ``s.words`` of all tokens."""
+    """The words that make up at least one in ``s.words`` of all tokens, and stand ``s.min_count`` times."""
     counts = stage(documents.select("text").mapInArrow(_count_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    own = counts.where(F.col("n") * s.words >= total).select("word").toPandas()  # at most s.words rows
+    own = counts.where((F.col("n") * s.words >= total) & (F.col("n") >= s.min_count)).select("word").toPandas()  # at most s.words rows
     return Vocabulary(np.sort(own["word"].to_numpy(np.int64).view(np.uint64)), s.rows)
 
 

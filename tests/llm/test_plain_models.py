@@ -75,7 +75,7 @@ def plain_vectors(texts, s: classifier.Settings):
     counts = Counter(w for ws in lists for w in ws)
     total = sum(counts.values())
     hashes = token_hashes(set(counts))
-    own = {w for w, n in counts.items() if n * s.words >= total}
+    own = {w for w, n in counts.items() if n * s.words >= total and n >= s.min_count}
     shapes = s.rows // 4
 
     def name(word: str) -> tuple[str, int]:
@@ -103,7 +103,7 @@ def plain_vectors(texts, s: classifier.Settings):
 
 
 def test_vectors_and_pooling(spark, texts):
-    s = classifier.Settings(words=60, rows=64, size=8)
+    s = classifier.Settings(words=60, min_count=3, rows=64, size=8)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
     own, hashes, form, shape = plain_vectors(texts, s)
     known = classifier.vocabulary(docs, s)

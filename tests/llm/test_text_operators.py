@@ -375,7 +375,7 @@ def test_classifier(labelled, no_labels, documents, nothing, texts):
 
 
 def test_vectors_do_not_depend_on_layout(labelled):
-    s = classifier.Settings(words=3000, rows=512, size=8)
+    s = classifier.Settings(words=3000, min_count=2, rows=512, size=8)
     one, many = (labelled[0].repartition(n) for n in (1, 7))
     known = classifier.vocabulary(one, s)
     assert 0 < len(known.words) <= s.words
