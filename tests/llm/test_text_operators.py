@@ -151,26 +151,6 @@ def test_passages_repeated_inside_the_later_document(spark):
     assert uncovered_words(spark, rows) == {}
 
 
-def test_hot_seeds_are_dealt_over_parts(spark, documents):
-    rng = random.Random(17)
-    line = sentence(rng, 70)
-    rows = [(i, " ".join((sentence(rng, rng.randint(0, 30)), line, sentence(rng, 10)))) for i in range(120)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    dealt = substring.Settings(hot_rows=7)
-    for table in (docs, documents):
-        want, got = (Counter(map(tuple, substring.repeated_passages(table, s).collect())) for s in (substring.Settings(), dealt))
-        assert got == want and want
-    places = [(k, d, p) for k in range(4) for d in range(50) for p in range(1 + 3 * (k == 1)) if k < 3 or d == 9]
-    held = spark.createDataFrame(places, "seed bigint, doc bigint, place int")
-    for hot_rows, hot_keys in ((1, 1000), (7, 1000), (7, 2), (10_000, 1)):
-        found = substring.with_first_holder(held, "seed", substring.Settings(hot_rows=hot_rows, hot_keys=hot_keys))
-        got = Counter(found.select("seed", "doc", "place", "other", "there").toPandas().itertuples(index=False, name=None))
-        assert got == Counter((k, d, p, 0, 0) for k, d, p in places if k < 3)
-    keyed = found.select("seed", "doc", "place")
-    many = substring.with_first_holder(keyed, "seed", substring.Settings(hot_rows=7))
-    assert "_part" in many._jdf.queryExecution().optimizedPlan().toString()
-
-
 def test_whole_runs_are_equal_where_words_are():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 3, 400).astype(np.uint64)
