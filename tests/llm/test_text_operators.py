@@ -151,6 +151,29 @@ def test_passages_repeated_inside_the_later_document(spark):
     assert uncovered_words(spark, rows) == {}
 
 
+def test_runs_covered_by_passages_of_others_keep_their_link():
+    """A run is first held whole by 4; passages of 1 and 2 cover its words, but are no link to 4."""
+    rows = [(9, 0, 0, 100, 1, 0), (9, 0, 100, 200, 2, 0), (9, 0, 300, 400, 4, 500)]
+    rows += [(9, 1, a, 0, 4, a + 7) for a in range(60, 90)]
+    rows += [(9, 1, a, 0, 4, a + 200) for a in range(310, 330)]  # inside a passage of 4: known
+    rows += [(10, 1, 5, 0, 4, 0)]
+    rows.sort(key=lambda r: (r[0], r[4], r[1], r[2]))
+    for size in (1, 7, 100):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*p, strict=True)], list("abcdef")) for p in parts]
+        found = [r for b in substring._uncovered(substring.Settings())(iter(batches)) for r in zip(*b.to_pydict().values(), strict=True)]
+        assert sorted(found) == [(9, 4, 60, 139, 67, 146, 79), (10, 4, 5, 55, 0, 50, 50)]
+
+
+def test_links_of_runs_that_others_cover(spark):
+    rng = random.Random(33)
+    p = sentence(rng, 200).split()
+    texts = [" ".join(w) for w in (p[:100], p[100:], p, p)]
+    rows = [(i, sentence(rng, 30) + " " + t + " " + sentence(rng, 30)) for i, t in enumerate(texts)]
+    found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in found} == {(2, 0), (2, 1), (3, 0), (3, 1), (3, 2)}
+
+
 def test_whole_runs_are_equal_where_words_are():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 3, 400).astype(np.uint64)
