@@ -174,6 +174,71 @@ def test_links_of_runs_that_others_cover(spark):
     assert {(r.doc_id, r.other_id) for r in found} == {(2, 0), (2, 1), (3, 0), (3, 1), (3, 2)}
 
 
+def changed(rng: random.Random, words: list[str], every: int) -> str:
+    at = rng.randrange(every)
+    return " ".join(sentence(rng, 1) if i % every == at else w for i, w in enumerate(words))
+
+
+@pytest.mark.parametrize("holders", [1, 24])
+def test_fuzzy_links_of_seeds_first_seen_elsewhere(spark, holders):
+    """Parts of a passage stand in other documents first; two documents hold all of it, each with words changed.
+
+    With 24 holders each part but one is a frequent one.
+    """
+    rng = random.Random(34)
+    rows, pairs, least = [], set(), {}
+    for g in range(8):
+        passage = sentence(rng, 120).split()
+        parts = [passage[i : i + 24] for i in range(0, 120, 24)]
+        for i, part in enumerate(parts):
+            for _ in range(holders if i else 1):
+                rows.append((len(rows), " ".join([sentence(rng, 20), *part, sentence(rng, 20)])))
+        for _ in range(2):
+            rows.append((len(rows), " ".join([sentence(rng, 40), changed(rng, passage, 18), sentence(rng, 40)])))
+        pairs.add((len(rows) - 1, len(rows) - 2))
+        least[len(rows) - 1] = 96
+    found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    held = {}
+    for r in found:
+        if (r.doc_id, r.other_id) in pairs:
+            held.setdefault(r.doc_id, set()).update(range(max(40, r.start_word), min(160, r.end_word)))
+    assert {d for d in least if len(held.get(d, ())) < least[d]} == set()
+
+
+def test_matches_equal_plain_ones():
+    rng = random.Random(35)
+    s = substring.Settings(holders=3)
+    for _ in range(100):
+        rows = sorted((rng.randint(0, 8), rng.randint(0, rng.choice([3, 9])), rng.randint(0, 30)) for _ in range(rng.randint(1, 80)))
+        plain = set()
+        for seed in {r[0] for r in rows}:
+            places = {}
+            for _, doc, place in [r for r in rows if r[0] == seed]:
+                places.setdefault(doc, []).append(place)
+            first = min(places)
+            if len(places) < 2:
+                continue
+            hot = len(places) > s.holders
+            for doc, own in places.items():
+                others = [first] if hot or doc == first else [o for o in places if o < doc]
+                plain |= {(doc, o, place, places[o][0], o == (first if hot else max(others)), seed if hot else None) for o in others for place in own}
+        size = rng.choice([1, 2, 7, 100])
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*p, strict=True)], ["seed", "doc", "place"]) for p in parts]
+        found = [r for b in substring._matches(s)(iter(batches)) for r in zip(*b.to_pydict().values(), strict=True)]
+        assert set(found) == plain
+
+
+def test_copies_are_linked_to_the_least(spark):
+    """Forty copies and a text alike: a row for each copy, and the one text is held against one of them."""
+    rng = random.Random(36)
+    words = sentence(rng, 90).split()
+    rows = [(i, " ".join(words)) for i in range(40)] + [(50, changed(rng, words, 15)), (60, "few words"), (61, "few words")]
+    found = substring.repeated_passages(spark.createDataFrame(rows * 2, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.other_id) for r in found) == [(i, 0) for i in [*range(1, 40), 50]]
+    assert {tuple(r)[2:] for r in found if r.doc_id < 50} == {(0, 90, 0, 90, 90)}
+
+
 def test_whole_runs_are_equal_where_words_are():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 3, 400).astype(np.uint64)
@@ -300,6 +365,39 @@ def test_chains_match_quadratic_search():
         assert all(np.diff(mine[c]).min(initial=1) > 0 and np.diff(theirs[c]).min(initial=1) > 0 for c in chains)
 
 
+def test_quick_chains_and_alignments_equal_general_ones():
+    rng = random.Random(37)
+    s = substring.Settings()
+    for _ in range(300):
+        n = rng.randint(1, 30)
+        mine = np.cumsum([rng.choice([1, 3, 9, 13, 60, 90]) for _ in range(n)])
+        shift = np.cumsum([rng.choice([0, 0, 0, 0, 1, 2]) for _ in range(n)]) * rng.choice([0, 1])
+        theirs = mine + 7 + shift
+        last = int(theirs[-1]) + 40
+        y = np.array([rng.randint(0, 9) for _ in range(last)], np.uint64)
+        x = y[7:].copy()
+        for i in rng.sample(range(len(x)), len(x) // 6):
+            x[i] = 99
+        for m in mine.tolist():
+            x[m : m + s.k] = y[m + 7 : m + 7 + s.k]
+        quick = [c.tolist() for c in substring.chain(mine, theirs, s)]
+        # a match far off its place sends the others through the tree, and is a chain of its own
+        general = substring.chain(np.append(mine, mine[-1] + 1000), np.append(theirs, 0), s)
+        assert sorted(quick) == sorted(c.tolist() for c in general if c.tolist() != [n])
+        if not shift.any():
+            equal, a = 0, int(mine[0])
+            for p in mine.tolist():
+                size = s.k - max(0, a - p)
+                if size > 0:
+                    p = max(a, p)
+                    equal += substring._common(x[a:p], y[a + 7 : p + 7]) + size
+                    a = p + size
+            ahead, more = substring._extend(x[a:], y[a + 7 :])
+            back, less = substring._extend(x[: mine[0]][::-1], y[: mine[0] + 7][::-1])
+            expected = (int(mine[0]) - back, a + ahead, int(mine[0]) + 7 - back, a + 7 + ahead, equal + more + less)
+            assert substring.align(x, y, mine, theirs, s) == expected
+
+
 def test_winnowing_guarantees_a_seed():
     rng = np.random.default_rng(3)
     for n in (1, 5, 16, 17, 300):
