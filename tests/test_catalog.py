@@ -68,3 +68,10 @@ def test_small_groups_change_nothing(spark, small):
     whole = adapters.sensor_events(spark, small)
     cut = adapters.sensor_events(spark, small, group_rows=5)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
+
+
+def test_six_sensor_payload_is_read_once(spark, small):
+    found = queries()["six_sensor_table"](spark, small)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "get_json_object" not in plan and plan.count("from_json") <= 1
+    assert found.where("not payload_holds or payload_holds is null").count() == 0
