@@ -100,3 +100,11 @@ def test_stream_scores_equal_those_of_the_table(spark, tmp_path, kind):
     want = score_saved(table, detectors)
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(map(tuple, want.select(*names).collect()))
     assert got.where(F.col("lstm_score") > 0).count() > 0
+
+
+def test_machines_of_one_group_keep_apart(spark, tmp_path, monkeypatch):
+    """Two groups for all machines: state is asked for by group, windows stay those of each machine."""
+    from millwatch.streaming import windows
+
+    monkeypatch.setattr(windows, "STATE_GROUPS", 2)
+    test_windows_of_a_shuffled_stream_over_a_restart(spark, tmp_path)
