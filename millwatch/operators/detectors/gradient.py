@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millwatch import fixed
 from millwatch.session import stage
 
 #: Rows of a block on average.
@@ -30,25 +31,47 @@ _BOUND = float(1 << 20)
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[float, np.ndarray]]
 
 
-def pack_blocks(df: DataFrame, ident: str, values: Column, target: Column, rows: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row for each block: its values, a fixed number of doubles for each row, and its targets."""
+#: Bytes of blocks that one task packs, and tasks for each core, so that passes over the blocks keep all cores busy.
+_TASK_BYTES = 64 << 20
+_TASKS_PER_CORE = 4
+
+
+def pack_blocks(
+    df: DataFrame, ident: str, values: Column, target: Column, rows: int, block_rows: int = BLOCK_ROWS, kind: str = "float64"
+) -> DataFrame:
+    """One row for each block: its values, a fixed number for each row, and its targets, as bytes of ``kind``.
+
+    Every pass reads the blocks again; bytes go from file to numpy as they are.
+    """
     blocks = max(1, -(-rows // block_rows))
     entry = F.struct(F.col(ident).alias("i"), values.alias("v"), target.cast("double").alias("t"))
+    entries = df.select(F.pmod(F.xxhash64(ident, F.lit(7)), F.lit(blocks)).alias("_block"), entry.alias("_entry"))
+    width = 8 * fixed.WINDOW_ROWS * 8  # about what a row may take
+    tasks = max(_TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, rows * width // _TASK_BYTES)
     packed = (
-        df.select(F.pmod(F.xxhash64(ident, F.lit(7)), F.lit(blocks)).alias("_block"), entry.alias("_entry"))
-        .groupBy("_block")
-        .agg(F.sort_array(F.collect_list("_entry")).alias("_rows"))
-    )
-    return stage(
-        packed.select(
-            F.flatten(F.transform("_rows", lambda r: r["v"])).alias("values"), F.transform("_rows", lambda r: r["t"]).alias("targets")
-        ),
-        "blocks",
+        entries.repartition(min(blocks, tasks), "_block").groupBy("_block").agg(F.sort_array(F.collect_list("_entry")).alias("_rows"))
     )
+    lists = packed.select(F.flatten(F.transform("_rows", lambda r: r["v"])).alias("values"), F.transform("_rows", lambda r: r["t"]).alias("targets"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [pa.array([_numbers(column, row).astype(kind).tobytes() for row in range(batch.num_rows)], pa.binary()) for column in batch.columns]
+            counts = pa.array([len(column) for column in batch.column(1)], pa.int32())
+            yield pa.RecordBatch.from_arrays([*columns, counts], ["values", "targets", "rows"])
+
+    return stage(lists.mapInArrow(run, "values binary, targets binary, rows int"), "blocks")
 
 
 def _numbers(column: pa.Array, row: int) -> np.ndarray:
-    return column[row].values.to_numpy(zero_copy_only=False).astype(np.float64)
+    return column[row].values.to_numpy(zero_copy_only=False)
+
+
+def _block_numbers(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Values, a row for each of the block's rows, and targets."""
+    for row, count in enumerate(batch.column(2).to_pylist()):
+        values, targets = (batch.column(i)[row].as_buffer() for i in range(2))
+        kind = np.dtype(f"f{targets.size // count}")
+        yield np.frombuffer(values, kind).reshape(count, -1), np.frombuffer(targets, kind)
 
 
 def gradient_sums(blocks: DataFrame, kernel: Kernel, parameters: np.ndarray) -> tuple[float, np.ndarray]:
@@ -57,9 +80,7 @@ def gradient_sums(blocks: DataFrame, kernel: Kernel, parameters: np.ndarray) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(parameters) + 1, np.int64)
         for batch in batches:
-            for row in range(batch.num_rows):
-                targets = _numbers(batch.column(1), row)
-                values = _numbers(batch.column(0), row).reshape(len(targets), -1)
+            for values, targets in _block_numbers(batch):
                 loss, gradient = kernel(parameters, values, targets)
                 sums = np.nan_to_num(np.concatenate(([loss], gradient)), nan=0.0, posinf=_BOUND, neginf=-_BOUND)
                 total += np.rint(np.clip(sums, -_BOUND, _BOUND) * _UNIT).astype(np.int64)
@@ -120,10 +141,13 @@ def minimise(
 
 def train(
     df: DataFrame, ident: str, values: Column, target: Column, rows: int, kernel: Kernel, start: Sequence[float] | np.ndarray,
-    iterations: int, ridge: float = 1e-5,
+    iterations: int, ridge: float = 1e-5, kind: str = "float64",
 ) -> np.ndarray:
-    """Parameters that make the mean loss over all rows small; ``ridge`` holds them back a little."""
-    blocks = pack_blocks(df, ident, values, target, rows)
+    """Parameters that make the mean loss over all rows small; ``ridge`` holds them back a little.
+
+    Kernels see rows of ``kind``; parameters, sums and steps are double in any case.
+    """
+    blocks = pack_blocks(df, ident, values, target, rows, kind=kind)
 
     def evaluate(parameters: np.ndarray) -> tuple[float, np.ndarray]:
         loss, gradient = gradient_sums(blocks, kernel, parameters)

@@ -146,7 +146,7 @@ def fit_recurrent(
     windows = with_windows(train, features, group_rows=group_rows)
     found = train_network(
         windows, "sample_id", F.flatten("window"), F.col("failure_label"), rows,
-        recurrent_kernel(shapes, fixed.WINDOW_ROWS), draw(shapes, seed), iterations,
+        recurrent_kernel(shapes, fixed.WINDOW_ROWS), draw(shapes, seed), iterations, kind="float32",
     )
     return RecurrentModel(tuple(features), tuple(map(float, found)), hidden)
 

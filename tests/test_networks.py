@@ -141,3 +141,28 @@ def test_recurrent_cell_stands_aside_without_failures(spark):
     model = fit_recurrent(prepared.train, ["torque__scaled"], prepared.stats.classes, prepared.stats.rows)
     assert model.status == "skipped" and model.notes
     assert {r["s_raw"] for r in score_sequence(prepared.test, model, "s").collect()} == {0.0}
+
+
+def test_kernel_keeps_single_precision_and_agrees_with_double():
+    rng = np.random.default_rng(11)
+    shapes, length = recurrent_shapes(3, 24), 8
+    kernel, parameters = recurrent_kernel(shapes, length), draw(shapes, 5)
+    for n in (300, 7):  # memory of the larger block is taken again by the smaller one
+        rows, targets = rng.normal(size=(n, length * 3)), (rng.random(n) < 0.2) * 1.0
+        double = kernel(parameters, rows, targets)
+        single = kernel(parameters, rows.astype(np.float32), targets.astype(np.float32))
+        assert np.isclose(single[0], double[0], rtol=1e-5) and np.allclose(single[1], double[1], atol=1e-4)
+        assert failure_probabilities(parameters, shapes, rows.reshape(n, length, 3).astype(np.float32)).dtype == np.float32
+
+
+@pytest.mark.parametrize("kind", ["float64", "float32"])
+def test_blocks_are_bytes_of_all_rows(spark, kind):
+    table = curved(spark, 300)
+    blocks = pack_blocks(table, "sample_id", F.array(*FEATURES), F.col("sample_id"), 300, 64, kind)
+    assert dict(blocks.dtypes)["values"] == dict(blocks.dtypes)["targets"] == "binary"
+    size, found = np.dtype(kind).itemsize, {}
+    for block in blocks.collect():
+        assert len(block["values"]) == 2 * len(block["targets"]) == 2 * size * block["rows"]
+        found |= dict(zip(np.frombuffer(block["targets"], kind), np.frombuffer(block["values"], kind).reshape(-1, 2).tolist()))
+    rows = {r["sample_id"]: [r[f] for f in FEATURES] for r in table.collect()}
+    assert len(found) == 300 and all(np.allclose(found[i], rows[i], rtol=1e-6) for i in rows)
