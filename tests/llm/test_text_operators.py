@@ -15,6 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from millwatch.llm.common import BATCH_BYTES, small_batches
 from millwatch.llm import classifier, components, fingerprints, packing, pieces, rules, shards, simhash, substring, toxicity, urls
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -239,6 +240,36 @@ def test_copies_are_linked_to_the_least(spark):
     assert {tuple(r)[2:] for r in found if r.doc_id < 50} == {(0, 90, 0, 90, 90)}
 
 
+def test_whole_runs_are_hashed_in_steps(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [rng.integers(0, 99, n).astype(np.uint64) for n in rng.integers(0, 200, 60)]
+    columns = [pa.array(range(60), pa.int64()), pa.array([3] * 60, pa.int32()), pa.array([w.tobytes() for w in words], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, ["_id", "_begin", "_words"])
+    sizes, whole = [], substring.whole_runs
+    monkeypatch.setattr(substring, "STEP_WORDS", 500)
+    monkeypatch.setattr(substring, "whole_runs", lambda w, size: sizes.append(len(w)) or whole(w, size))
+    got = [r for b in substring._whole_runs(substring.Settings())(iter([batch.slice(7)])) for r in b.to_pylist()]
+    assert max(sizes) <= 500 and len(sizes) > 5
+    wanted = [
+        {"run": int(h), "doc": d, "place": 3 + i} for d in range(7, 60) for i, h in enumerate(whole(words[d], 50).view(np.int64))
+    ]
+    assert got == wanted
+
+
+def test_batches_of_long_rows_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("word "), 10_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    with small_batches(spark):
+        found = [r["n"] for r in rows.mapInArrow(sizes, "n bigint").collect()]
+    assert len(found) > 3 and max(found) < 2 * BATCH_BYTES and spark.conf.get(name) == before
+
+
 def test_whole_runs_are_equal_where_words_are():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 3, 400).astype(np.uint64)
