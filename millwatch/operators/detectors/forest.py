@@ -8,7 +8,7 @@ trees are a table of at most 200 x 511 nodes, small enough for every worker.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -118,6 +118,75 @@ def grow_trees(
     )
 
 
+#: Most boxes of one tree's lookup table; a tree cut into more is walked down node by node.
+_BOXES = 1 << 17
+
+
+def _boxes(feature: np.ndarray, cut: np.ndarray, path: np.ndarray, cuts: Sequence[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray] | None:
+    """One tree as a table: path lengths by how many of its cuts lie below each sensor's value.
+
+    A sensor's value is known by the number of cuts of the whole forest below it; the
+    first arrays lead from there to the place of the tree's own box, the last holds what
+    the box's leaf holds.  Nothing if the tree has too many boxes.
+    """
+    inner = np.isfinite(cut)
+    own = [np.unique(cut[inner & (feature == i)]) for i in range(len(cuts))]
+    shape = [len(values) + 1 for values in own]
+    if math.prod(shape) > _BOXES:
+        return None
+    table = np.empty(shape)
+    pending = [(0, [(0, size) for size in shape])]
+    while pending:
+        node, box = pending.pop()
+        if node < len(cut) and inner[node]:
+            i, (low, high) = feature[node], box[feature[node]]
+            at = int(np.searchsorted(own[i], cut[node])) + 1
+            pending.append((2 * node + 1, [*box[:i], (low, min(high, at)), *box[i + 1 :]]))
+            pending.append((2 * node + 2, [*box[:i], (max(low, at), high), *box[i + 1 :]]))
+            continue
+        while node < len(cut):
+            node = 2 * node + 1
+        table[tuple(slice(*ends) for ends in box)] = path[node - len(cut)]
+    places = []
+    for i, values in enumerate(own):
+        steps = np.zeros(len(cuts[i]) + 1, np.int32)
+        steps[np.searchsorted(cuts[i], values) + 1] = math.prod(shape[i + 1 :])
+        places.append(np.cumsum(steps, dtype=np.int32))
+    return places, table.ravel()
+
+
+def _path_sums(features: np.ndarray, cuts: np.ndarray, paths: np.ndarray, size: int) -> Callable[[Sequence[np.ndarray]], np.ndarray]:
+    """Sums of path lengths over all trees, for values of ``size`` sensors."""
+    used = [np.unique(cuts[(features == i) & np.isfinite(cuts)]) for i in range(size)]
+    trees = [_boxes(*tree, used) for tree in zip(features, cuts, paths)]
+    width = paths.shape[1]
+
+    def walk(table: np.ndarray, f: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
+        start = np.arange(len(table) // size) * size
+        place = np.zeros(len(start), dtype=np.intp)
+        for _ in range(width.bit_length() - 1):
+            place = 2 * place + 1 + (table[start + f[place]] > c[place])
+        return p[place - (width - 1)]
+
+    def sums(values: Sequence[np.ndarray]) -> np.ndarray:
+        total = np.zeros(len(values[0]))
+        # a value that is no number lies above no cut
+        below = [np.where(np.isnan(column), 0, np.searchsorted(used[i], column)) for i, column in enumerate(values)]
+        flat = None if None not in trees else np.column_stack(values).ravel()
+        for tree, f, c, p in zip(trees, features, cuts, paths):
+            if tree is None:
+                total += walk(flat, f, c, p)
+                continue
+            places, table = tree
+            place = places[0][below[0]]
+            for steps, ranks in zip(places[1:], below[1:]):
+                place += steps[ranks]
+            total += table[place]
+        return total
+
+    return sums
+
+
 @dataclass(frozen=True)
 class ForestModel:
     features: tuple[str, ...]  # scaled columns
@@ -148,17 +217,12 @@ class ForestModel:
         expected = average_path(self.sample) or 1.0
 
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            features_of, cuts_of, paths_of = shared.value
+            sums = None
             for batch in batches:
-                table = np.column_stack([s.to_numpy(dtype=float) for s in batch]).ravel()
-                start = np.arange(len(batch[0])) * len(batch)
-                total = np.zeros(len(batch[0]))
-                for f, c, p in zip(features_of, cuts_of, paths_of):
-                    place = np.zeros(len(start), dtype=np.intp)
-                    for _ in range(depth):
-                        place = 2 * place + 1 + (table[start + f[place]] > c[place])
-                    total += p[place - (width - 1)]
-                yield pd.Series(np.exp2(-total / len(paths_of) / expected))
+                if sums is None:
+                    sums = _path_sums(*shared.value, len(batch))
+                total = sums([s.to_numpy(dtype=float) for s in batch])
+                yield pd.Series(np.exp2(-total / trees / expected))
 
         # The iterator form is recognised by its type hints.
         score.__annotations__ = {

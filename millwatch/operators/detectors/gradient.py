@@ -62,6 +62,59 @@ def pack_blocks(
     return stage(lists.mapInArrow(run, "values binary, targets binary, rows int"), "blocks")
 
 
+#: Rows of a block of a timeline: few enough that what is computed on them stays near the core.
+_TIMELINE_ROWS = 2_048
+
+
+def pack_timelines(
+    df: DataFrame, keys: Sequence[str], position: str, features: Sequence[str], target: Column, rows: int, window: int, group_rows: int
+) -> DataFrame:
+    """Timelines as blocks of consecutive rows, from which a kernel reads each row's trailing window.
+
+    A row is kept once and not in the windows of all that follow it: a block holds
+    ``window - 1`` rows ahead of its own, with target -1, and a timeline's first row is
+    repeated ahead of it, as in the windows themselves.  Timelines are cut into chunks as
+    they are there, so that none has to pass one task.
+    """
+    offset, ahead = F.col(position) - 1, window - 1
+    chunk = F.floor(offset / group_rows)
+    copies = F.when(offset % group_rows >= group_rows - ahead, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    width = len(features)
+    placed = df.select(
+        *keys, F.col(position).alias("_position"), chunk.alias("_home"), F.explode(copies).alias("_chunk"),
+        *[F.col(name).cast("float").alias(f"_v{i}") for i, name in enumerate(features)], target.cast("float").alias("_target"),
+    ).withColumn("_target", F.when(F.col("_chunk") == F.col("_home"), F.col("_target")).otherwise(F.lit(-1.0).cast("float")))
+    tasks = max(_TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, rows * 4 * (width + 1) // _TASK_BYTES)
+    ordered = placed.repartition(max(1, min(tasks, -(-rows // _TIMELINE_ROWS))), *keys, "_chunk").sortWithinPartitions(*keys, "_chunk", "_position")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros((ahead, width), np.float32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = batch.column(0).to_numpy() == 1
+            times = np.where(first, window, 1)
+            targets = np.full(int(times.sum()), -1, np.float32)
+            targets[np.cumsum(times) - 1] = batch.column(1).to_numpy()
+            values = np.column_stack([batch.column(2 + i).to_numpy() for i in range(width)])
+            values = np.concatenate([last, np.repeat(values, times, axis=0)])
+            targets = np.concatenate([np.full(ahead, -1, np.float32), targets])
+            last = values[len(values) - ahead :].copy()
+            blocks = []
+            for start in range(ahead, len(values), _TIMELINE_ROWS):
+                part = slice(start - ahead, start + _TIMELINE_ROWS)
+                marked = targets[part].copy()
+                marked[:ahead] = -1
+                blocks.append((values[part].tobytes(), marked.tobytes(), len(marked)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, kind) for column, kind in zip(zip(*blocks), (pa.binary(), pa.binary(), pa.int32()))],
+                ["values", "targets", "rows"],
+            )
+
+    narrow = ordered.select("_position", "_target", *[f"_v{i}" for i in range(width)])
+    return stage(narrow.mapInArrow(run, "values binary, targets binary, rows int"), "timelines")
+
+
 def _numbers(column: pa.Array, row: int) -> np.ndarray:
     return column[row].values.to_numpy(zero_copy_only=False)
 
@@ -148,6 +201,13 @@ def train(
     Kernels see rows of ``kind``; parameters, sums and steps are double in any case.
     """
     blocks = pack_blocks(df, ident, values, target, rows, kind=kind)
+    return train_on(blocks, rows, kernel, start, iterations, ridge)
+
+
+def train_on(
+    blocks: DataFrame, rows: int, kernel: Kernel, start: Sequence[float] | np.ndarray, iterations: int, ridge: float = 0.0
+) -> np.ndarray:
+    """The same on packed rows."""
 
     def evaluate(parameters: np.ndarray) -> tuple[float, np.ndarray]:
         loss, gradient = gradient_sums(blocks, kernel, parameters)

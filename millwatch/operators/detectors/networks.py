@@ -30,6 +30,46 @@ def draw(shapes: Shapes, seed: int) -> np.ndarray:
     )
 
 
+# ---- perceptron ------------------------------------------------------------
+
+
+def perceptron_shapes(size: int, hidden: int) -> Shapes:
+    """Window -> hidden -> two classes, an offset with each, laid out as Spark's perceptron has them."""
+    return [(size, hidden), (hidden,), (hidden, 2), (2,)]
+
+
+def perceptron_kernel(shapes: Shapes, length: int):
+    """Loss and gradient over the trailing windows of consecutive rows; rows of target -1 count in windows only."""
+
+    def kernel(parameters: np.ndarray, rows: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray]:
+        into, offset, out, ends = cut(parameters.astype(rows.dtype), shapes)
+        step = rows.strides[1]
+        count = len(rows) - length + 1
+        windows = np.lib.stride_tricks.as_strided(rows, (count, length * rows.shape[1]), (step * rows.shape[1], step)).copy()
+        target = targets[length - 1 :]
+        held = target >= 0
+        inner = windows @ into
+        inner += offset
+        np.clip(inner, -60, 60, out=inner)
+        np.negative(inner, out=inner)
+        np.exp(inner, out=inner)
+        inner += 1
+        np.reciprocal(inner, out=inner)
+        turn = out[:, 1] - out[:, 0]
+        apart = inner @ turn + (ends[1] - ends[0])
+        loss = (np.logaddexp(0, apart) - target * apart)[held].sum(dtype=np.float64)
+        miss = np.where(held, 1 / (1 + np.exp(-np.clip(apart, -60, 60))) - target, 0).astype(rows.dtype)
+        last, final = inner.T @ miss, miss.sum(dtype=np.float64)
+        slope = 1 - inner
+        slope *= inner
+        slope *= turn
+        slope *= miss[:, None]
+        gradient = [windows.T @ slope, slope.sum(0), np.stack([-last, last], 1), np.array([-final, final])]
+        return float(loss), np.concatenate([part.ravel() for part in gradient]).astype(np.float64)
+
+    return kernel
+
+
 # ---- bottleneck -----------------------------------------------------------
 
 

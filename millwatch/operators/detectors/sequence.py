@@ -12,16 +12,17 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwatch import fixed
-from millwatch.operators.detectors.gradient import train as train_network
-from millwatch.operators.detectors.networks import draw, failure_probabilities, recurrent_kernel, recurrent_shapes
-from millwatch.operators.ordering import GROUP_ROWS, with_trailing_rows
+from millwatch.operators.detectors.gradient import pack_timelines, train as train_network, train_on
+from millwatch.operators.detectors.networks import (
+    draw, failure_probabilities, perceptron_kernel, perceptron_shapes, recurrent_kernel, recurrent_shapes,
+)
+from millwatch.operators.ordering import GROUP_ROWS, with_earlier_rows
 
-# Rows per matrix product while training.
-_BLOCK_ROWS = 1024
 NEEDS_BOTH_CLASSES = "The sequence detector needs train readings with and without failure."
 
 
@@ -36,11 +37,10 @@ def with_windows(
     Early readings repeat the first one on the left; every split starts anew.
     """
     payload = F.array(*[F.col(name) for name in features])
-    seen = with_trailing_rows(
-        df, ["split", "machine_id"], "split_position", payload, rows, "_seen", group_rows
-    )
-    padding = F.array_repeat(F.col("_seen")[0], rows - F.size("_seen"))
-    return seen.withColumn("window", F.concat(padding, F.col("_seen"))).drop("_seen")
+    seen, names = with_earlier_rows(df, ["split", "machine_id"], "split_position", payload, rows, group_rows)
+    # where there is no earlier row, the earliest there is
+    entries = [F.coalesce(*reversed(names[: n + 1])) for n in reversed(range(rows))]
+    return seen.withColumn("window", F.array(*entries)).drop(*names)
 
 
 def _vector() -> Column:
@@ -116,17 +116,25 @@ def fit_sequence(
     seed: int = fixed.SEED,
     group_rows: int = GROUP_ROWS,
 ) -> SequenceModel:
-    """Train on all train readings; with one class only, the model is skipped."""
+    """Train on all train readings; with one class only, the model is skipped.
+
+    Steps are taken on timelines, each reading stored once; the weights found are handed to
+    Spark's perceptron, which takes no further step and scores, saves and loads itself.
+    """
     if classes < 2:
         return SequenceModel(tuple(features), None)
-    rows = with_windows(train, features, group_rows=group_rows).select(
-        _vector().alias("features"), F.col("failure_label").cast("double").alias("label")
+    rows = train.count()
+    blocks = pack_timelines(
+        train, ["split", "machine_id"], "split_position", features, F.col("failure_label"), rows, fixed.WINDOW_ROWS, group_rows
     )
-    layers = [len(features) * fixed.WINDOW_ROWS, hidden, 2]
+    size = len(features) * fixed.WINDOW_ROWS
+    shapes = perceptron_shapes(size, hidden)
+    found = train_on(blocks, rows, perceptron_kernel(shapes, fixed.WINDOW_ROWS), draw(shapes, seed), iterations)
     learner = MultilayerPerceptronClassifier(
-        layers=layers, maxIter=iterations, seed=seed, blockSize=_BLOCK_ROWS
+        layers=[size, hidden, 2], maxIter=0, initialWeights=Vectors.dense(found)
     )
-    return SequenceModel(tuple(features), learner.fit(rows))
+    one = train.sparkSession.createDataFrame([(Vectors.dense(np.zeros(size)), 0.0)], ["features", "label"])
+    return SequenceModel(tuple(features), learner.fit(one))
 
 
 def fit_recurrent(

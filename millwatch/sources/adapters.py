@@ -73,24 +73,22 @@ def sensor_events_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _line_readings(spark: SparkSession, folder: str, more: dict[str, Column]) -> DataFrame:
-    lines = with_global_row_number(
-        _read(spark, folder, "lineitem").select(*_LINE_ORDER), _LINE_ORDER, "sample_id"
-    )
     torque = F.col("l_extendedprice") * F.col("l_discount") / 1000
     vibration = F.col("l_extendedprice") * F.col("l_discount") * F.col("l_tax") / 100
-    failed = ((F.col("vibration") >= 1.2) | (F.col("torque") >= 7.5)) & (
-        F.col("l_returnflag") != "A"
-    )
-    return lines.withColumns({"torque": torque, "vibration": vibration}).select(
-        "sample_id",
+    failed = ((vibration >= 1.2) | (torque >= 7.5)) & (F.col("l_returnflag") != "A")
+    readings = [
         F.col("l_suppkey").cast("string").alias("machine_id"),
         zone_free_seconds(F.col("l_shipdate")).alias("timestamp"),
         *[reading.alias(name) for name, reading in more.items()],
-        "torque",
+        torque.alias("torque"),
         F.col("l_quantity").alias("tool_wear"),
-        "vibration",
+        vibration.alias("vibration"),
         failed.cast("int").alias("failure_label"),
+    ]
+    lines = with_global_row_number(
+        _read(spark, folder, "lineitem").select(*_LINE_ORDER), _LINE_ORDER, "sample_id", readings
     )
+    return lines.select("sample_id", *[name for name in lines.columns if name != "sample_id"])
 
 
 def sensor_lines(spark: SparkSession, folder: str) -> DataFrame:
