@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwatch import fixed
-from millwatch.operators.ordering import with_global_row_number
+from millwatch.operators.ordering import fraction_of, with_global_row_number
 
 # Texts that read as a number; plain casts would also take Java suffixes.
 _NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
@@ -77,8 +77,7 @@ def number_of(column: Column, data_type: T.DataType) -> Column:
 
 def zone_free_seconds(column: Column) -> Column:
     """Drop fractions of a second without passing through a time zone."""
-    fraction = F.date_part(F.lit("SECOND"), column) % 1
-    return column - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), fraction)
+    return column - F.expr("INTERVAL '0.000001' SECOND") * fraction_of(column)
 
 
 def moment_of(column: Column, data_type: T.DataType, pattern: str | None = None) -> Column:

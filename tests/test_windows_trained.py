@@ -8,6 +8,8 @@ from millwatch.operators.detectors.forest import _grow, _path_sums
 from millwatch.operators.detectors.gradient import _block_numbers, gradient_sums, pack_timelines
 from millwatch.operators.detectors.networks import draw, perceptron_kernel, perceptron_shapes
 from millwatch.operators.detectors.sequence import with_windows
+from millwatch.operators.normalize import zone_free_seconds
+from millwatch.operators.ordering import micros_of, seconds_of
 
 
 @pytest.mark.parametrize("group_rows", [11, 2_000_000])
@@ -75,3 +77,25 @@ def test_windows_are_read_by_lags(spark):
     for row in got.collect():
         last = int(row["a"])
         assert [int(entry[0]) for entry in row["window"]] == [max(0, n) for n in range(last - 7, last + 1)]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kathmandu"])
+def test_fractions_are_whole_numbers_in_any_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        texts = ["1969-12-31 23:59:59.999999", "1960-02-29 00:00:00.000001", "2024-03-10 02:30:00.5", "2024-11-03 01:30:07", "2024-01-01 00:00:11.172425", None]
+        rows = spark.createDataFrame([(text,) for text in texts], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
+        second = F.date_part(F.lit("SECOND"), "t")
+        got = rows.select(
+            micros_of(F.col("t")).alias("m"), (seconds_of(F.col("t")) * 1_000_000 + (second % 1 * 1_000_000).cast("long")).alias("m0"),
+            zone_free_seconds(F.col("t")).cast("string").alias("s"), F.substring(F.col("t").cast("string"), 1, 19).alias("s0"), zone_free_seconds(F.col("t")).alias("type"),
+        )
+        assert got.schema["type"].dataType.simpleString() == "timestamp_ntz"
+        assert "decimal" not in got.select("m", "s").schema.simpleString()
+        for row in got.collect():
+            assert (row["m"], row["s"]) == (row["m0"], row["s0"])
+        plan = rows.select(micros_of(F.col("t")), zone_free_seconds(F.col("t")))._jdf.queryExecution().analyzed().toString()
+        assert "decimal" not in plan and "date_part" not in plan.lower()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
