@@ -86,6 +86,20 @@ def metric_cell(value: Column) -> Column:
     return F.when(value.isNull(), F.lit("n/a")).otherwise(text)
 
 
+def fixed_text(value: Column, digits: int) -> Column:
+    """A number with so many digits after the point, rounded as Python does.
+
+    Put together from whole numbers, which costs a fraction of a format; that takes the
+    rest (below zero, a billion or more, no number, null).
+    """
+    rounded, scale = round_exact(value, digits), 10**digits
+    whole = F.rint(rounded * F.lit(float(scale))).cast("long")
+    last = F.lpad(F.pmod(whole, F.lit(scale)).cast("string"), digits, "0")
+    text = F.concat(F.floor(whole / F.lit(scale)).cast("string"), F.lit("."), last)
+    usual = (rounded >= 0) & (rounded < 1e9)
+    return F.when(usual, text).otherwise(F.format_string(f"%.{digits}f", rounded))
+
+
 def title(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millwatch import fixed
 from millwatch.functions.rounding import round_exact
-from millwatch.functions.scalar import abs_z
+from millwatch.functions.scalar import abs_z, fixed_text
 from millwatch.operators.stats import TrainStats
 
 
@@ -39,14 +41,10 @@ def top_features(
 
 def explanation(score: Column, prediction: Column, deviation_list: Column, sensors: int) -> Column:
     """Sentence about a row's score and the sensors behind it."""
-    shown = min(fixed.TOP_FEATURES, sensors)
-    named = ", ".join(["%s (%.1fz)"] * shown)
-    values = [round_exact(score, 2)]
-    for i in range(shown):
+    named = []
+    for i in range(min(fixed.TOP_FEATURES, sensors)):
         entry = deviation_list[i]
-        values += [entry["feature"], round_exact(entry["z_score"], 1)]
-    alert, calm = (
-        F.format_string(text.replace("%s", named), *values)
-        for text in (fixed.ALERT_TEXT, fixed.CALM_TEXT)
-    )
-    return F.when(prediction == 1, alert).otherwise(calm)
+        named += [F.lit(", " * bool(i)), entry["feature"], F.lit(" ("), fixed_text(entry["z_score"], 1), F.lit("z)")]
+    alert, calm = (re.split(r"%\.2f|%s", text) for text in (fixed.ALERT_TEXT, fixed.CALM_TEXT))
+    begin, middle, end = (F.when(prediction == 1, F.lit(a)).otherwise(F.lit(c)) for a, c in zip(alert, calm))
+    return F.concat(begin, fixed_text(score, 2), middle, *named, end)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwatch import fixed
+from millwatch.functions.scalar import nan_to_null
 from millwatch.operators.ordering import fraction_of, with_global_row_number
 
 # Texts that read as a number; plain casts would also take Java suffixes.
@@ -72,7 +73,8 @@ def number_of(column: Column, data_type: T.DataType) -> Column:
         column = F.when(column.rlike(_NUMBER), column.try_cast("double"))
     else:
         column = column.cast("double")
-    return F.when(F.abs(column) < float("inf"), column)  # NaN is above all numbers
+    # only a finite number less itself is zero; a test and a branch would read a text twice
+    return nan_to_null(column - (column - column))
 
 
 def zone_free_seconds(column: Column) -> Column:

@@ -40,10 +40,10 @@ class Ingested:
 def _checks(
     named: DataFrame, columns: dict[str, Column], times: Sequence[Column], id_name: str | None
 ) -> dict[str, Column]:
-    """Counts that tell all that has to be known about the values."""
-    tests = {"rows": F.lit(True), **dict.fromkeys(("lost_ids", "lost_machines", "label_words"), F.lit(False))}
-    for place, moment in enumerate(times):
-        tests[f"lost_times_{place}"] = moment.isNull()
+    """Counts that tell what has to be known about the values; of the ways to read times, only the first is looked at."""
+    tests = {"rows": F.lit(True), **dict.fromkeys(("lost_ids", "lost_machines", "label_words", "lost_times"), F.lit(False))}
+    for moment in times[:1]:
+        tests["lost_times"] = moment.isNull()
     if id_name is not None:
         tests["lost_ids"] = F.col(id_name).try_cast("long").isNull()
     if "machine_id" in columns:
@@ -53,6 +53,20 @@ def _checks(
     return {name: F.count_if(test) for name, test in tests.items()}
 
 
+def _readable_time(named: DataFrame, times: Sequence[Column], lost: int) -> Column:
+    """The first way to read times that reads the whole column.
+
+    A text that a form does not fit costs far more than one that it fits, so forms are
+    tried in turn, each only up to the first rows that it loses.
+    """
+    if not lost:
+        return times[0]
+    for moment in times[1:]:
+        if named.where(moment.isNull()).limit(1).isEmpty():
+            return moment
+    raise ValueError("Some timestamps cannot be read; use ISO times or give a format.")
+
+
 def _check_ids(named: DataFrame, id_name: str, lost: int) -> None:
     """Refuse ids that are no numbers or not unique; ranks and draws rely on them."""
     if lost:
@@ -113,11 +127,8 @@ def ingest(
         raise ValueError(
             "No recognised sensor column; at least one is needed of: " + ", ".join(fixed.SENSORS)
         )
-    readable = [moment for place, moment in enumerate(times) if not found[f"lost_times_{place}"]]
-    if times and not readable:
-        raise ValueError("Some timestamps cannot be read; use ISO times or give a format.")
-    if readable:
-        columns["timestamp"] = readable[0]
+    if times:
+        columns["timestamp"] = _readable_time(named, times, found["lost_times"])
     if id_name is not None and not unique_ids:
         _check_ids(named, id_name, found["lost_ids"])
 

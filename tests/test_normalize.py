@@ -1,9 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millwatch.functions.scalar import health_band, iso_second, label_text, metric_cell, nan_to_null, risk_level, verdict
+from millwatch.functions.scalar import fixed_text, health_band, iso_second, label_text, metric_cell, nan_to_null, risk_level, verdict
 from millwatch.operators.normalize import (
-    available_sensors, canonical_names, column_warnings, label_of, normalize_columns, slug, timeline_moment,
+    available_sensors, canonical_names, column_warnings, label_of, normalize_columns, number_of, slug, timeline_moment,
 )
 from millwatch.operators.ordering import seconds_of
 from millwatch.operators.split import chronological_split
@@ -124,6 +124,35 @@ def test_forms_of_time_are_chosen_for_the_whole_column(spark):
     assert str(ingest(numbers, epoch_unit="s").readings.first().timestamp) == "2026-01-01 00:00:00"
 
 
+def test_later_forms_of_time_are_tried_only_where_the_first_does_not_fit(spark, monkeypatch):
+    def forms(*_):
+        first = F.col("timestamp").try_cast("timestamp_ntz")
+        return [first, F.raise_error(F.lit("a later form was tried")).cast("timestamp_ntz")]
+
+    monkeypatch.setattr("millwatch.plans.ingest.time_readings", forms)
+    rows = [("2026-01-05 10:00:00", "1"), ("2026-01-06", "2")]
+    batch = ingest(texts(spark, ["time", "torque"], *rows))
+    assert batch.readings.where("timestamp is not null").count() == 2
+    with pytest.raises(Exception, match="a later form was tried"):
+        ingest(texts(spark, ["time", "torque"], *rows, ("5.1.26", "3")))
+
+
+def test_texts_read_as_finite_numbers(spark):
+    given = ["1.5", " -0.0 ", "1e999", "-1e999", "nan", "inf", "1d", "0x1p3", "", None, "1e-400", "+.5"]
+    rows = texts(spark, ["text", "n"], *[(text, str(i)) for i, text in enumerate(given)])
+    got = {r.n: r.x for r in rows.select("n", number_of(F.col("text"), rows.schema["text"].dataType).alias("x")).collect()}
+    want = [1.5, -0.0, None, None, None, None, None, None, None, None, 0.0, 0.5]
+    assert [str(got[str(i)]) for i in range(len(given))] == [str(x) for x in want]
+
+
+def test_fixed_texts_are_those_of_python(spark):
+    given = [0.0, 0.5, 0.05, 0.25, 0.125, 0.995, 1.005, 2.675, 9.95, 99.949, 123456.789, 999_999_999.96, 1e9, 1e15, -0.25, -3.14159, float("nan")]
+    got = spark.createDataFrame([(x,) for x in given], "x double").select(fixed_text(F.col("x"), 1), fixed_text(F.col("x"), 2)).collect()
+    for x, row in zip(given, got):
+        want = ("NaN", "NaN") if x != x else (f"{x:.1f}", f"{x:.2f}")
+        assert tuple(row) == want
+
+
 def test_given_ids_must_be_unique_numbers(spark):
     def rows(*ids):
         return texts(spark, ["id", "torque"], *[(i, "1") for i in ids])
