@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from millwatch.functions.scalar import iso_second
 from millwatch.operators.normalize import canonical_order, null_tokens_to_null
 from millwatch.session import stage
+from millwatch.sources.files import stored_bytes
 from millwatch.sources.records import has_quoted_breaks, quoted_records, text_lines
 
 _BROKEN = "_broken_line"
@@ -61,7 +62,7 @@ def load_csv(
     if multi_line:
         parsing = {**quoting, "multiLine": "true", "columnNameOfCorruptRecord": _BROKEN}
         ddl = ", ".join(f"{name} string" for name in schema.fieldNames())
-        parsed = quoted_records(lines).select(F.from_csv("_record", ddl, parsing).alias("_row"), "_number").select("_row.*", "_number")
+        parsed = quoted_records(lines, stored_bytes(spark, path)).select(F.from_csv("_record", ddl, parsing).alias("_row"), "_number").select("_row.*", "_number")
     else:
         reader = spark.read.option("header", True).options(**quoting).option("columnNameOfCorruptRecord", _BROKEN)
         parsed = reader.schema(schema).csv(path).withColumns(

@@ -19,6 +19,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, of a folder's files or of all that a pattern names; none if nothing is there."""
+    place, system = _place(spark, path)
+    return sum(system.getContentSummary(found.getPath()).getLength() for found in system.globStatus(place) or [])
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     place, system = _place(spark, path)
     system.delete(place, True)

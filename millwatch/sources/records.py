@@ -81,15 +81,27 @@ def _running(df: DataFrame, keys: list[str], order: list[str], out: str, in_: st
     ).drop("_turns", "_settled", "_last", "_so_far")
 
 
-def quoted_records(lines: DataFrame) -> DataFrame:
+#: Bytes of text that one task sorts by block or by record; short lines take twenty times as much there.
+_PART_BYTES = 8 << 20
+
+
+def _dealt(rows: DataFrame, size: int, *keys: str) -> DataFrame:
+    """Rows by key in parts of ``_PART_BYTES``, where the session's own number of parts would make larger ones."""
+    parts = -(-size // _PART_BYTES)
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys) if parts > usual else rows
+
+
+def quoted_records(lines: DataFrame, size: int) -> DataFrame:
     """``_record`` (its lines joined by line feeds) and ``_number``, from 1 in file order, without each file's header.
 
     Blank lines between records are no records.  Quotes that are never closed are
     refused.  Lines are shuffled once, by block; only records of several lines are
-    gathered, each by its number, also where a block ends inside them.
+    gathered, each by its number, also where a block ends inside them.  ``size`` is the
+    bytes of all lines: a task sorts no more of them where there are more in all.
     """
     blank = F.trim(F.regexp_replace("_line", "\r$", "")) == ""
-    placed = _running(lines, ["_file", "_start"], ["_slot"], "_end_out", "_end_in")
+    placed = _running(_dealt(lines, size, "_file", "_start"), ["_file", "_start"], ["_slot"], "_end_out", "_end_in")
     inside = Window.partitionBy("_file", "_start").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
     counted = stage(
         placed.withColumns(
@@ -134,7 +146,8 @@ def quoted_records(lines: DataFrame) -> DataFrame:
         raise ValueError(f"The file is not a valid CSV: a quote is never closed in {open_file['_of']}.")
 
     outside = F.col("_enter") == 0
-    known = counted.join(starts, (F.col("_file") == F.col("_of")) & (F.col("_start") == F.col("_at"))).select(
+    # a row for each block: sent to the lines, which need no further shuffle by block
+    known = counted.join(F.broadcast(starts), (F.col("_file") == F.col("_of")) & (F.col("_start") == F.col("_at"))).select(
         "_line", "_start", "_slot", "_files", "_first",
         (F.col("_offset") + F.when(outside, F.col("_rank_out")).otherwise(F.col("_rank_in"))).alias("_place"),
         F.when(outside, F.col("_begin_out")).otherwise(F.col("_begin_in")).alias("_begin"),
@@ -144,11 +157,12 @@ def quoted_records(lines: DataFrame) -> DataFrame:
     rows = known.where("(_begin = 1 or not _blank) and _place > _first + 1")  # the first record of a file is its header
     number = F.col("_place") - F.col("_files")
     line = F.struct("_start", "_slot", "_line")
+    parts = rows.where("_begin = 1 or _ends = 1").select(number.alias("_number"), line.alias("_piece"))
     one = rows.where("_begin = 0 and _ends = 0").select(F.col("_line").alias("_record"), number.alias("_number"))
     several = (
-        rows.where("_begin = 1 or _ends = 1")
-        .groupBy(number.alias("_number"))
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["_line"]), "\n").alias("_record"))
+        _dealt(parts, size, "_number")
+        .groupBy("_number")
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list("_piece")), lambda x: x["_line"]), "\n").alias("_record"))
     )
     both = one.unionByName(several)
     return both.withColumn("_record", F.regexp_replace("_record", "\r$", ""))

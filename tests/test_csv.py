@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from millwatch.plans.ingest import ingest_csv
 from millwatch.plans.prepare import prepare_readings
+from millwatch.session import stage
+from millwatch.sources import csv_source, records
 from millwatch.sources.csv_source import export_test_csv, load_csv
 from millwatch.sources.records import has_quoted_breaks, text_lines
 from tests.frames import readings
@@ -91,6 +93,23 @@ def test_one_file_is_split_among_tasks_also_inside_quotes(spark, tmp_path):
     assert got[7].a == "7\n" + long.replace('""', '"')
 
 
+def test_tasks_sort_no_more_text_where_there_is_more(spark, tmp_path, monkeypatch):
+    path = write(tmp_path, "a,b\n" + "".join(f'"{i}\n\nx",{i}\n' for i in range(300)))
+    parts = {}
+
+    def kept(df, label="stage"):
+        parts[label] = df.rdd.getNumPartitions()
+        return stage(df, label)
+
+    monkeypatch.setattr(records, "stage", kept)
+    monkeypatch.setattr(csv_source, "stage", kept)
+    monkeypatch.setattr(records, "_PART_BYTES", 300, raising=False)
+    with small_blocks(spark, 700):
+        got = load_csv(spark, path, row_number="n").orderBy("n").collect()
+    assert [(r.a, r.b, r.n) for r in got] == [(f"{i}\n\nx", str(i), i + 1) for i in range(300)]
+    assert parts["lines"] == -(-len(open(path).read()) // 300) > 8 and parts["csv"] >= parts["lines"]
+
+
 def test_quotes_in_plain_fields_open_nothing(spark, tmp_path):
     path = write(tmp_path, 'a,b\n5" pipe,1\nx "y" z,"two\nlines"\n"in",3" \n')
     got = [tuple(r) for r in load_csv(spark, path, row_number="n").orderBy("n").collect()]
