@@ -40,7 +40,10 @@ def top_features(
 
 
 def explanation(score: Column, prediction: Column, deviation_list: Column, sensors: int) -> Column:
-    """Sentence about a row's score and the sensors behind it."""
+    """Sentence about a row's score and the sensors behind it.
+
+    ``score`` and ``deviation_list`` are read many times over: give them as columns of the frame.
+    """
     named = []
     for i in range(min(fixed.TOP_FEATURES, sensors)):
         entry = deviation_list[i]

@@ -263,11 +263,12 @@ def _six(spark: SparkSession, folder: str) -> Prepared:
 def six_sensor_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Rule scores on six sensors; the explanation names the three that deviate most."""
     prepared = _six(spark, folder)
-    scored = score_rules(prepared.test, {"rule": fit_rule(prepared.stats)})
-    score = round_scaled(F.col("rule_raw"), 6)
+    scored = score_rules(prepared.test, {"rule": fit_rule(prepared.stats)}).withColumns(
+        {"score": round_scaled(F.col("rule_raw"), 6), "entries": deviations(prepared.stats)}
+    )
     return scored.select(
-        "sample_id", "machine_id", score.alias("score"), "rule_prediction",
-        explanation(score, F.col("rule_prediction"), deviations(prepared.stats), fixed.TOP_FEATURES).alias("explanation"),
+        "sample_id", "machine_id", "score", "rule_prediction",
+        explanation(F.col("score"), F.col("rule_prediction"), F.col("entries"), fixed.TOP_FEATURES).alias("explanation"),
     )
 
 

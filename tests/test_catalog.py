@@ -75,3 +75,9 @@ def test_six_sensor_payload_is_read_once(spark, small):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "get_json_object" not in plan and plan.count("from_json") <= 1
     assert found.where("not payload_holds or payload_holds is null").count() == 0
+
+
+def test_six_sensor_explanations_read_one_list(spark, small):
+    found = queries()["six_sensor_scores"](spark, small)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array") == 1 and plan.count("rint") < 1000
