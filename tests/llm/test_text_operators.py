@@ -206,6 +206,53 @@ def test_fuzzy_links_of_seeds_first_seen_elsewhere(spark, holders):
     assert {d for d in least if len(held.get(d, ())) < least[d]} == set()
 
 
+def test_fuzzy_links_of_frequent_seeds_only(spark):
+    """Every part of a passage stands in 24 documents of its own; the two that hold all of it share no rarer seed."""
+    rng = random.Random(37)
+    rows, pairs, least = [], set(), {}
+    for g in range(8):
+        passage = sentence(rng, 120).split()
+        for i in range(0, 120, 24):
+            rows += [(len(rows) + j, " ".join([sentence(rng, 20), *passage[i : i + 24], sentence(rng, 20)])) for j in range(24)]
+        for _ in range(2):
+            rows.append((len(rows), " ".join([sentence(rng, 40), changed(rng, passage, 18), sentence(rng, 40)])))
+        pairs.add((len(rows) - 1, len(rows) - 2))
+        least[len(rows) - 1] = 90
+    found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len({tuple(r) for r in found}) == len(found)
+    held = {}
+    for r in found:
+        if (r.doc_id, r.other_id) in pairs:
+            held.setdefault(r.doc_id, set()).update(range(max(40, r.start_word), min(160, r.end_word)))
+    assert {d for d in least if len(held.get(d, ())) < least[d]} == set()
+
+
+def test_bare_seeds_and_their_pairs_equal_plain_ones():
+    rng = random.Random(38)
+    s = substring.Settings(near=3, far=9)
+
+    def given(kernel, rows, names):
+        size = rng.choice([1, 2, 7, 100])
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*p, strict=True)], names) for p in parts]
+        return [r for b in kernel(iter(batches)) for r in zip(*b.to_pydict().values(), strict=True)]
+
+    for _ in range(150):
+        seeds = {(rng.randint(0, 3), rng.randint(0, 60), rng.randint(0, 5)) for _ in range(rng.randint(1, 40))}
+        spans = [(rng.randint(0, 3), a := rng.randint(0, 60), a + rng.randint(1, 20)) for _ in range(rng.randint(0, 6))]
+        rows = sorted([(d, 0, a, b, 0) for d, a, b in spans] + [(d, 1, p, 0, x) for d, p, x in seeds])
+        covered = {(d, p, x) for d, p, x in seeds for e, a, b in spans if d == e and a <= p and p + s.k <= b}
+        bare = seeds - covered
+        plain = {(d, p, x, (d, p, x) in bare) for d, p, x in seeds if any(d == e and abs(p - q) <= s.far for e, q, _ in bare)}
+        found = given(substring._bare_seeds(s), rows, ["doc", "role", "place", "end", "seed"])
+        assert len(found) == len(plain) and set(found) == plain
+        if not found:
+            continue
+        found = sorted(found)
+        both = Counter(d for i, (d, p, _, b) in enumerate(found) for e, q, _, c in found[i + 1 :] if d == e and s.near <= q - p <= s.far and (b or c))
+        assert Counter(d for _, d in given(substring._seed_pairs(s), found, ["doc", "place", "seed", "bare"])) == both
+
+
 def test_matches_equal_plain_ones():
     rng = random.Random(35)
     s = substring.Settings(holders=3)
