@@ -227,6 +227,19 @@ def test_fuzzy_links_of_frequent_seeds_only(spark):
     assert {d for d in least if len(held.get(d, ())) < least[d]} == set()
 
 
+def test_passages_of_frequent_seeds_only_are_cut(spark):
+    rng = random.Random(39)
+    passage, rows = sentence(rng, 120).split(), []
+    for i in range(0, 120, 24):
+        rows += [(len(rows) + j, " ".join([sentence(rng, 20), *passage[i : i + 24], sentence(rng, 20)])) for j in range(24)]
+    for i in range(2):  # another word where two parts meet, so no seed lies across
+        own = [sentence(rng, 1) if j % 24 == 23 else w for j, w in enumerate(passage)]
+        rows.append((1000 + i, " ".join([sentence(rng, 40), *own, sentence(rng, 40)])))
+    cut = dict(substring.cut_repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert len(cut[1001].split()) <= 110
+    assert {i: t for i, t in rows if i != 1001} == {i: t for i, t in cut.items() if i != 1001}
+
+
 def test_bare_seeds_and_their_pairs_equal_plain_ones():
     rng = random.Random(38)
     s = substring.Settings(near=3, far=9)
